@@ -35,7 +35,7 @@ class Template:
 
 #: Usual notices of well-known licences (fixed values).
 TEMPLATES = (
-    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Released under the MIT License", ("mit", "released")),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission", "granted")),
     Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
     Template("gpl-3", "licensed under the GNU General Public License, version 3", ("gnu", "3")),

@@ -38,7 +38,7 @@ class PrefixCounter:
     Memory is bounded: the caches of pieces and of token pairs are emptied when they hold `cache` entries.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -50,7 +50,8 @@ class PrefixCounter:
             self.rank[raw(a), raw(b)] = i
         self.specials = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         known = set(self.specials)
-        self.vocab = {raw(t) for t in model["vocab"] if t not in known}
+        self.vocab = {raw(t): i for t, i in model["vocab"].items() if t not in known}
+        self.token = {i: t for t, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab))
         self.pieces = regex.compile(PIECES).findall
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
@@ -66,37 +67,33 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def kept_apart(self, left: bytes, right: bytes) -> bool:
-        key = (left, right)
-        out = self.apart.get(key)
-        if out is None:
-            if len(self.apart) >= self.cache:
-                self.apart.clear()
-            out = self.apart[key] = self.merge(left + right) == [left, right]
+    def judge(self, key: int, left: int, right: int) -> bool:
+        """Whether the merges keep two tokens apart; for left -1, whether they make the token from its bytes."""
+        if len(self.apart) >= self.cache:
+            self.apart.clear()
+        r = self.token[right]
+        out = self.apart[key] = self.merge(r) == [r] if left < 0 else self.merge(self.token[left] + r) == [self.token[left], r]
         return out
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Token counts of piece[:0], piece[:1], ..., piece: the dynamic programme."""
-        last: list[bytes] = [b""]
-        count = [0]
+        known, apart, longest = self.vocab.get, self.apart.get, self.longest
+        last, count = [-1], [0]
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = piece[start:end]
-                if token in self.vocab and (self.whole(token) if start == 0 else self.kept_apart(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+            for start in range(end - longest if end > longest else 0, end):
+                token = known(piece[start:end])
+                if token is not None:
+                    left = last[start]
+                    key = left << 20 | token
+                    ok = apart(key)
+                    if ok or ok is None and self.judge(key, left, token):
+                        last.append(token)
+                        count.append(count[start] + 1)
+                        break
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
         return count
 
-    def whole(self, token: bytes) -> bool:
-        key = (b"", token)
-        out = self.apart.get(key)
-        if out is None:
-            out = self.apart[key] = self.merge(token) == [token]
-        return out
-
     def piece_count(self, piece: str) -> int:
         n = self.counts.get(piece)
         if n is None:
@@ -172,29 +169,35 @@ class PrefixCounter:
         out += [before + n for n in self._ordinary_prefixes(text[at:])[1:]]
         return np.array(out, np.int32)
 
-    def cut(self, text: str, budget: int) -> int:
-        """The length of the longest prefix with at most `budget` tokens. Counts of prefixes are not monotone, so pieces are
-        skipped only while even one more piece leaves room, and the rest is read from the prefix counts."""
-        if len(text.encode()) <= budget:
-            return len(text)
+    def count_and_cut(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and the length of the longest prefix with at most `budget` tokens.
+
+        Counts of prefixes are not monotone: from the piece that first exceeds the budget on, the counts inside pieces are
+        read as long as a prefix could still fit."""
         if self.special is not None and any(s in text for s in self.specials):
-            return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
-        out, at, total = 0, 0, 0
-        for p in self.pieces(text):
-            # a prefix that ends inside this piece holds more than `total` tokens or, in white space, a few less
-            if total > budget + 8:
-                break
-            n = self.piece_count(p)
-            if total + n <= budget:
+            total = self.count(text)
+            return total, len(text) if total <= budget else int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+        pieces, counts = self.pieces(text), self.counts
+        each = [counts[p] if p in counts else self.piece_count(p) for p in pieces]
+        total = sum(each)
+        if total <= budget:
+            return total, len(text)
+        out = at = so_far = 0
+        for p, n in zip(pieces, each, strict=True):
+            if so_far + n <= budget:
                 out = at + len(p)
+            elif so_far > budget + 8:  # a prefix that ends in a later piece holds more than that, in white space a few less
+                break
             else:
-                inside = self._inside(text, at, p, total)
-                fits = [i + 1 for i, c in enumerate(inside) if c <= budget]
+                fits = [i + 1 for i, c in enumerate(self._inside(text, at, p, so_far)) if c <= budget]
                 if fits:
                     out = at + fits[-1]
-            total += n
+            so_far += n
             at += len(p)
-        return out
+        return total, out
+
+    def cut(self, text: str, budget: int) -> int:
+        return self.count_and_cut(text, budget)[1]
 
     def _inside(self, text: str, at: int, piece: str, before: int) -> list[int]:
         start = at
@@ -230,14 +233,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
         c = counter(path)
         for batch in batches:
             texts = [t or "" for t in column(batch, text).to_pylist()]
-            n = [c.count(t) for t in texts]
+            both = [c.count_and_cut(t, limit) for t in texts]
+            n = [x for x, _ in both]
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, doc_id),
                     pa.array([len(t.encode()) for t in texts], pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([x > limit for x in n], pa.bool_()),
-                    pa.array([c.cut(t, limit) if x > limit else len(t) for t, x in zip(texts, n, strict=True)], pa.int64()),
+                    pa.array([k for _, k in both], pa.int64()),
                 ],
                 names=[doc_id, "n_bytes", "n_tokens", "over_limit", "cut_chars"],
             )
