@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import read_table
+from tessera.llm.fingerprints import fingerprint_neighbours
 from tessera.llm.license_scan import scan_licenses
+from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
 from tessera.llm.token_counts import token_counts
 
@@ -34,9 +36,19 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), cut=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
+    "op8_fingerprints": op8_fingerprints,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
