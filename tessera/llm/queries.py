@@ -12,6 +12,7 @@ from tessera.llm.fingerprints import fingerprint_neighbours
 from tessera.llm.license_scan import scan_licenses
 from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
+from tessera.llm.source_mix import pareto_mix
 from tessera.llm.token_counts import token_counts
 
 
@@ -36,6 +37,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix(read_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
+    "op7_source_mix": op7_source_mix,
     "op8_fingerprints": op8_fingerprints,
     "op10_quality": op10_quality,
 }
