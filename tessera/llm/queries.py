@@ -14,6 +14,10 @@ from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
 from tessera.llm.source_mix import pareto_mix
 from tessera.llm.token_counts import token_counts
+from tessera.llm.url_filter import Rule, judge_urls, labelled_outcomes
+
+#: The fixed rules of the url query.
+URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +33,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, labelled_outcomes(pages, read_table(spark, sf_dir, "labels")), URL_RULES, limit=0.5)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
