@@ -6,12 +6,14 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import fingerprint_neighbours
 from tessera.llm.license_scan import scan_licenses
 from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
+from tessera.llm.simhash import hex_fingerprint, simhash_components
 from tessera.llm.source_mix import pareto_mix
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filter import Rule, judge_urls, labelled_outcomes
@@ -54,6 +56,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), cut=0.3)
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_fingerprints": op8_fingerprints,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
