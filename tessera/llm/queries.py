@@ -15,6 +15,7 @@ from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
 from tessera.llm.simhash import hex_fingerprint, simhash_components
 from tessera.llm.source_mix import pareto_mix
+from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filter import Rule, judge_urls, labelled_outcomes
 
@@ -35,6 +36,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, labelled_outcomes(pages, read_table(spark, sf_dir, "labels")), URL_RULES, limit=0.5)
@@ -67,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
