@@ -85,10 +85,10 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each maximal run of bytes that are not ASCII white space, and for each row the index of its
-    first word (n + 1 numbers). A run never crosses rows."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each maximal run of bytes that are not `outside` (a flag for each byte value; ASCII white space
+    where not given), and for each row the index of its first word (n + 1 numbers). A run never crosses rows."""
+    inside = ~outside[data]
     before = np.empty(len(data) + 1, bool)
     before[0] = False
     before[1:] = inside
@@ -105,7 +105,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, np.flatnonzero(ends) + 1, np.searchsorted(s, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, outside: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a polynomial over the byte's place in the word, then mixed with its length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -121,7 +121,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         part = data[lo:hi]
         # the place of each byte in its word; bytes between words get weight 0 through a clipped index
         place = np.arange(hi - lo, dtype=np.int64) - np.repeat(s - lo, np.diff(np.append(s, hi)))
-        weight = np.where(SPACE[part], np.uint64(0), powers[np.minimum(place, longest)])
+        weight = np.where(outside[part], np.uint64(0), powers[np.minimum(place, longest)])
         summed = np.add.reduceat((part.astype(np.uint64) + np.uint64(1)) * weight, s - lo)
         out[a : a + step] = mix(summed ^ (n.astype(np.uint64) * GOLDEN))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table
+from tessera.llm.decontaminate import find_leaks
 from tessera.llm.fingerprints import fingerprint_neighbours
 from tessera.llm.license_scan import scan_licenses
 from tessera.llm.quality import quality_scores
@@ -32,6 +33,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -72,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
