@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import only, stored
 
 #: Buckets in each of the refinements of the ranking variable.
 BUCKETS = 4096
@@ -42,6 +42,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return s.select("src", "source_size", F.least("cap", F.coalesce(F.col("fills") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def with_draw(docs: DataFrame, seed: int, doc_id: str, text: str, source: str) -> DataFrame:
+    """docs with src, size and u: the source, the words of the text, and a uniform number from id and text."""
+    draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    return docs.withColumns({"src": F.col(f"`{source}`").cast("string"), "size": word_count(F.col(f"`{text}`")), "u": draw})
+
+
 def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs.
 
@@ -49,46 +55,60 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     copies: how often the mix takes the row; taken: its words times copies. Of rows that tie in the draw (repeats of an id
     and text), all or none are taken beyond certain copies. Reruns, and other partitions of the same rows, agree.
     """
-    draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-    rows = stored(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("src"), word_count(F.col(f"`{text}`")).alias("size"), draw.alias("u")), "sizes")
-    return _mixed(rows, weights, share, most).select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows = stored(with_draw(only(docs, doc_id, text, source), seed, doc_id, text, source).select(F.col(f"`{doc_id}`").alias("id"), "src", "size", "u"), "sizes")
+    out = apportioned(rows, stops(rows, weights, share, most))
+    return out.select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, all columns, that the mix of pareto_mix() takes at least once, with mix_copies: how often.
 
+    The table of sources decides, joined to the documents where they are if Spark finds it small enough to send round."""
+    rows = stored(with_draw(only(docs, doc_id, text, source), seed, doc_id, text, source).select("src", "size", "u"), "sizes")
+    found = stops(rows, weights, share, most)
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = with_draw(renamed.select("row", *[F.col("row")[c].alias(n) for c, n in ((doc_id, "id"), (text, "txt"), (source, "org"))]), seed, "id", "txt", "org")
+    out = apportioned(keyed.select("row", "src", "size", "u"), found).where("copies > 0")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("copies").alias("mix_copies"))
 
-def _mixed(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """rows (id, src, size, u, ...) with source_size, target and copies."""
+
+def stops(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """For each source of rows (src, size, u): s, source_size, target, certain, part (the fraction of a copy), q_stop and
+    with_stop (the last draw of the sample, and whether it is in it; null: all are). One row a source, as a stored table."""
     targets = source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
-    targets = stored(targets.select(F.col("src").alias("s"), "source_size", "target"), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     certain = F.floor(due + F.lit(1e-12)).cast("long")
-    part = F.greatest(F.least(due - certain, F.lit(1 - 1e-12)), F.lit(1e-12))
-    odds = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
-    # odds / (1 + odds) is the same order on [0, 1)
-    ranked = rows.join(targets, F.col("src").eqNullSafe(F.col("s"))).withColumn("certain", certain).withColumn("q", odds / (1 + odds))
-    want = F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))
+    targets = targets.select(F.col("src").alias("s"), "source_size", "target", certain.alias("certain"), F.greatest(F.least(due - certain, F.lit(1 - 1e-12)), F.lit(1e-12)).alias("part"))
+    targets = stored(targets.withColumn("want", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))), "targets")
+    ranked = with_rank(rows, targets)
     fine = lambda n: F.floor(F.col("q") * F.lit(float(n)))
     # the first bucket in which a source's running words reach what is wanted
-    coarse = ranked.groupBy("s", fine(BUCKETS).alias("b")).agg(F.sum("size").alias("words"), F.first(want).alias("want"))
-    by_bucket = Window.partitionBy("s").orderBy("b")
-    upto = coarse.withColumn("upto", F.sum("words").over(by_bucket)).where(F.col("upto") >= F.col("want"))
-    reach = stored(upto.groupBy("s").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"), "want")).alias("m")).select(F.col("s").alias("t"), "m.*"), "coarse")
-    inside = ranked.select("s", "q", "size").join(reach, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS) == F.col("b")))
+    coarse = ranked.groupBy("s", fine(BUCKETS).alias("b")).agg(F.sum("size").alias("words"), F.first("want").alias("want"))
+    upto = coarse.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("b"))).where(F.col("upto") >= F.col("want"))
+    reach = stored(upto.groupBy("s").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "coarse")
     # then in one of BUCKETS parts of that bucket, and last among the few draws in that part
+    inside = ranked.select("s", "q", "size", "want").join(reach, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS) == F.col("b"))).drop("t")
     finer = inside.groupBy("s", fine(BUCKETS * BUCKETS).alias("c")).agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("want").alias("want"))
     upto = finer.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("c")) + F.col("before")).where(F.col("upto") >= F.col("want"))
-    reach2 = stored(upto.groupBy("s").agg(F.min(F.struct("c", (F.col("upto") - F.col("words")).alias("before2"), "want")).alias("m")).select(F.col("s").alias("t"), "m.*"), "fine")
-    last = ranked.select("s", "q", "size").join(reach2, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS * BUCKETS) == F.col("c")))
-    draws = last.groupBy("s", "q").agg(F.sum("size").alias("words"), F.first("before2").alias("before2"), F.first("want").alias("want"))
-    draws = draws.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("q")) + F.col("before2"))
+    reach2 = stored(upto.groupBy("s").agg(F.min(F.struct("c", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "fine")
+    last = ranked.select("s", "q", "size", "want").join(reach2, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS * BUCKETS) == F.col("c")))
+    draws = last.groupBy("s", "q").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("want").alias("want"))
+    draws = draws.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("q")) + F.col("before"))
     # taken: every draw up to the one that comes nearest to what is wanted, the one before the crossing or the crossing
     crossing = draws.where(F.col("upto") >= F.col("want")).groupBy("s").agg(F.min(F.struct("q", "upto", "words", "want")).alias("m"))
     over = F.col("m.upto") - F.col("m.want") <= F.col("m.want") - (F.col("m.upto") - F.col("m.words"))
-    stop = stored(crossing.select(F.col("s").alias("t"), F.col("m.q").alias("q_stop"), over.alias("with_stop")), "stops")
-    extra = (F.col("q") < F.col("q_stop")) | ((F.col("q") == F.col("q_stop")) & F.col("with_stop"))
-    # without a stop rounding left a source just short of what is wanted: all of it is taken
-    out = ranked.join(stop, F.col("s").eqNullSafe(F.col("t")), "left")
-    return out.withColumn("copies", F.least(F.col("certain") + F.coalesce(extra, want > 0).cast("long"), F.ceil(F.lit(float(most))).cast("long")))
+    stop = crossing.select(F.col("s").alias("t"), F.col("m.q").alias("q_stop"), over.alias("with_stop"))
+    return stored(targets.join(stop, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "stops")
+
 
+def with_rank(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows with their source's row and q, the ranking variable's odds put on [0, 1) in the same order."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
+    return rows.join(targets, F.col("src").eqNullSafe(F.col("s"))).withColumn("q", odds / (1 + odds))
 
-def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix's rows: doc_id, source, size, taken, copies of every row of docs that is taken at least once."""
-    return pareto_mix(docs, weights, share, most, doc_id=doc_id, text=text, source=source).where(F.col("copies") > 0).select(doc_id, "size", "source_size", "target", "taken", "copies")
+
+def apportioned(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (src, u, ...) with their source's row and copies."""
+    # without a stop rounding left a source just short of what is wanted: all of it is taken
+    extra = F.coalesce((F.col("q") < F.col("q_stop")) | ((F.col("q") == F.col("q_stop")) & F.col("with_stop")), F.col("want") > 0)
+    return with_rank(rows, found).withColumn("copies", F.col("certain") + extra.cast("long"))

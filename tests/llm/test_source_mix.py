@@ -44,6 +44,9 @@ def check(spark, rows, near):
     for s in sizes:
         longest = max(size[d] for d in source if source[d] == s)
         assert abs(taken[s] - want[s]) <= max(near * longest, 1e-6)
+    mixed = mix_documents(df)
+    assert mixed.columns == [*df.columns, "mix_copies"]
+    assert sorted((r.doc_id, r.mix_copies) for r in mixed.collect()) == sorted((g.doc_id, g.copies) for g in got if g.copies)
     again = pareto_mix(df.repartition(2)).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
