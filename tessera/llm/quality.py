@@ -64,7 +64,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id, x: the transformed statistics of each whole text (a null is empty), nothing else of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, text, 8 << 20):
+        for batch in segments(batches, text, 4 << 20):
             x = statistics(*text_bytes(column(batch, text)))
             yield pa.RecordBatch.from_arrays([column(batch, doc_id), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=[doc_id, "x"])
 
@@ -208,13 +208,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, text: str =
     model = fit(train)
     drop_stored(train)
 
-    @F.pandas_udf(T.BooleanType())
-    def good(texts):
-        import pandas as pd
-
-        return pd.Series(model.score(statistics(*text_bytes(pa.array(texts, pa.string())))) >= cut)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in segments(batches, text, 4 << 20):
+            yield batch.filter(pa.array(model.score(statistics(*text_bytes(column(batch, text)))) >= cut))
 
-    return docs.where(good(F.col(f"`{text}`")))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def described(model: Discriminant) -> str:
