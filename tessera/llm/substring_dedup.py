@@ -113,7 +113,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """Rows (h, g, doc, pos) of anchors at cover positions (g = COMPARE) and of whole texts (pos = WHOLE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, most=32 << 20):
+        for batch in segments(batches, most=8 << 20):
             doc = column(batch, "doc_id")
             has = ~np.asarray(doc.is_null())
             doc = doc.fill_null(0).to_numpy(zero_copy_only=False)
@@ -163,7 +163,7 @@ def window_rows(joined: DataFrame) -> DataFrame:
     """Rows of all windows around candidate anchors; a text that copies a smaller document's has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, most=32 << 20):
+        for batch in segments(batches, most=8 << 20):
             w = Words(column(batch, "text"), WINDOW)
             doc = column(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             pos, row = flat(column(batch, "pos"))
@@ -205,15 +205,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Windows are judged on the input. A repeat within one document stays, as do texts under WINDOW words. A null text has no
     words; rows with a null doc_id keep all and take nothing from others; rows that repeat a doc_id count as one document.
     """
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # without aliases where none are needed: they would keep Spark from seeing that both joins read one shuffle
+    plain = (doc_id, text) == ("doc_id", "text") and docs.schema["doc_id"].dataType == T.LongType()
+    base = docs.select("doc_id", "text") if plain else docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     candidates = stored(places_by_document(shared_places(anchor_rows(base), True)), "candidates")
-    dealt = base.repartition(F.col("doc_id"))  # one shuffle of the texts, read by both joins
+    # one shuffle of the texts, read by both joins: the same plan in both, as null ids are set apart
+    dealt = base.where("doc_id is not null").repartition(F.col("doc_id"))
     around = dealt.join(candidates.hint("shuffle_hash"), F.col("doc_id") == F.col("d"))
     copies = candidates.where(F.array_contains("pos", F.lit(WHOLE).cast("long"))).select(F.col("d").alias("doc"), F.explode(F.arrays_zip("pos", "h")).alias("p")).select("doc", "p.pos", "p.h").where(F.col("pos") == WHOLE)
     repeats = places_by_document(shared_places(window_rows(around), False).union(copies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches):
+        for batch in segments(batches, most=8 << 20):
             texts = column(batch, "text")
             w = Words(texts, WINDOW)
             pos, row = flat(column(batch, "pos"))
@@ -230,5 +233,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(w.first)), pa.array(n_gone), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     joined = dealt.join(repeats.hint("shuffle_hash"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "pos", "h")
+    joined = joined.union(base.where("doc_id is null").withColumns({"pos": F.lit(None).cast("array<long>"), "h": F.lit(None).cast("array<long>")}))
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.select(F.col("doc_id").alias(doc_id), "n_words", "n_removed", "kept_text")
