@@ -1,0 +1 @@
+"""Arrays, images, signals and acquisition streams on Spark DataFrames."""
