@@ -175,16 +175,16 @@ def floor_mod(v, m):
 
 
 def floor_mod_fix(v, m, eps=2.220446049250313e-16):
-    """floor_mod(), but results within 10 eps of m count as 0."""
-    r = floor_mod(v, m)
-    near = F.abs(r - num(m)) <= F.lit(10.0 * eps) * F.greatest(F.abs(num(m)), F.lit(1.0))
-    return F.when((num(m) != 0) & near, F.lit(0.0)).otherwise(r)
+    """floor_mod(), where a result over |m| - 10 eps has |m| taken off (or, under its negative, put on)."""
+    r, size = floor_mod(v, m), F.abs(num(m))
+    cutoff = size - F.lit(10.0 * eps)
+    return F.when(num(m) == 0, num(v)).when(r > cutoff, r - size).when(r < -cutoff, r + size).otherwise(r)
 
 
 def order(x):
-    """The power of ten of |x|; 0 for 0."""
+    """The power of ten that |x| does not exceed: ceil(log10 |x|); null for 0."""
     x = F.abs(num(x))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(F.log10(F.when(x == 0, F.lit(1.0)).otherwise(x))).cast("double"))
+    return F.when(x > 0, F.ceil(F.log10(F.when(x > 0, x)))).cast("double")
 
 
 def round_value(x):

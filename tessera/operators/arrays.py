@@ -281,7 +281,14 @@ def _product(xs) -> int:
     return out
 
 
-extract_sliding_window_matrix = extract_sliding_patch_matrix = sliding_patches
+def extract_sliding_window_matrix(cube: Grid, rows: int, cols: int) -> Grid:
+    """Windows over the first two axes, with all of the third."""
+    return sliding_patches(cube, (rows, cols, cube.shape[2]))
+
+
+def extract_sliding_patch_matrix(g: Grid, *kernel: int) -> Grid:
+    """Patches over all axes but the first, whose elements follow each other in the columns."""
+    return sliding_patches(g, (g.shape[0], *kernel))
 
 
 # ---------------------------------------------------------------- indexing
@@ -372,7 +379,11 @@ def argmax_axis(g: Grid, dim: int) -> Grid:
 
 
 def argmin_groups(g: Grid, groups: int) -> Grid:
-    """For each (i0, i1, i2 mod groups) the number i2 div groups of the least element, the first of equals."""
+    """The last axis is `groups` runs of one length, one after the other: at each place of a run the number of the run with the
+    least element, the first of equals."""
+    if groups == 0 or g.shape[2] % groups:
+        raise ShapeError(f"{groups} groups of an axis of {g.shape[2]}")
+    groups = g.shape[2] // groups
     df = g.df.withColumn("at", F.floor(F.col("i2") / F.lit(groups)).cast("int")).withColumn("i2", (F.col("i2") % groups).cast("int"))
     out = df.groupBy(*g.keys, "i0", "i1", "i2").agg(F.min_by("at", F.struct("v", "at")).cast("double").alias("v"))
     return replace(g, df=out, shape=(*g.shape[:2], groups))
@@ -398,10 +409,10 @@ def count_not_equal(a: Grid, b: Grid) -> DataFrame:
 
 
 def forward_difference_stats_below_threshold(g: Grid, mask: Grid, dim: int, threshold: float) -> DataFrame:
-    """Sum and number of the differences to the next element along an axis, where both ends are in the mask and the
-    difference is smaller in size than the threshold."""
+    """Sum and number of the differences to the element before along an axis that are smaller in size than the threshold and
+    whose later element is in the mask (above 0)."""
     both = g.zip(mask, lambda v, m: (v, m))
     w = Window.partitionBy(*g.keys, *[c for d, c in enumerate(g.index) if d != dim]).orderBy(g.index[dim])
-    df = both.df.select(*g.keys, (F.lead("re").over(w) - F.col("re")).alias("d"), ((F.col("im") != 0) & (F.lead("im").over(w) != 0)).alias("m"))
+    df = both.df.select(*g.keys, (F.col("re") - F.lag("re").over(w)).alias("d"), (F.col("im") > 0).alias("m"))
     ok = F.col("m") & (F.abs("d") < threshold)
     return df.groupBy(*g.keys).agg(F.coalesce(F.sum(F.when(ok, F.col("d"))), F.lit(0.0)).alias("total"), F.count_if(ok).alias("n"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import elementwise as el
-from tessera.grid import Grid, constants
+from tessera.grid import Grid, ShapeError, constants
 from tessera.operators import arrays, stats
 
 BORDERS = ("replicate", "reflect", "reflect101", "constant")
@@ -200,24 +200,34 @@ def erode_mask(g: Grid, element) -> Grid:
     return _gathered(g, element, "constant", F.min(F.when(F.coalesce("v", F.lit(0.0)) != 0, 1.0).otherwise(0.0)))
 
 
+def _cross(g: Grid, own: Callable[[Column], Column], near: Callable[[Column], Column], value: float) -> Grid:
+    """Inner pixels that are `own` and have a 4-neighbour that is `near` get the value; all others, the border's too, stay."""
+    rows, cols = g.shape
+    n = neighbours(g, CROSS, "constant")
+    middle = (F.col("r") == F.col("i0")) & (F.col("c") == F.col("i1"))
+    df = n.groupBy(*g.keys, "i0", "i1").agg(F.bool_or(F.coalesce(~middle & near(F.col("v")), F.lit(False))).alias("hit"), F.max(F.when(middle, F.col("v"))).alias("own"))
+    inner = F.col("i0").between(1, rows - 2) & F.col("i1").between(1, cols - 2)
+    return replace(g, df=df.select(*g.keys, "i0", "i1", F.when(inner & own(F.col("own")) & F.col("hit"), F.lit(float(value))).otherwise(F.col("own")).alias("v")))
+
+
 def dilate_cross_value(g: Grid, value: float) -> Grid:
-    """Pixels that have the value, or a 4-neighbour with it, get it."""
-    df = neighbours(g, CROSS, "constant").groupBy(*g.keys, "i0", "i1").agg(F.bool_or(F.col("v") == value).alias("hit"), F.max(F.when(F.col("r").isNotNull() & (F.col("r") == F.col("i0")) & (F.col("c") == F.col("i1")), F.col("v"))).alias("own"))
-    return replace(g, df=df.select(*g.keys, "i0", "i1", F.when(F.col("hit"), F.lit(float(value))).otherwise(F.col("own")).alias("v")))
+    """Inner pixels with a 4-neighbour of the value get it."""
+    return _cross(g, lambda v: v != value, lambda v: v == value, value)
 
 
 def erode_cross_value(g: Grid, value: float, background: float = 0.0) -> Grid:
-    """Pixels of the value keep it only if all 4-neighbours inside have it."""
-    df = neighbours(g, CROSS, "constant").groupBy(*g.keys, "i0", "i1").agg(F.bool_and(F.coalesce(F.col("v") == value, F.lit(True))).alias("all"), F.max(F.when((F.col("r") == F.col("i0")) & (F.col("c") == F.col("i1")), F.col("v"))).alias("own"))
-    return replace(g, df=df.select(*g.keys, "i0", "i1", F.when((F.col("own") == value) & ~F.col("all"), F.lit(float(background))).otherwise(F.col("own")).alias("v")))
+    """Inner pixels of the value with a 4-neighbour that hasn't it become background."""
+    return _cross(g, lambda v: v == value, lambda v: v != value, background)
 
 
-def dilate_threshold_cross(g: Grid, threshold: float) -> Grid:
-    return dilate_mask(g.map(lambda v: F.when(v > threshold, 1.0).otherwise(0.0)), CROSS)
+def dilate_threshold_cross(g: Grid, center: float, neighbour: float, value: float) -> Grid:
+    """Inner pixels under `center` with a 4-neighbour over `neighbour` get the value."""
+    return _cross(g, lambda v: v < center, lambda v: v > neighbour, value)
 
 
-def erode_threshold_cross(g: Grid, threshold: float) -> Grid:
-    return erode_mask(g.map(lambda v: F.when(v > threshold, 1.0).otherwise(0.0)), CROSS)
+def erode_threshold_cross(g: Grid, center: float, neighbour: float, value: float) -> Grid:
+    """Inner pixels over `center` with a 4-neighbour under `neighbour` get the value."""
+    return _cross(g, lambda v: v > center, lambda v: v < neighbour, value)
 
 
 def distance_transform_l2(g: Grid) -> Grid:
@@ -433,31 +443,45 @@ def otsu_mask(g: Grid, high: float = 1.0, low: float = 0.0) -> Grid:
     return replace(g, df=df.select(*g.keys, *g.index, F.when(F.col("v") > F.col("threshold"), F.lit(high)).otherwise(F.lit(low)).alias("v")))
 
 
-def multi_otsu_thresholds(g: Grid, classes: int = 4, levels: int = 256) -> Grid:
-    """classes - 1 thresholds of each image with the largest between-class variance, by dynamic programming over levels."""
+def scaled_to_levels(g: Grid, levels: int = 256) -> Grid:
+    """Each image so that its largest value is levels - 1, limited to [0, levels - 1]; 0 where none is above 0."""
+    top = g.df.groupBy(*g.keys).agg(F.max("v").alias("top"))
+    df = g.df.join(top, list(g.keys)) if g.keys else g.df.crossJoin(F.broadcast(top))
+    last = float(levels - 1)
+    v = F.when(F.col("top") > 0, F.greatest(F.least(F.col("v") * (F.lit(last) / F.when(F.col("top") > 0, F.col("top"))), F.lit(last)), F.lit(0.0))).otherwise(0.0)
+    return replace(g, df=df.select(*g.keys, *g.index, v.alias("v")))
+
+
+def multi_otsu_thresholds_scaled(g: Grid, classes: int = 4, levels: int = 256) -> Grid:
+    """0 and then classes - 1 grey levels of each image scaled to levels: of all ways to part the levels from 1 on, the
+    first with the largest sum over classes of (sum of level x share)^2 / share, where a class of one level counts 0. Dynamic
+    programming from the last class back."""
+    if not 2 <= classes <= 5 or levels < 2:
+        raise ValueError("multi_otsu_thresholds_scaled: 2 to 5 classes and at least 2 levels")
 
     def f(x: np.ndarray) -> np.ndarray:
-        lo, hi = x.min(), x.max()
-        if hi == lo:
-            return np.full(classes - 1, lo)
-        scale = (levels - 1) / (hi - lo)
-        h = np.bincount(np.floor((x.ravel() - lo) * scale).astype(int), minlength=levels).astype(float)
-        p, s = np.concatenate([[0], np.cumsum(h)]), np.concatenate([[0], np.cumsum(h * np.arange(levels))])
-        w, m = p[None, :] - p[:, None], s[None, :] - s[:, None]
-        gain = np.where(w > 0, m * m / np.where(w > 0, w, 1), 0.0)  # of a class of levels [a, b)
-        best, cut = gain[0].copy(), []
-        for _ in range(classes - 1):
-            t = best[:, None] + gain
-            t[np.tril_indices(levels + 1, -1)] = -np.inf
-            cut.append(t.argmax(0))
-            best = t.max(0)
-        at, out = levels, []
-        for c in reversed(cut):
-            at = int(c[at])
-            out.append(lo + (at - 1) / scale)
-        return np.array(out[::-1])
-
-    return g.kernel(f, (classes - 1,))
+        out, last = np.zeros(classes), levels - 1
+        h = np.bincount(np.minimum((x.ravel() + 0.5).astype(int), last), minlength=levels) / x.size
+        h[0] = 0.0
+        p, s = np.concatenate([[0.0], np.cumsum(h)]), np.concatenate([[0.0], np.cumsum(h * np.arange(levels))])
+        w, m = p[None, 1:] - p[:-1, None], s[None, 1:] - s[:-1, None]  # of levels begin .. end
+        score = np.where(w > 1e-15, m * m / np.where(w > 1e-15, w, 1.0), 0.0)
+        score[np.tril_indices(levels)] = 0.0
+        rest, choice = score[:, last].copy(), []  # the best from level b on with one class
+        for k in range(classes - 1, 0, -1):
+            most = levels - classes + k - 1  # the largest place of the k-th threshold
+            t = score[:, : most + 1] + rest[1 : most + 2][None, :]
+            t[np.arange(levels)[:, None] > np.arange(most + 1)[None, :]] = -np.inf
+            choice.insert(0, t.argmax(1))
+            rest = t.max(1)
+        if rest[1] > 0:
+            at = 1
+            for k, c in enumerate(choice, 1):
+                out[k] = c[at]
+                at = int(c[at]) + 1
+        return out
+
+    return scaled_to_levels(g, levels).kernel(f, (classes,))
 
 
 def denoise_magnitude(g: Grid, h: float = 0.1, patch: int = 3, search: int = 7) -> Grid:
@@ -481,6 +505,85 @@ def denoise_magnitude(g: Grid, h: float = 0.1, patch: int = 3, search: int = 7)
     return g.kernel(f, g.shape)
 
 
+def calculate_volume_foreground_mask(g: Grid) -> Grid:
+    """1 on the largest part of a volume over its Otsu threshold, 6-connected, with its holes filled."""
+    t = stats.otsu_threshold(g)
+    df = g.df.join(t, list(g.keys)) if g.keys else g.df.crossJoin(F.broadcast(t))
+    above = replace(g, df=df.select(*g.keys, *g.index, F.when(F.col("v") > F.col("threshold"), 1.0).otherwise(0.0).alias("v")))
+
+    def parts(x: np.ndarray) -> np.ndarray:
+        lab, label = np.zeros(x.shape, int), 0
+        for start in np.argwhere(x):
+            if lab[tuple(start)]:
+                continue
+            label += 1
+            todo = [tuple(int(i) for i in start)]
+            lab[todo[0]] = label
+            while todo:
+                at = todo.pop()
+                for d in range(3):
+                    for step in (-1, 1):
+                        q = list(at)
+                        q[d] += step
+                        if 0 <= q[d] < x.shape[d] and x[tuple(q)] and not lab[tuple(q)]:
+                            lab[tuple(q)] = label
+                            todo.append(tuple(q))
+        return lab
+
+    def f(x: np.ndarray) -> np.ndarray:
+        lab = parts(x > 0)
+        n = np.bincount(lab.ravel())[1:]
+        if not len(n):
+            return np.zeros(x.shape)
+        body = lab == n.argmax() + 1
+        out = parts(~body)
+        edge = np.unique(np.concatenate([np.take(out, [0, -1], d).ravel() for d in range(3)]))
+        return (body | ~np.isin(out, edge[edge > 0])).astype(float)
+
+    return above.kernel(f, g.shape)
+
+
+def align_ecc_euclidean(reference: Grid, moving: Grid, iterations: int = 20, epsilon: float = 1e-10) -> Grid:
+    """angle, row and column shift that lay `moving` on `reference`: Gauss-Newton steps that raise the correlation of the
+    mean-free images."""
+    if reference.shape != moving.shape or reference.keys != moving.keys:
+        raise ShapeError("images of equal shape and keys")
+    rows, cols = reference.shape
+    both = reference.df.withColumn("i2", F.lit(0)).unionByName(moving.df.withColumn("i2", F.lit(1)))
+
+    def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        y, z = np.clip(y, 0, rows - 1.001), np.clip(z, 0, cols - 1.001)
+        a, b = y.astype(int), z.astype(int)
+        u, v = y - a, z - b
+        return (1 - u) * ((1 - v) * x[a, b] + v * x[a, b + 1]) + u * ((1 - v) * x[a + 1, b] + v * x[a + 1, b + 1])
+
+    def f(x: np.ndarray) -> np.ndarray:
+        ref, mov = x[..., 0], x[..., 1]
+        gy, gx = np.gradient(mov)
+        yy, xx = np.mgrid[0:rows, 0:cols]
+        cy, cx = yy - (rows - 1) / 2, xx - (cols - 1) / 2
+        p, before = np.zeros(3), -2.0
+        r = ref - ref.mean()
+        for _ in range(iterations):
+            c, s = math.cos(p[0]), math.sin(p[0])
+            py, px = c * cy + s * cx + (rows - 1) / 2 + p[1], -s * cy + c * cx + (cols - 1) / 2 + p[2]
+            w = sample(mov, py, px)
+            w = w - w.mean()
+            norm = np.linalg.norm(r) * np.linalg.norm(w)
+            rho = float((r * w).sum() / norm) if norm else 0.0
+            if abs(rho - before) < epsilon:
+                break
+            before = rho
+            iy, ix = sample(gy, py, px), sample(gx, py, px)
+            j = np.stack([(iy * (-s * cy + c * cx) + ix * (-c * cy - s * cx)).ravel(), iy.ravel(), ix.ravel()], 1)
+            j = j - j.mean(0)
+            scale = np.linalg.norm(w) / (np.linalg.norm(r) or 1.0)
+            p = p + np.linalg.lstsq(j, (r * scale - w).ravel(), rcond=None)[0]
+        return p
+
+    return Grid(both, (rows, cols, 2), reference.keys).kernel(f, (3,))
+
+
 def grid_of(spark, rows: int, cols: int, f: Callable[[Column, Column], Column]) -> Grid:
     return constants(spark, (rows, cols), lambda lin, i, j: f(i, j))
 

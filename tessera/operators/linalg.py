@@ -221,6 +221,74 @@ def apply_cholesky_prewhiten(inv: Grid, samples: Grid) -> Grid:
     return matmul(inv, samples)
 
 
+def eigenvectors(a: Grid) -> Grid:
+    """Columns in the order of eigenvalues(), each of unit norm with its largest element real and positive."""
+
+    def f(m: np.ndarray) -> np.ndarray:
+        w, v = np.linalg.eig(m)
+        v = v[:, np.lexsort((w.imag, w.real))].astype(complex)
+        top = v[np.abs(v).argmax(0), np.arange(v.shape[1])]
+        return v * (np.abs(top) / top)
+
+    return per_matrix(a, f, a.shape, True)
+
+
+def cholesky_prewhiten_calibration(samples: Grid) -> tuple[Grid, DataFrame]:
+    """From noise (channel, sample): the inverse lower Cholesky factor of the channels' sample covariance (means taken off,
+    conj on the second), and mean, least and largest channel deviation (sigma)."""
+    n = samples.shape[1]
+    means = samples.df.groupBy(*samples.keys, "i0").agg(*[F.avg(c).alias(f"m_{c}") for c in samples.values])
+    df = samples.df.join(means, [*samples.keys, "i0"])
+    centred = replace(samples, df=df.select(*samples.keys, "i0", "i1", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in samples.values]))
+    cov = contract(centred, centred, 1, 1, conj_a=True)
+    cov = cov.map((lambda re, im: (re / (n - 1), -im / (n - 1))) if cov.is_complex else (lambda v: v / (n - 1)))
+    sigma = F.sqrt(F.col(cov.values[0]))
+    found = cov.df.where("i0 = i1").groupBy(*cov.keys).agg(F.avg(sigma).alias("sigma"), F.min(sigma).alias("least"), F.max(sigma).alias("largest"))
+    return inverse_cholesky(cov), found
+
+
+def downhill_simplex(initial: Grid, objective: Callable[[np.ndarray], float], lower, upper, tolerance: float = 1e8 * 2.220446049250313e-16, iterations: int = 10000) -> Grid:
+    """The minimum of an objective from each vector of a grid, within bounds: Nelder-Mead by reflection, expansion,
+    contraction and shrinking."""
+    lo, hi = np.asarray(lower, float), np.asarray(upper, float)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        clip = lambda p: np.minimum(np.maximum(p, lo), hi)
+        points = [clip(x)]
+        for d in range(n):
+            p = x.copy()
+            p[d] = p[d] * 1.05 if p[d] else 0.00025
+            points.append(clip(p))
+        values = [objective(p) for p in points]
+        for _ in range(iterations):
+            order = np.argsort(values, kind="stable")
+            points, values = [points[i] for i in order], [values[i] for i in order]
+            if 2 * abs(values[-1] - values[0]) <= tolerance * (abs(values[-1]) + abs(values[0])) + 1e-300:
+                break
+            centre = np.mean(points[:-1], axis=0)
+            mirror = clip(2 * centre - points[-1])
+            v = objective(mirror)
+            if values[0] <= v <= values[-2]:
+                points[-1], values[-1] = mirror, v
+                continue
+            if v < values[0]:
+                far = clip(mirror + (mirror - centre))
+                w = objective(far)
+                points[-1], values[-1] = (far, w) if w < v else (mirror, v)
+                continue
+            near = clip(centre + 0.5 * (points[-1] - centre))
+            w = objective(near)
+            if w < values[-1]:
+                points[-1], values[-1] = near, w
+            else:
+                points = [points[0]] + [clip(points[0] + 0.5 * (p - points[0])) for p in points[1:]]
+                values = [values[0]] + [objective(p) for p in points[1:]]
+        return points[int(np.argmin(values))]
+
+    return initial.kernel(f, initial.shape)
+
+
 # ---------------------------------------------------------------- small fixed matrices, as expressions
 def rotation(axis: str, angle: float) -> np.ndarray:
     """3 x 3 about x, y or z."""

@@ -105,7 +105,7 @@ POINTWISE = {
     "minimum": (lambda v: el.minimum(v, 0.02), "CASE WHEN 0.02 < v THEN 0.02 ELSE v END"), "maximum": (lambda v: el.maximum(v, 0.02), "CASE WHEN v < 0.02 THEN 0.02 ELSE v END"),
     "hypot": (lambda v: el.hypot(v, 0.5), "sqrt(v * v + 0.25)"), "threshold": (lambda v: el.threshold(v, 0.01, 2.0, -1.0), "CASE WHEN v >= 0.01 THEN 2 ELSE -1 END"),
     "floor_mod": (lambda v: el.floor_mod(v * 10.0, 0.7), "v * 10 - floor(v * 10 / 0.7) * 0.7"), "round_value": (lambda v: el.round_value(v * 10.0), "sign(v) * floor(abs(v * 10) + 0.5)"),
-    "order": (lambda v: el.order(v), "CASE WHEN v = 0 THEN 0 ELSE floor(log10(abs(v))) END"),
+    "order": (lambda v: el.order(v), "CASE WHEN v <> 0 THEN ceil(log10(abs(v))) END"),
     "wrap_phase": (lambda v: el.wrap_phase(v * 50.0), f"v * 50 - {2 * math.pi!r} * ceil((v * 50 - {math.pi!r}) / {2 * math.pi!r})"),
     "lerp": (lambda v: el.lerp(v, 1.0, 0.25), "v + (1 - v) * 0.25"), "linear_combination": (lambda v: el.linear_combination((v, 2.0), (v * v, -1.0), (1.0, 0.5)), "2 * v - v * v + 0.5"),
     "multiply_accumulate": (lambda v: el.multiply_accumulate(1.0, v, v), "1 + v * v"), "add_subtract": (lambda v: el.add_subtract(v, 1.0, v * v), "v + 1 - v * v"), "scale_add": (lambda v: el.scale_add(v, 3.0, 1.0), "3 * v + 1"),
@@ -259,6 +259,11 @@ def _(spark, sf):
     return shown(arrays.reduce_conjugate_product(g, arrays.reverse_rows(g)))
 
 
+@query("array_argmin_groups", f"WITH {PX} SELECT vec_id, (i0 // 4)::INT AS i0, i0 % 4 AS i1, (i1 % 4)::INT AS i2, arg_min(i1 // 4, (v, i1 // 4))::DOUBLE AS v FROM px GROUP BY 1, 2, 3, 4")
+def _(spark, sf):
+    return arrays.argmin_groups(images(spark, sf, (2, 4, 8)), 2).df
+
+
 @query("array_block_split", f"WITH {PX} SELECT vec_id, (i1 // 2)::INT AS i0, i1 % 2 AS i1, v FROM px WHERE i0 = 2")
 def _(spark, sf):
     return arrays.copy_block_split(images(spark, sf), 0, 2, 1, 4).df
@@ -270,7 +275,7 @@ def _(spark, sf):
     return shown(arrays.multiply_by_trailing(g, arrays.sum_axis(g, 0)))
 
 
-@query("array_difference_stats", f"WITH {PX}, d AS (SELECT vec_id, lead(v) OVER w - v AS d, v > -0.1 AND lead(v) OVER w > -0.1 AS m FROM px WINDOW w AS (PARTITION BY vec_id, i0 ORDER BY i1)) SELECT vec_id, {R('coalesce(sum(d) FILTER (m AND abs(d) < 0.2), 0)')} AS total, count(*) FILTER (m AND abs(d) < 0.2) AS n FROM d GROUP BY 1")
+@query("array_difference_stats", f"WITH {PX}, d AS (SELECT vec_id, v - lag(v) OVER w AS d, v > -0.1 AS m FROM px WINDOW w AS (PARTITION BY vec_id, i0 ORDER BY i1)) SELECT vec_id, {R('coalesce(sum(d) FILTER (m AND abs(d) < 0.2), 0)')} AS total, count(*) FILTER (m AND abs(d) < 0.2) AS n FROM d GROUP BY 1")
 def _(spark, sf):
     g = images(spark, sf)
     out = arrays.forward_difference_stats_below_threshold(g, g.map(lambda v: F.when(v > -0.1, 1.0).otherwise(0.0)), 1, 0.2)
@@ -502,7 +507,14 @@ imagewise("unsharp_mask", lambda g: image.unsharp_mask(g, 1.5, 3, 0.8), _near("m
 imagewise("dilate_box", lambda g: image.dilate(g, image.box(3, 5)), _near("max(v)", image.box(3, 5)))
 imagewise("erode_ellipse", lambda g: image.erode(g, image.ellipse(5, 3)), _near("min(v)", image.ellipse(5, 3)))
 imagewise("dilate_mask_disk", lambda g: image.dilate_mask(g.map(lambda v: F.when(v > 0.15, 1.0).otherwise(0.0)), image.disk_structuring_element(2)), _near("max(CASE WHEN v > 0.15 THEN 1.0 ELSE 0.0 END)", image.disk_structuring_element(2), "constant"))
-imagewise("erode_threshold_cross", lambda g: image.erode_threshold_cross(g, -0.1), f"WITH {PX}, m AS (SELECT vec_id, i0, i1, CASE WHEN v > -0.1 THEN 1.0 ELSE 0.0 END AS v FROM px) SELECT p.vec_id, p.i0, p.i1, min(coalesce(q.v, 0.0)) AS v FROM m p CROSS JOIN (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) k(a, b) LEFT JOIN m q ON q.vec_id = p.vec_id AND q.i0 = p.i0 + a AND q.i1 = p.i1 + b GROUP BY 1, 2, 3")
+def _crossed(own: str, near: str, value: str) -> str:
+    return f"WITH {PX} SELECT p.vec_id, p.i0, p.i1, {R(f'CASE WHEN p.i0 BETWEEN 1 AND 6 AND p.i1 BETWEEN 1 AND 6 AND {own} AND bool_or({near}) THEN {value} ELSE p.v END')} AS v FROM px p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) k(a, b) LEFT JOIN px q ON q.vec_id = p.vec_id AND q.i0 = p.i0 + a AND q.i1 = p.i1 + b GROUP BY p.vec_id, p.i0, p.i1, p.v"
+
+
+imagewise("erode_threshold_cross", lambda g: image.erode_threshold_cross(g, 0.0, -0.1, -9.0), _crossed("p.v > 0", "q.v < -0.1", "-9"))
+imagewise("dilate_threshold_cross", lambda g: image.dilate_threshold_cross(g, 0.0, 0.1, 9.0), _crossed("p.v < 0", "q.v > 0.1", "9"))
+imagewise("dilate_cross_value", lambda g: image.dilate_cross_value(g.map(lambda v: F.when(v > 0.1, 1.0).otherwise(0.0)), 1.0), _crossed("p.v <> 1", "q.v = 1", "1").replace(PX, PX.replace("embedding[i + 1]::DOUBLE AS v", "CASE WHEN embedding[i + 1]::DOUBLE > 0.1 THEN 1.0 ELSE 0.0 END AS v")))
+imagewise("erode_cross_value", lambda g: image.erode_cross_value(g.map(lambda v: F.when(v > -0.1, 1.0).otherwise(0.0)), 1.0, -1.0), _crossed("p.v = 1", "q.v <> 1", "-1").replace(PX, PX.replace("embedding[i + 1]::DOUBLE AS v", "CASE WHEN embedding[i + 1]::DOUBLE > -0.1 THEN 1.0 ELSE 0.0 END AS v")))
 imagewise("normalize_minmax", image.normalize_minmax, f"WITH {PX} SELECT vec_id, i0, i1, {R('(v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)')} AS v FROM px WINDOW w AS (PARTITION BY vec_id)")
 imagewise("pad_reflect", lambda g: image.pad(g, 1, 2, 3, 1, "reflect"), f"WITH {PX} SELECT k.vec_id, r::INT AS i0, c::INT AS i1, {R('v')} AS v FROM (SELECT DISTINCT vec_id FROM px) k CROSS JOIN range(11) a(r) CROSS JOIN range(12) b(c) JOIN px p ON p.vec_id = k.vec_id AND p.i0 = CASE WHEN r - 1 < 0 THEN -1 - (r - 1) WHEN r - 1 > 7 THEN 15 - (r - 1) ELSE r - 1 END AND p.i1 = CASE WHEN c - 3 < 0 THEN -1 - (c - 3) WHEN c - 3 > 7 THEN 15 - (c - 3) ELSE c - 3 END")
 imagewise("center_crop", lambda g: image.center_crop(g, 4, 6), f"WITH {PX} SELECT vec_id, i0 - 2 AS i0, i1 - 1 AS i1, {R('v')} AS v FROM px WHERE i0 BETWEEN 2 AND 5 AND i1 BETWEEN 1 AND 6")
@@ -539,7 +551,7 @@ def _(spark, sf):
     return shown(image.distance_transform_l2(images(spark, sf).map(lambda v: F.when(v > 0.05, 1.0).otherwise(0.0))))
 
 
-for _n, _f in {"keep_largest_component": lambda g: image.keep_largest_component(g.map(lambda v: F.when(v > 0.05, 1.0).otherwise(0.0))), "multi_otsu_thresholds": image.multi_otsu_thresholds, "rotate_cubic": lambda g: image.rotate_cubic(g, 0.3), "denoise_magnitude": image.denoise_magnitude}.items():
+for _n, _f in {"keep_largest_component": lambda g: image.keep_largest_component(g.map(lambda v: F.when(v > 0.05, 1.0).otherwise(0.0))), "multi_otsu_thresholds": image.multi_otsu_thresholds_scaled, "rotate_cubic": lambda g: image.rotate_cubic(g, 0.3), "denoise_magnitude": image.denoise_magnitude}.items():
     query(f"image_{_n}")(lambda spark, sf, f=_f: shown(f(images(spark, sf))))
 
 
