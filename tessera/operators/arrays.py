@@ -150,11 +150,12 @@ def crop(g: Grid, starts: tuple[int, ...], sizes: tuple[int, ...]) -> Grid:
 
 
 def copy_centered(g: Grid, shape: tuple[int, ...], background: float = 0.0, upper: bool = True) -> Grid:
-    """The centred common part in a background of another shape; odd differences round up or down."""
+    """The centred common part in a background of another shape: middles n // 2 on each other (upper), or half the difference
+    of the sizes, rounded down, before it."""
     where, exprs = F.lit(True), []
     for c, n, m in zip(g.index, g.shape, shape, strict=True):
-        gap = abs(n - m)
-        off = (gap + 1) // 2 if upper else gap // 2
+        big, small = max(n, m), min(n, m)
+        off = big // 2 - small // 2 if upper else (big - small) // 2
         if n > m:
             where = where & (F.col(c) >= off) & (F.col(c) < off + m)
             exprs.append(F.col(c) - off)

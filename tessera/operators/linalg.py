@@ -252,7 +252,7 @@ def downhill_simplex(initial: Grid, objective: Callable[[np.ndarray], float], lo
     contraction and shrinking."""
     lo, hi = np.asarray(lower, float), np.asarray(upper, float)
 
-    def f(x: np.ndarray) -> np.ndarray:
+    def descend(x: np.ndarray) -> np.ndarray:
         n = len(x)
         clip = lambda p: np.minimum(np.maximum(p, lo), hi)
         points = [clip(x)]
@@ -286,6 +286,16 @@ def downhill_simplex(initial: Grid, objective: Callable[[np.ndarray], float], lo
                 values = [values[0]] + [objective(p) for p in points[1:]]
         return points[int(np.argmin(values))]
 
+    def f(x: np.ndarray) -> np.ndarray:
+        # a simplex pressed flat against a bound stops early: begin anew from its best point while that helps
+        best = descend(x)
+        for _ in range(8):
+            again = descend(best)
+            if objective(best) - objective(again) <= tolerance * abs(objective(best)):
+                break
+            best = again
+        return again
+
     return initial.kernel(f, initial.shape)
 
 
