@@ -104,7 +104,9 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Documents of one fingerprint link to its least; the least of each fingerprint, in each variant's group, to the group's
     least. The estimate must reach `similarity` less `slack` (about one and a half of its standard errors).
     """
-    rows = stored(sketched(docs, shingle, doc_id, text).where("id is not null"), "sketches")
+    # one row a document, so that the joins below have nothing to gather by key and Spark may split their hot keys
+    every = sketched(docs, shingle, doc_id, text).where("id is not null")
+    rows = stored(every.groupBy("id").agg(F.min(F.struct("fp0", "fp1", "weak", "sketch")).alias("m")).select("id", "m.*"), "sketches")
     pairs, emitted = [], []
     for t in range(TABLES):
         least = stored(rows.groupBy(F.col(f"fp{t}").alias("fp")).agg(F.min(F.struct("id", "weak")).alias("m")).select("fp", "m.id", "m.weak"), "least")
@@ -125,7 +127,7 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    sketch = lambda n: rows.groupBy(F.col("id").alias(n)).agg(F.min("sketch").alias(f"s_{n}"))
+    sketch = lambda n: rows.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}"))
     both = pairs.withColumnsRenamed({"a": "pa", "b": "pb"}).join(sketch("a"), F.col("pa") == F.col("a")).join(sketch("b"), F.col("pb") == F.col("b"))
     out = stored(both.where(alike("s_a", "s_b") >= similarity - slack).select("a", "b"), "links")
     drop_stored(pairs)
