@@ -8,7 +8,7 @@ row-major order, for kernels that factorise or iterate (NumPy over Arrow, one ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -34,6 +34,8 @@ class Grid:
     shape: tuple[int, ...]
     keys: tuple[str, ...] = ()
     is_complex: bool = False
+    #: the packed form, where df comes from it unchanged: kernels then need no shuffle. replace() forgets it.
+    packed: DataFrame | None = field(default=None, init=False, compare=False)
 
     @property
     def rank(self) -> int:
@@ -103,13 +105,17 @@ class Grid:
     # ------------------------------------------------------------ packed form
     def pack(self) -> DataFrame:
         """keys and one array<double> column for each value column, in row-major order; a missing element is an error."""
+        if self.packed is not None:
+            n = F.size(self.values[0])
+            whole = lambda c: F.when(n == self.size, F.col(c)).otherwise(F.raise_error(F.lit(f"an array does not have the {self.size} elements of its shape")).cast("array<double>"))
+            return self.packed.select(*self.keys, *[whole(c).alias(c) for c in self.values])
         rows = self.df.select(*self.keys, F.struct(self.linear().alias("lin"), *self.values).alias("e"))
         packed = rows.groupBy(*self.keys).agg(F.array_sort(F.collect_list("e")).alias("e"))
         whole = F.when(F.size("e") == self.size, F.col("e")).otherwise(F.raise_error(F.lit(f"an array does not have the {self.size} elements of its shape")).cast("array<struct<lin:int,v:double>>" if not self.is_complex else "array<struct<lin:int,re:double,im:double>>"))
         return packed.select(*self.keys, whole.alias("e")).select(*self.keys, *[F.col(f"e.{c}").alias(c) for c in self.values])
 
-    def kernel(self, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool = False) -> Grid:
-        """f on each array (complex128 or float64), whose results have the given shape."""
+    def kernel(self, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool = False, batched: bool = False) -> Grid:
+        """f on each array (complex128 or float64), whose results have the given shape; batched: on stacks of arrays."""
         packed = self.pack()
         keys, values, inner, is_complex = self.keys, self.values, self.shape, self.is_complex
         names = ["re", "im"] if out_complex else ["v"]
@@ -119,8 +125,11 @@ class Grid:
                 at = batch.schema.get_field_index
                 parts = [batch.column(at(c)).flatten().to_numpy(zero_copy_only=False).reshape(-1, *inner) for c in values]
                 data = parts[0] + 1j * parts[1] if is_complex else parts[0]
-                out = [np.asarray(f(x)) for x in data]
-                cols = [pa.array([np.ascontiguousarray(getattr(o, "real" if c in ("re", "v") else "imag"), float).ravel() for o in out], pa.list_(pa.float64())) for c in names]
+                out = np.asarray(f(data)) if batched and len(data) else np.array([f(x) for x in data])
+                out = out.reshape(len(data), *shape)
+                flat = [np.ascontiguousarray(out.imag if c == "im" else out.real, float).ravel() for c in names]
+                starts = pa.array(np.arange(len(data) + 1, dtype=np.int32) * (out[0].size if len(data) else 0))
+                cols = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in flat]
                 yield pa.RecordBatch.from_arrays([*[batch.column(at(k)) for k in keys], *cols], names=[*keys, *names])
 
         schema = T.StructType([*[packed.schema[k] for k in keys], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in names]])
@@ -135,7 +144,9 @@ def unpacked(df: DataFrame, shape: tuple[int, ...], keys: tuple[str, ...] = (),
     for n, name in zip(shape, index_names(len(shape)), strict=True):
         step //= n
         exprs.append(F.pmod(F.floor(F.col("lin") / F.lit(step)), F.lit(n)).cast("int").alias(name))
-    return Grid(rows.select(*keys, *exprs, *[F.col(f"e.{c}").alias(c) for c in names]), tuple(shape), tuple(keys), is_complex)
+    out = Grid(rows.select(*keys, *exprs, *[F.col(f"e.{c}").alias(c) for c in names]), tuple(shape), tuple(keys), is_complex)
+    object.__setattr__(out, "packed", df.select(*keys, *names))
+    return out
 
 
 def from_arrays(df: DataFrame, column: str, shape: tuple[int, ...], keys: tuple[str, ...]) -> Grid:

@@ -26,13 +26,15 @@ def transform(g: Grid, axes: tuple[int, ...] | None = None, inverse: bool = Fals
     n = math.prod(g.shape[d] for d in axes)
     factor = _scale(n, inverse, norm) * (n if inverse else 1)
 
+    over = tuple(d + 1 for d in axes)  # the first axis counts the arrays of a batch
+
     def f(x: np.ndarray) -> np.ndarray:
         if centered:
-            x = np.fft.ifftshift(x, axes)
-        y = (np.fft.ifftn if inverse else np.fft.fftn)(x, axes=axes) * factor
-        return np.fft.fftshift(y, axes) if centered else y
+            x = np.fft.ifftshift(x, over)
+        y = (np.fft.ifftn if inverse else np.fft.fftn)(x, axes=over) * factor
+        return np.fft.fftshift(y, over) if centered else y
 
-    return g.kernel(f, g.shape, True)
+    return g.kernel(f, g.shape, True, batched=True)
 
 
 def fft(g: Grid, norm: str = "inverse") -> Grid:
@@ -82,8 +84,8 @@ def fft_segmented(g: Grid, segments: int, inverse: bool = False, norm: str = "in
         raise ShapeError(f"{segments} segments do not divide {n} points")
     m = n // segments
     factor = _scale(m, inverse, norm) * (m if inverse else 1)
-    f = lambda x: ((np.fft.ifft if inverse else np.fft.fft)(x.reshape(segments, m), axis=1) * factor).reshape(n)
-    return g.kernel(f, g.shape, True)
+    f = lambda x: (np.fft.ifft if inverse else np.fft.fft)(x.reshape(len(x), segments, m), axis=2) * factor
+    return g.kernel(f, g.shape, True, batched=True)
 
 
 def ifft_segmented(g: Grid, segments: int, norm: str = "inverse") -> Grid:
@@ -123,10 +125,10 @@ def _conv(g: Grid, kernel: np.ndarray, mode: str, flip: bool) -> Grid:
     z = g.is_complex or np.iscomplexobj(k)
 
     def f(x: np.ndarray) -> np.ndarray:
-        y = np.fft.ifft2(np.fft.fft2(x, full) * np.fft.fft2(k, full))[a[0] : a[0] + shape[0], a[1] : a[1] + shape[1]]
+        y = np.fft.ifft2(np.fft.fft2(x, full) * np.fft.fft2(k, full))[:, a[0] : a[0] + shape[0], a[1] : a[1] + shape[1]]
         return y if z else y.real
 
-    return g.kernel(f, shape, z)
+    return g.kernel(f, shape, z, batched=True)
 
 
 def convolve2d_fft(g: Grid, kernel: np.ndarray, mode: str = "full") -> Grid:

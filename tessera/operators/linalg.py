@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import cplx
-from tessera.grid import Grid, ShapeError
+from tessera.grid import Grid, ShapeError, unpacked
 
 
 def _pair(prefix: str, g: Grid):
@@ -40,8 +40,31 @@ def contract(a: Grid, b: Grid, a_dim: int, b_dim: int, conj_a: bool = False) ->
     return Grid(df, tuple([a.shape[d] for d in ka] + [b.shape[d] for d in kb]), keys, len(aggs) == 2)
 
 
+#: Elements of a matrix up to which frames are multiplied whole, one a row.
+PACKED = 1 << 20
+
+
 def matmul(a: Grid, b: Grid) -> Grid:
-    return contract(a, b, 1, 0)
+    """A B of each frame. Frames that come packed are multiplied in stacks, with a join on their keys alone (none if both are
+    one frame's); others, and large ones, by a join on the inner index and sums."""
+    if a.shape[1] != b.shape[0]:
+        raise ShapeError(f"{a.shape} by {b.shape}")
+    if not a.keys or a.keys != b.keys or a.packed is None or b.packed is None or max(a.size, b.size) > PACKED:
+        return contract(a, b, 1, 0)
+    z = a.is_complex or b.is_complex
+    if a is b:
+        return a.kernel(lambda m: m @ m, (a.shape[0], b.shape[1]), z, True)
+    both = a.pack().join(b.pack().withColumnsRenamed({c: f"r_{c}" for c in b.values}), list(a.keys))
+    zeros = lambda c: F.transform(c, lambda x: x * 0.0)
+    if z:
+        re = F.concat(F.col("re") if a.is_complex else F.col("v"), F.col("r_re") if b.is_complex else F.col("r_v"))
+        im = F.concat(F.col("im") if a.is_complex else zeros("v"), F.col("r_im") if b.is_complex else zeros("r_v"))
+        df = both.select(*a.keys, re.alias("re"), im.alias("im"))
+    else:
+        df = both.select(*a.keys, F.concat("v", "r_v").alias("v"))
+    n, (r, k), c = a.size, a.shape, b.shape[1]
+    line = unpacked(df, (a.size + b.size,), a.keys, z)
+    return line.kernel(lambda x: x[:, :n].reshape(-1, r, k) @ x[:, n:].reshape(-1, k, c), (r, c), z, True)
 
 
 def gemv(a: Grid, x: Grid) -> Grid:
@@ -84,8 +107,9 @@ def add_to_diagonal(a: Grid, value: float) -> Grid:
 
 
 # ---------------------------------------------------------------- kernels on whole matrices
-def per_matrix(a: Grid, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool | None = None) -> Grid:
-    return a.kernel(f, shape, a.is_complex if out_complex is None else out_complex)
+def per_matrix(a: Grid, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool | None = None, batched: bool = True) -> Grid:
+    """f on stacks of matrices, as NumPy's functions take them, or (not batched) on one matrix at a time."""
+    return a.kernel(f, shape, a.is_complex if out_complex is None else out_complex, batched)
 
 
 def inverse(a: Grid) -> Grid:
@@ -97,7 +121,7 @@ def pseudo_inverse(a: Grid, tolerance: float = 1e-15) -> Grid:
 
 
 def determinant(a: Grid) -> Grid:
-    return per_matrix(a, lambda m: np.array([np.linalg.det(m)]), (1,))
+    return per_matrix(a, lambda m: np.linalg.det(m)[:, None], (1,))
 
 
 def singular_values(a: Grid) -> Grid:
@@ -131,7 +155,7 @@ def self_adjoint_eigenvectors(a: Grid) -> Grid:
 
 def eigenvalues(a: Grid) -> Grid:
     """Complex, ordered by real part, then imaginary part."""
-    return per_matrix(a, lambda m: np.sort_complex(np.linalg.eigvals(m).astype(complex)), (a.shape[0],), True)
+    return per_matrix(a, lambda m: np.sort_complex(np.linalg.eigvals(m).astype(complex)), (a.shape[0],), True, False)
 
 
 def with_rhs(a: Grid, b: Grid) -> Grid:
@@ -201,7 +225,7 @@ def whitening_from_covariance(c: Grid, floor: float = 1e-12) -> Grid:
 
     def f(m: np.ndarray) -> np.ndarray:
         w, v = np.linalg.eigh(m)
-        return (v / np.sqrt(np.maximum(w, floor))) @ v.conj().T
+        return (v / np.sqrt(np.maximum(w, floor))[:, None, :]) @ v.conj().swapaxes(1, 2)
 
     return per_matrix(c, f, c.shape)
 
@@ -230,7 +254,7 @@ def eigenvectors(a: Grid) -> Grid:
         top = v[np.abs(v).argmax(0), np.arange(v.shape[1])]
         return v * (np.abs(top) / top)
 
-    return per_matrix(a, f, a.shape, True)
+    return per_matrix(a, f, a.shape, True, False)
 
 
 def cholesky_prewhiten_calibration(samples: Grid) -> tuple[Grid, DataFrame]:

@@ -183,7 +183,7 @@ def cartesian_ifft2_coil_images(kspace: Grid) -> Grid:
     """Each channel's inverse transform, divided by the number of points, without a shift; coils go last."""
     c, ky, kx = kspace.shape
     one = Grid(kspace.df.withColumnRenamed("i0", "channel").withColumnsRenamed({"i1": "i0", "i2": "i1"}), (ky, kx), (*kspace.keys, "channel"), kspace.is_complex)
-    out = one.kernel(np.fft.ifft2, (ky, kx), True)
+    out = one.kernel(np.fft.ifft2, (ky, kx), True, batched=True)
     return Grid(out.df.select(*kspace.keys, "i0", "i1", F.col("channel").cast("int").alias("i2"), "re", "im"), (ky, kx, c), kspace.keys, True)
 
 
