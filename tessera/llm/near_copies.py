@@ -2,8 +2,9 @@
 
 Copies with a few words changed keep most of their 5-word shingles but move several bits of a fingerprint of these. So
 candidates come from two fingerprints over single words, which such changes hardly move; each emits all variants of one flip
-and those of two flips among its bits nearest to the border, which changes move first. Every candidate pair is then
-verified: an estimate of the Jaccard similarity of the shingle sets from sketches of their least hashes (exact for sets no
+and those of two flips among its bits nearest to the border, which changes move first. Unlike texts ruled by one word (rows
+of a table, strings of marks) may share a fingerprint; so documents are first grouped by fingerprint and least shingle hash,
+where copies always meet. Every candidate pair is then verified: an estimate of the Jaccard similarity of the shingle sets from sketches of their least hashes (exact for sets no
 larger than a sketch).
 """
 
@@ -25,17 +26,20 @@ TABLES = 2  # fingerprints of a text
 WEAK = 8  # bits of a fingerprint whose pairs are flipped
 ONE = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
 PAIRS = np.triu_indices(WEAK, 1)
+#: What is found of a text: fingerprints, least shingle hashes, weak bits, sketch.
+FOUND = (*[f"fp{t}" for t in range(TABLES)], *[f"mh{t}" for t in range(TABLES)], "weak", "sketch")
 
 
-def described(texts: pa.Array, shingle: int) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
-    """Of each text the fingerprints, the weak bits of each, and the sketch of its shingles."""
+def described(texts: pa.Array, shingle: int) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes], list[list[int]]]:
+    """Of each text the fingerprints, the weak bits of each, the sketch of its shingles, and their least hash for each
+    fingerprint (-1 without words)."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     s, e, first = words(data, offsets)
     h = word_hashes(data, s, e)
     n = np.diff(first)
     runs = window_hashes(h, shingle, 0x9FB21C651E98DF25)
-    fps, weak, sketches = [], [], []
+    fps, weak, sketches, least = [], [], [], []
     for i in range(len(n)):
         own = h[first[i] : first[i + 1]]
         found_fp, found_weak = [], []
@@ -55,7 +59,8 @@ def described(texts: pa.Array, shingle: int) -> tuple[list[np.ndarray], list[np.
             own = window_hashes(own, int(n[i]), 0x9FB21C651E98DF25)
         low = np.unique((own >> np.uint64(32)).astype(np.uint32))[:SIZE]
         sketches.append(low.tobytes())
-    return fps, weak, sketches
+        least.append([int(low[0]), *[int((mix(own + np.uint64(t)) & np.uint64(0x7FFFFFFF)).min()) for t in range(1, TABLES)]] if len(own) else [-1] * TABLES)
+    return fps, weak, sketches, least
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -70,18 +75,18 @@ def jaccard(a: bytes, b: bytes) -> float:
 def sketched(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in segments(batches, text, 8 << 20):
-            fps, weak, sketches = described(column(batch, text), shingle)
+            fps, weak, sketches, least = described(column(batch, text), shingle)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, doc_id).cast(pa.int64()), *[pa.array(signed(np.array([f[t] for f in fps], np.uint64))) for t in range(TABLES)], pa.array([w.tobytes() for w in weak], pa.binary()), pa.array(sketches, pa.binary())],
-                names=["id", *[f"fp{t}" for t in range(TABLES)], "weak", "sketch"],
+                [column(batch, doc_id).cast(pa.int64()), *[pa.array(signed(np.array([f[t] for f in fps], np.uint64))) for t in range(TABLES)], *[pa.array([m[t] for m in least], pa.int64()) for t in range(TABLES)], pa.array([w.tobytes() for w in weak], pa.binary()), pa.array(sketches, pa.binary())],
+                names=["id", *FOUND],
             )
 
-    schema = "id long, " + "".join(f"fp{t} long, " for t in range(TABLES)) + "weak binary, sketch binary"
+    schema = "id long, " + "".join(f"{c} long, " for c in FOUND[:-2]) + "weak binary, sketch binary"
     return only(docs, doc_id, text).mapInArrow(run, schema)
 
 
 def variants(least: DataFrame, table: int) -> DataFrame:
-    """key, id: the variants of each distinct fingerprint (fp, id, weak), the table's number mixed into the key."""
+    """key, id: the variants of each group's fingerprint (fp, id, weak), the table's number mixed into the key."""
     salt = np.uint64((table + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +106,17 @@ def variants(least: DataFrame, table: int) -> DataFrame:
 def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b: verified links between documents, which connect the groups of near copies; not all pairs of a group.
 
-    Documents of one fingerprint link to its least; the least of each fingerprint, in each variant's group, to the group's
+    Documents of one fingerprint and least shingle hash link to their least; these, in each variant's group, to the group's
     least. The estimate must reach `similarity` less `slack` (about one and a half of its standard errors).
     """
     # one row a document, so that the joins below have nothing to gather by key and Spark may split their hot keys
     every = sketched(docs, shingle, doc_id, text).where("id is not null")
-    rows = stored(every.groupBy("id").agg(F.min(F.struct("fp0", "fp1", "weak", "sketch")).alias("m")).select("id", "m.*"), "sketches")
+    rows = stored(every.groupBy("id").agg(F.min(F.struct(*FOUND)).alias("m")).select("id", "m.*"), "sketches")
     pairs, emitted = [], []
     for t in range(TABLES):
-        least = stored(rows.groupBy(F.col(f"fp{t}").alias("fp")).agg(F.min(F.struct("id", "weak")).alias("m")).select("fp", "m.id", "m.weak"), "least")
-        same = rows.select("id", f"fp{t}").join(least.select("fp", F.col("id").alias("b")), F.col(f"fp{t}") == F.col("fp")).select(F.col("id").alias("a"), "b")
+        least = stored(rows.groupBy(F.col(f"fp{t}").alias("fp"), F.col(f"mh{t}").alias("mh")).agg(F.min(F.struct("id", "weak")).alias("m")).select("fp", "mh", "m.id", "m.weak"), "least")
+        firsts = least.select("fp", "mh", F.col("id").alias("b"))
+        same = rows.select("id", f"fp{t}", f"mh{t}").join(firsts, (F.col(f"fp{t}") == F.col("fp")) & (F.col(f"mh{t}") == F.col("mh"))).select(F.col("id").alias("a"), "b")
         pairs.append(same)
         emitted.append(variants(least, t))
     flipped = emitted[0]

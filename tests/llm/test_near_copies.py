@@ -44,12 +44,21 @@ def test_groups(spark):
 def test_estimate():
     rng = np.random.default_rng(1)
     texts = [" ".join(map(str, rng.integers(0, 50, n))) for n in (3, 5, 40, 40)] + ["", "A b", "a B"]
-    _, _, s = described(pa.array(texts), 5)
+    _, _, s, _ = described(pa.array(texts), 5)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
             x, y = shingles(a), shingles(b)
             assert abs(jaccard(s[i], s[j]) - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-9
 
 
+def test_copies_among_texts_that_share_a_fingerprint(spark):
+    """Texts ruled by one mark have one fingerprint; their copies are found all the same."""
+    rng = random.Random(3)
+    texts = [" | ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    kept = sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == list(range(80))
+
+
 def test_empty(spark):
     assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
