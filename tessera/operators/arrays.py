@@ -417,3 +417,33 @@ def forward_difference_stats_below_threshold(g: Grid, mask: Grid, dim: int, thre
     df = both.df.select(*g.keys, (F.col("re") - F.lag("re").over(w)).alias("d"), (F.col("im") > 0).alias("m"))
     ok = F.col("m") & (F.abs("d") < threshold)
     return df.groupBy(*g.keys).agg(F.coalesce(F.sum(F.when(ok, F.col("d"))), F.lit(0.0)).alias("total"), F.count_if(ok).alias("n"))
+
+
+def accumulate(g: Grid, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """A fold over the elements in row-major order, for steps whose order matters: over the packed form of one array."""
+    return g.pack().select(*g.keys, F.aggregate(g.values[0], start, step).alias("v"))
+
+
+def transform_linear_indexed(g: Grid, f: Callable[..., Column]) -> Grid:
+    """f(row-major position, value)."""
+    return g.map(lambda *v: f(g.linear(), *v))
+
+
+def transform_indexed(g: Grid, f: Callable[..., Column]) -> Grid:
+    """f(i0, ..., value)."""
+    return g.map(lambda *v: f(*[F.col(c) for c in g.index], *v))
+
+
+def for_each(g: Grid, f: Callable) -> None:
+    """f on each row, in the executors."""
+    g.df.foreach(f)
+
+
+def for_each_contiguous_block(g: Grid, f: Callable) -> None:
+    """f on each array's packed row, in the executors."""
+    g.pack().foreach(f)
+
+
+def for_each_zip(a: Grid, b: Grid, f: Callable) -> None:
+    """f on each pair of elements (as re and im), in the executors."""
+    a.zip(b, lambda x, y: (x, y)).df.foreach(f)

@@ -401,7 +401,17 @@ def resize_volume_cubic(g: Grid, a: int, b: int, c: int) -> Grid:
     return resample_axis(resize(g, a, b, "cubic"), 2, c, "cubic")
 
 
-def rotate_cubic(g: Grid, radians: float) -> Grid:
+def bspline_weight(x: float) -> float:
+    """The cubic B-spline, which smooths as it interpolates."""
+    x = abs(x)
+    return (4 - 6 * x * x + 3 * x**3) / 6 if x < 1 else (2 - x) ** 3 / 6 if x < 2 else 0.0
+
+
+def rotate_cubic_bspline_smooth(g: Grid, radians: float) -> Grid:
+    return rotate_cubic(g, radians, bspline_weight)
+
+
+def rotate_cubic(g: Grid, radians: float, weight: Callable[[float], float] = cubic_weight) -> Grid:
     """About the middle, by cubic interpolation of the rotated positions; outside is 0."""
     rows, cols = g.shape
 
@@ -412,7 +422,7 @@ def rotate_cubic(g: Grid, radians: float) -> Grid:
         sx = -math.sin(radians) * (yy - cy) + math.cos(radians) * (xx - cx) + cx
         by, bx = np.floor(sy).astype(int), np.floor(sx).astype(int)
         out = np.zeros(x.shape)
-        w = np.vectorize(cubic_weight)
+        w = np.vectorize(weight)
         for p in range(-1, 3):
             for q in range(-1, 3):
                 ys, xs = by + p, bx + q
@@ -584,6 +594,44 @@ def align_ecc_euclidean(reference: Grid, moving: Grid, iterations: int = 20, eps
     return Grid(both, (rows, cols, 2), reference.keys).kernel(f, (3,))
 
 
+def bm3d_denoise_magnitude(g: Grid, sigma: float, block: int = 4, search: int = 9, most: int = 16) -> Grid:
+    """Block matching: like blocks around a block are stacked, transformed together, coefficients under 2.7 sigma dropped, and
+    all estimates of a pixel averaged by how sparse their stacks were (one stage)."""
+
+    def basis(n: int) -> np.ndarray:
+        k = np.cos(np.pi * np.outer(np.arange(n), np.arange(n) + 0.5) / n) * np.sqrt(2 / n)
+        k[0] /= np.sqrt(2)
+        return k
+
+    d = basis(block)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        rows, cols = x.shape
+        if min(rows, cols) < block:
+            return x
+        views = np.lib.stride_tricks.sliding_window_view(x, (block, block))
+        total, weight = np.zeros(x.shape), np.zeros(x.shape)
+        for i in sorted({*range(0, rows - block + 1, 2), rows - block}):
+            for j in sorted({*range(0, cols - block + 1, 2), cols - block}):
+                a, b = max(0, i - search // 2), max(0, j - search // 2)
+                near = views[a : i + search // 2 + 1, b : j + search // 2 + 1]
+                gap = ((near - views[i, j]) ** 2).mean((2, 3))
+                at = np.argsort(gap, axis=None, kind="stable")[:most]
+                p, q = np.unravel_index(at, gap.shape)
+                t = basis(len(at))
+                z = np.einsum("st,tab->sab", t, np.einsum("ua,tab,vb->tuv", d, near[p, q], d))
+                keep = np.abs(z) >= 2.7 * sigma
+                keep[0, 0, 0] = True
+                w = 1.0 / keep.sum()
+                y = np.einsum("ua,tuv,vb->tab", d, np.einsum("st,sab->tab", t, z * keep), d)
+                for k in range(len(at)):
+                    total[a + p[k] : a + p[k] + block, b + q[k] : b + q[k] + block] += w * y[k]
+                    weight[a + p[k] : a + p[k] + block, b + q[k] : b + q[k] + block] += w
+        return total / weight
+
+    return g.kernel(f, g.shape)
+
+
 def grid_of(spark, rows: int, cols: int, f: Callable[[Column, Column], Column]) -> Grid:
     return constants(spark, (rows, cols), lambda lin, i, j: f(i, j))
 

@@ -107,6 +107,47 @@ def read_mat(path: str) -> dict[str, np.ndarray | tuple]:
     return out
 
 
+def read_array(spark: SparkSession, path: str, name: str):
+    """A dense variable of a MAT file as a keyless grid; one column is a vector."""
+    from tessera.grid import from_numpy
+
+    a = read_mat(path)[name]
+    return from_numpy(spark, a.ravel() if a.ndim == 2 and a.shape[1] == 1 else a)
+
+
+def write_array(path: str, name: str, grid, compressed: bool = False) -> None:
+    """One keyless grid, small enough for the driver, as a MAT file."""
+    from tessera.grid import to_numpy
+
+    write_mat(path, {name: to_numpy(grid)}, compressed)
+
+
+def read_sparse(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """row, col, v (or re, im) of a sparse variable."""
+    _, row, col, v = read_mat(path)[name]
+    z = np.iscomplexobj(v)
+    values = [v.real.tolist(), v.imag.tolist()] if z else [v.tolist()]
+    rows = list(zip(row.tolist(), col.tolist(), *values, strict=True))
+    return spark.createDataFrame(rows, "row int, col int, " + ("re double, im double" if z else "v double"))
+
+
+def write_sparse(path: str, name: str, coo: DataFrame, shape: tuple[int, int], compressed: bool = False) -> None:
+    got = coo.select("row", "col", "v").toPandas()
+    write_mat(path, {name: (shape, got["row"].to_numpy(), got["col"].to_numpy(), got["v"].to_numpy(float))}, compressed)
+
+
+def dump_mat_array(grid, prefix: str, name: str, enabled: str = "TESSERA_DUMP") -> str | None:
+    """prefix_name.mat, if the named environment variable is set."""
+    if not array_dump_enabled(enabled):
+        return None
+    write_array(path := f"{prefix}_{name}.mat", name, grid)
+    return path
+
+
+def array_dump_enabled(name: str = "TESSERA_DUMP") -> bool:
+    return bool(os.environ.get(name))
+
+
 # ---------------------------------------------------------------- CFL, PGM, JSON lines
 def write_cfl(base: str, a: np.ndarray) -> None:
     """base.hdr with the dimensions, base.cfl with single-precision complex numbers, first axis fastest."""
@@ -144,6 +185,18 @@ def append_jsonl(path: str, event: str, payload: dict | None = None, enabled: st
     return True
 
 
+def debug_event_enabled(name: str = "TESSERA_DEBUG") -> bool:
+    return bool(os.environ.get(name))
+
+
+def append_debug_timing_event(path: str, name: str, milliseconds: float) -> bool:
+    return append_jsonl(path, "timing", {"name": name, "duration_ms": milliseconds})
+
+
+def json_escape(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)[1:-1]
+
+
 # ---------------------------------------------------------------- tables
 ACQUISITIONS = """
 scan_id string, ordinal long, version int, flags long, measurement_uid long, scan_counter long, acquisition_time_stamp long,
