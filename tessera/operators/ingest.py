@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.grid import Grid
+from tessera.operators.stats import bucket_of, split_points
 
 #: Bits (from 1) of acquisition flags (fixed values of the public record format).
 FLAG_BITS = {
@@ -167,10 +168,14 @@ def exact_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def arrival_violations(df: DataFrame, order_key: str, arrival: str) -> DataFrame:
-    """Frames whose order key is smaller than one that came before."""
-    w = Window.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    """Frames whose order key is smaller than one that came before. Running maxima over ranges of arrival, and over the
+    ranges' maxima: no task sees all frames."""
     firsts = df.groupBy(order_key).agg(F.min(arrival).alias(arrival))
-    return firsts.withColumn("before", F.max(order_key).over(w)).where(F.col(order_key) < F.col("before"))
+    parts = firsts.withColumn("part", bucket_of(arrival, split_points(firsts, arrival)))
+    tops = parts.groupBy("part").agg(F.max(order_key).alias("top"))
+    tops = tops.select("part", F.max("top").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    inside = F.max(order_key).over(Window.partitionBy("part").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.join(tops, "part").withColumn("before", F.greatest(inside, "earlier")).where(F.col(order_key) < F.col("before")).select(order_key, arrival, "before")
 
 
 # ---------------------------------------------------------------- inspection

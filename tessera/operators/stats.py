@@ -181,12 +181,30 @@ def otsu_threshold(g: Grid, bins: int = 256) -> DataFrame:
     return found.union(ends.where("hi = lo").select(*g.keys, F.col("lo").alias("threshold")))
 
 
+def split_points(df: DataFrame, value: str, parts: int = 128) -> list[float]:
+    """Up to `parts` - 1 approximate quantiles of a numeric column: one small row reaches the driver."""
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("s")).first()
+    return sorted(set(row.s or []))
+
+
+def bucket_of(value: str, splits: list[float]) -> Column:
+    """How many split points are below a value."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]).cast("array<double>"), lambda x: x < F.col(value).cast("double")))
+
+
 def midpoint_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The percentile by the midpoint rule: position p n / 100 - 1/2 from 0, between neighbours in proportion."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = F.greatest(F.least(F.lit(p / 100.0) * F.col("n") - 0.5, F.col("n") - 1.0), F.lit(0.0))
+    """The percentile by the midpoint rule: position p n / 100 - 1/2 from 0, between neighbours in proportion.
+
+    Equal values are counted first, on the map side; ranks then run over ranges of values, and the counts of the ranges over
+    each other, so that a key with most of the rows never meets in one task."""
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", bucket_of(value, split_points(counted, value)))
+    of_key = Window.partitionBy(*keys)
+    sizes = parts.groupBy(*keys, "part").agg(F.sum("n").alias("here"))
+    sizes = sizes.select(*keys, "part", (F.sum("here").over(of_key.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(of_key).alias("all"))
+    ranked = parts.join(sizes, [*keys, "part"]).withColumn("end", F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value)) + F.col("before"))
+    at = F.greatest(F.least(F.lit(p / 100.0) * F.col("all") - 0.5, F.col("all") - 1.0), F.lit(0.0))
     lo = F.floor(at)
-    low = F.max(F.when(F.col("r") == lo, F.col(value)))
-    high = F.max(F.when(F.col("r") == F.least(lo + 1, F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(low.alias("a"), high.alias("b"), F.first(at - lo).alias("t")).select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias(name))
+    holds = lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end"))
+    out = ranked.groupBy(*keys).agg(F.max(F.when(holds(lo), F.col(value))).alias("a"), F.max(F.when(holds(F.least(lo + 1, F.col("all") - 1)), F.col(value))).alias("b"), F.max(at - lo).alias("t"))
+    return out.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias(name))
