@@ -5,7 +5,8 @@ some shift under PERIOD brings both places to cover positions, and the SPAN = WI
 Only at cover positions (6 of 31) are runs of SPAN words hashed. Anchors that two documents share are candidates; around them
 all windows of WINDOW words are hashed in full, and the least document of each window's sequence keeps it.
 
-Nothing is gathered by key: each batch sends one row for each hash, its least document's, and settles the others itself.
+Nothing is gathered by key: each batch sends one row for each hash, for its least document, and settles the other documents
+itself; where in a document a hash stands is found again from its text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ SPAN = WINDOW - PERIOD + 1
 M1, M2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 #: The lowest two bits of g: a place to be compared with other batches', or one that is known to be shared.
 COMPARE, KNOWN = 0, 1
-WHOLE = -1  # the place of a whole text
+#: What a hash is of: a run of words, or a whole text.
+RUN, WHOLE = 0, -1
 ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "g", "doc", "pos")])
 
 
@@ -66,37 +68,42 @@ class Words:
         return out
 
 
-def first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the keys (the last is the first to sort by) and which rows begin a run of equal last two keys."""
-    order = np.lexsort(keys)
-    a, b = keys[-1][order], keys[-2][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, new
-
-
-def settle(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, both_sides: bool) -> pa.RecordBatch:
-    """The rows of a batch, with what it can settle by itself put under keys of their own (g = KNOWN).
-
-    For windows a place in a larger document than the batch's least with that (h, g) is a repeat: known; the least's places
-    are still to be compared with other batches. With both_sides another document is enough: if the batch has two, all
-    places are known, and one row of the least document goes on for the other batches.
-    """
-    order, new = first_of_each(pos, doc, g, h)
-    h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-    group = np.cumsum(new) - 1
-    known = doc != doc[np.flatnonzero(new)][group]
-    keep = ~known
+def begins(*keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows begin a run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def settle(h: np.ndarray, g: np.ndarray, doc: np.ndarray, what: int, both_sides: bool) -> pa.RecordBatch:
+    """One row for each (h, g) of a batch, its least document's, and what the batch can settle by itself under keys of their
+    own (g says KNOWN): a larger document's hash is a repeat; with both_sides, where another document is enough, the least
+    one's too if the batch has two."""
+    order = np.lexsort((doc, g, h))
+    h, g, doc = h[order], g[order], doc[order]
+    one = begins(h, g, doc)
+    h, g, doc = h[one], g[one], doc[one]
+    new = begins(h, g)
+    known = ~new
     if both_sides:
+        group = np.cumsum(new) - 1
         shared = np.zeros(int(new.sum()), bool)
-        shared[group[known]] = True
+        shared[group[~new]] = True
         known = shared[group]
-        keep = new | ~known
-    n = int(known.sum())
-    own = mix(doc[known].view(np.uint64) * GOLDEN + pos[known].view(np.uint64))
-    # a known window's own hash is told again, so that the text it belongs to can be checked
-    told = np.where(np.full(n, both_sides), own, h[known])
-    return span_rows([np.concatenate([h[keep], told]), np.concatenate([g[keep], np.full(n, KNOWN, np.uint64) if both_sides else spread(own)]), np.concatenate([doc[keep], doc[known]]), np.concatenate([pos[keep], pos[known]])])
+    own = mix(doc[known].view(np.uint64) * GOLDEN + h[known])
+    rows = [np.concatenate([h[new], h[known]]), np.concatenate([g[new], spread(own)]), np.concatenate([doc[new], doc[known]])]
+    return span_rows([*rows, np.full(len(rows[0]), what, np.int64)])
+
+
+def within(h: np.ndarray, row: np.ndarray, told: np.ndarray, told_row: np.ndarray) -> np.ndarray:
+    """Which (hash, row) pairs are among those told."""
+    key = lambda x, r: mix(x ^ mix(r.astype(np.uint64) + np.uint64(1)))
+    if not len(told) or not len(h):
+        return np.zeros(len(h), bool)
+    hit = np.isin(row, np.unique(told_row))
+    hit[hit] = np.isin(key(h[hit], row[hit]), key(told.view(np.uint64), told_row))
+    return hit
 
 
 def spread(own: np.ndarray) -> np.ndarray:
@@ -123,21 +130,21 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             place = w.place
             whole = [w.whole(M1)[long], second(w.whole(M2)[long])]
             d = doc[long]
-            order, new = first_of_each(d, d, whole[1], whole[0])
+            order = np.lexsort((d, whole[1], whole[0]))
             copy = np.zeros(w.rows, bool)  # of a text of this batch in a smaller or the same document
-            copy[long[order[~new]]] = True
-            yield settle(whole[0], whole[1], d, np.full(len(d), WHOLE, np.int64), False)
+            copy[long[order[~begins(whole[0][order], whole[1][order])]]] = True
+            yield settle(whole[0], whole[1], d, WHOLE, False)
             h = window_hashes(w.hashes, SPAN, M1)
             if len(h):
                 usable = has & (size >= WINDOW) & ~copy
                 at = np.flatnonzero(w.fits & np.isin(place[: len(h)] % PERIOD, COVER) & usable[w.row[: len(h)]])
-                yield settle(h[at], np.full(len(at), COMPARE, np.uint64), doc[w.row[at]], place[at], True)
+                yield settle(h[at], np.full(len(at), COMPARE, np.uint64), doc[w.row[at]], RUN, True)
 
     return only(docs, "doc_id", "text").mapInArrow(run, ROW)
 
 
 def shared_places(rows: DataFrame, both_sides: bool) -> DataFrame:
-    """doc, pos, h of the rows that are known or whose (h, g) other documents hold: any, or a smaller one."""
+    """doc, pos (what it is of) and h of the rows that are known or whose (h, g) other documents hold: any, or a smaller one."""
     w = Window.partitionBy("h", "g")
     found = rows.withColumn("least", F.min("doc").over(w))
     other = F.col("doc") > F.col("least")
@@ -148,7 +155,7 @@ def shared_places(rows: DataFrame, both_sides: bool) -> DataFrame:
 
 
 def places_by_document(places: DataFrame) -> DataFrame:
-    """A row for each document: its places and their hashes, as many at most as it has words."""
+    """A row for each document: its shared hashes and what they are of, as many at most as it has words."""
     return places.groupBy(F.col("doc").alias("d")).agg(F.collect_list("pos").alias("pos"), F.collect_list("h").alias("h"))
 
 
@@ -168,33 +175,34 @@ def window_rows(joined: DataFrame) -> DataFrame:
             doc = column(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             pos, row = flat(column(batch, "pos"))
             copy = w.copies(pos, row, flat(column(batch, "h"))[0])
-            ok = (pos >= 0) & (pos + SPAN <= np.diff(w.first)[row]) & ~copy[row]
+            h = window_hashes(w.hashes, SPAN, M1)
+            at = np.flatnonzero((w.row[: len(h)] == w.row[SPAN - 1 :]) & np.isin(w.place[: len(h)] % PERIOD, COVER) & ~copy[w.row[: len(h)]]) if len(h) else np.zeros(0, np.int64)
+            told = flat(column(batch, "h"))[0][pos == RUN]
+            at = at[within(h[at], w.row[at], told, row[pos == RUN])]
             # a window contains an anchor at p if it begins in [p - PERIOD + 1, p]
             mark = np.zeros(len(w.hashes) + 1, np.int32)
-            lo = np.maximum(pos[ok] - PERIOD + 1, 0) + w.first[:-1][row[ok]]
-            np.add.at(mark, lo, 1)
-            np.add.at(mark, pos[ok] + w.first[:-1][row[ok]] + 1, -1)
+            np.add.at(mark, np.maximum(at - PERIOD + 1, w.first[:-1][w.row[at]]), 1)
+            np.add.at(mark, at + 1, -1)
             h = window_hashes(w.hashes, WINDOW, M1)
             if not len(h):
                 continue
             at = np.flatnonzero((np.cumsum(mark)[: len(h)] > 0) & w.fits)
             if len(at):
                 g = window_hashes(w.hashes, WINDOW, M2)
-                yield settle(h[at], second(g[at]), doc[w.row[at]], at - w.first[:-1][w.row[at]], False)
+                yield settle(h[at], second(g[at]), doc[w.row[at]], RUN, False)
 
     return joined.select("doc_id", "text", "pos", "h").mapInArrow(run, ROW)
 
 
-def removed(w: Words, copy: np.ndarray, pos: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which words are covered by repeated windows: all of a copied text, else those of places whose hash is still theirs."""
-    out = copy[w.row] & (np.diff(w.first) >= WINDOW)[w.row]
-    h = signed(window_hashes(w.hashes, WINDOW, M1))
-    at = pos + w.first[:-1][row]
-    ok = (pos >= 0) & (pos + WINDOW <= np.diff(w.first)[row])
-    ok[ok] = h[at[ok]] == known[ok] if len(h) else False
+def removed(w: Words, pos: np.ndarray, row: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Which words are covered by repeated windows: all of a copied text, else those of windows whose hash is told."""
+    out = w.copies(pos, row, told)[w.row]
+    h = window_hashes(w.hashes, WINDOW, M1)
+    at = np.flatnonzero(w.fits)
+    at = at[within(h[at], w.row[at], told[pos == RUN], row[pos == RUN])]
     mark = np.zeros(len(w.hashes) + 1, np.int32)
-    np.add.at(mark, at[ok], 1)
-    np.add.at(mark, at[ok] + WINDOW, -1)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + WINDOW, -1)
     return out | (np.cumsum(mark)[:-1] > 0)
 
 
@@ -221,7 +229,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             w = Words(texts, WINDOW)
             pos, row = flat(column(batch, "pos"))
             told, _ = flat(column(batch, "h"))
-            gone = removed(w, w.copies(pos, row, told), pos, row, told)
+            gone = removed(w, pos, row, told)
             n_gone = np.bincount(w.row[gone], minlength=w.rows)
             kept = []
             for i, t in enumerate(texts.to_pylist()):
