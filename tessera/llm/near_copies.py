@@ -145,5 +145,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     copies. Texts without words are copies of each other; rows that repeat a doc_id are one document and stay or go
     together; rows with a null doc_id stay."""
     groups = connected_components(near_copy_links(docs, shingle, similarity, doc_id=doc_id, text=text))
-    gone = stored(groups.where("node <> root").select(F.col("node").alias("gone_id")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("gone_id"), "left_anti")
+    gone = stored(groups.where("node <> root").select(F.col("node").alias("_gone_id")), "gone")
+    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_gone_id"), "left_anti")

@@ -182,12 +182,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
     rows give a row each and count as often in training. Nothing but the text enters a score.
     """
     x = stored(document_statistics(docs, doc_id, text), "statistics")
-    y = labels.where(F.col(target).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(target).cast("int").alias("label"))
-    train = x.where(~held_out(F.col(doc_id))).join(y, F.col(doc_id) == F.col("id")).select("label", "x")
+    return scored(x, fitted(x, labels, target, doc_id), cut, doc_id)
+
+
+def fitted(x: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id") -> Discriminant:
+    """The model of the labelled rows of document_statistics() that aren't held out."""
+    y = labels.where(F.col(target).isNotNull()).groupBy(F.col(doc_id).alias("_label_id")).agg(F.min(target).cast("int").alias("label"))
+    train = x.where(~held_out(F.col(doc_id))).join(y, F.col(doc_id) == F.col("_label_id")).select("label", "x")
     train = stored(train.where("label in (0, 1)"), "training")
     model = fit(train)
     drop_stored(train)
-    return scored(x, model, cut, doc_id)
+    return model
 
 
 def scored(x: DataFrame, model: Discriminant, cut: float, doc_id: str = "doc_id") -> DataFrame:
@@ -202,11 +207,7 @@ def scored(x: DataFrame, model: Discriminant, cut: float, doc_id: str = "doc_id"
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, whose text scores at least `cut` under the model that quality_scores() fits."""
-    x = document_statistics(docs, doc_id, text)
-    y = labels.where(F.col("quality").isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min("quality").cast("int").alias("label"))
-    train = stored(x.where(~held_out(F.col(doc_id))).join(y, F.col(doc_id) == F.col("id")).select("label", "x").where("label in (0, 1)"), "training")
-    model = fit(train)
-    drop_stored(train)
+    model = fitted(document_statistics(docs, doc_id, text), labels, "quality", doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in segments(batches, text, 4 << 20):

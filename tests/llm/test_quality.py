@@ -36,6 +36,13 @@ def test_edges(spark):
     assert keep_good(docs, none).columns == docs.columns and keep_good(docs, none).count() == 5
 
 
+def test_other_names(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i + 1), 0.5) for i in range(20)], "id long, label string, x double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, y int")
+    got = quality_scores(docs, labels, target="y", doc_id="id", text="label")
+    assert got.columns == ["id", "held_out", "score", "predicted"] and got.count() == 20
+
+
 def test_statistics_are_finite_and_each_texts_own():
     import pyarrow as pa
 
