@@ -13,14 +13,19 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(directed: DataFrame, larger: bool) -> DataFrame:
-    """Each node u links its neighbours (the larger ones, or the smaller ones and itself) to the least node next to it."""
-    least = directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("u", "m").alias("m"))
+    """Each node u links its neighbours (the larger ones, or the smaller ones and itself) to the least node next to it. The
+    edges as a stored table."""
+    # stored by itself, the table of least neighbours leaves the join below two shuffles of its own, whose large keys (a node
+    # of very many edges) Spark may split
+    least = stored(directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     linked = directed.join(least, F.col("a") == F.col("u"))
     if larger:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u"), "m"))
-    return out.where("a <> b").distinct()
+    edges = stored(out.where("a <> b").distinct(), "edges")
+    drop_stored(least)
+    return edges
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,10 +39,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = _state(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = stored(_star(both, True), "edges")
+        large = _star(both, True)
         drop_stored(now)
         # large-star leaves edges from larger to smaller nodes only
-        now = stored(_star(large, False), "edges")
+        now = _star(large, False)
         drop_stored(large)
         before, state = state, _state(now)
         if state == before:
