@@ -123,7 +123,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
 
     def search(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in segments(batches, text):
+            for batch in segments(batches, text, 6 << 20):
                 found = index.leaks(column(batch, text))
                 rows = pa.array([r for r, *_ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -152,7 +152,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
 
     def keep(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in segments(batches, text):
+            for batch in segments(batches, text, 6 << 20):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in index.leaks(column(batch, text))]] = False
                 yield batch.filter(pa.array(clean))
