@@ -57,6 +57,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it has fewer partitions than these, as a table in one small file has; else as it is: inputs
+    that fill the cluster aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- bytes of text
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, elementwise."""

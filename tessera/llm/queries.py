@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import read_table, spread
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.fingerprints import fingerprint_neighbours
 from tessera.llm.license_scan import scan_licenses
@@ -39,7 +39,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+    return token_counts(spread(read_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents"), threshold=0.8)
+    return scan_licenses(spread(read_table(spark, sf_dir, "documents")), threshold=0.8)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
