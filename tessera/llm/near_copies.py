@@ -6,6 +6,10 @@ and those of two flips among its bits nearest to the border, which changes move
 of a table, strings of marks) may share a fingerprint; so documents are first grouped by fingerprint and least shingle hash,
 where copies always meet. Every candidate pair is then verified: an estimate of the Jaccard similarity of the shingle sets from sketches of their least hashes (exact for sets no
 larger than a sketch).
+
+These candidates meet only the least id of their group, which may be an unrelated text. So equal sketches are linked first, and
+all pairs that the links leave in different components are found by an exact join of the sketches: in one order of all
+hashes, rarest first, two sketches that reach the threshold share a hash of their prefixes.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,15 +107,23 @@ def variants(least: DataFrame, table: int) -> DataFrame:
     return least.mapInArrow(run, "key long, id long")
 
 
-def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b: verified links between documents, which connect the groups of near copies; not all pairs of a group.
+def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose estimate is at least `least`, as a stored table."""
 
-    Documents of one fingerprint and least shingle hash link to their least; these, in each variant's group, to the group's
-    least. The estimate must reach `similarity` less `slack` (about one and a half of its standard errors).
-    """
-    # one row a document, so that the joins below have nothing to gather by key and Spark may split their hot keys
-    every = sketched(docs, shingle, doc_id, text).where("id is not null")
-    rows = stored(every.groupBy("id").agg(F.min(F.struct(*FOUND)).alias("m")).select("id", "m.*"), "sketches")
+    @F.pandas_udf(T.DoubleType())
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    sketch = lambda n: rows.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}"))
+    both = pairs.withColumnsRenamed({"a": "pa", "b": "pb"}).join(sketch("a"), F.col("pa") == F.col("a")).join(sketch("b"), F.col("pb") == F.col("b"))
+    return stored(both.where(alike("s_a", "s_b") >= least).select("a", "b"), "links")
+
+
+def _star_links(rows: DataFrame, least_similarity: float) -> DataFrame:
+    """Verified links of documents of one fingerprint and least shingle hash to their least, and of these, in each variant's
+    group, to the group's least."""
     pairs, emitted = [], []
     for t in range(TABLES):
         least = stored(rows.groupBy(F.col(f"fp{t}").alias("fp"), F.col(f"mh{t}").alias("mh")).agg(F.min(F.struct("id", "weak")).alias("m")).select("fp", "mh", "m.id", "m.weak"), "least")
@@ -126,24 +138,94 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     for more in pairs:
         flipped = flipped.where("a <> b").union(more)
     pairs = stored(flipped.where("a <> b").distinct(), "pairs")
+    out = _verified(pairs, rows, least_similarity)
+    drop_stored(pairs)
+    return out
 
-    @F.pandas_udf(T.DoubleType())
-    def alike(a, b):
-        import pandas as pd
 
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def _hashes(firsts: DataFrame) -> DataFrame:
+    """id, n, at, h: the hashes of each sketch, n of them, with their places."""
 
-    sketch = lambda n: rows.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}"))
-    both = pairs.withColumnsRenamed({"a": "pa", "b": "pb"}).join(sketch("a"), F.col("pa") == F.col("a")).join(sketch("b"), F.col("pb") == F.col("b"))
-    out = stored(both.where(alike("s_a", "s_b") >= similarity - slack).select("a", "b"), "links")
-    drop_stored(pairs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.frombuffer(x, np.int32) for x in column(part, "sketch").to_pylist()]
+                n = np.array([len(x) for x in found], np.int32)
+                yield pa.RecordBatch.from_arrays([column(part, "id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate(found))], names=["id", "n", "at", "h"])
+
+    return firsts.select("id", "sketch").mapInArrow(run, "id long, n int, at int, h int")
+
+
+def _apart(firsts: DataFrame, groups: DataFrame, t: float) -> DataFrame:
+    """a, b: all pairs of different sketches (one document for each) that may reach the threshold t and lie in different components.
+
+    The estimate is the share of common hashes among k = min(SIZE, union) ones, so at most (1 - t) k of these are in one sketch
+    only, and one side, x, has at most half of them. Of the first m = min(x, SIZE (1 + t) / 2) hashes of x, therefore, at most
+    spare = m (1 - t) / (1 + t) aren't in y, and y shares t y with them. In any one order of hashes, then, the first spare + 1 of these m
+    (the short prefix) and the first y - t y + 1 of y (the long one) share a hash; at the first such, enough of both is left for what
+    the pair needs (positional filter). Rarest first, hashes of passages that many texts share come last; a hash of one sketch
+    takes its place in the prefix but makes no pair.
+    """
+    hashes = stored(_hashes(firsts), "hashes")
+    shared = stored(hashes.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("h", "hs"), "shared")
+    every = hashes.join(shared, F.col("h") == F.col("hs")).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("found"))
+    m = F.least(F.col("n"), F.lit(int(SIZE * (1 + t) / 2 + 1e-9)))
+    spare = F.floor(m * F.lit((1 - t) / (1 + t)) + 1e-9).cast("int")
+
+    def prefix(found: Column, size: Column, length: Column, short: bool) -> DataFrame:
+        # hashes of this sketch alone stand before all others
+        ranked = every.select("id", "n", F.posexplode(found).alias("k", "p"), (size - F.size(found)).alias("alone"))
+        return ranked.select("id", "n", "p.h", (F.col("alone") + F.col("k") + 1).alias("rank"), F.lit(short).alias("short")).where(F.col("rank") <= length)
+
+    both = prefix(F.filter("found", lambda p: p["at"] < m), m, spare + 1, True).union(prefix(F.col("found"), F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1, False))
+    placed = stored(both.join(groups, F.col("id") == F.col("node"), "left").select("id", "n", "h", "rank", "short", F.coalesce("root", "id").alias("root")), "placed")
+    drop_stored(hashes)
+    drop_stored(shared)
+    # most hashes hold one component only: these make no pairs
+    several = stored(placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("short").alias("s")).where("s and x <> y").select(F.col("h").alias("hs")), "several")
+    kept = stored(placed.join(several, F.col("h") == F.col("hs")).select("id", "n", "h", "rank", "short", "root"), "kept")
+    left = kept.where("short").select("id", "h", "root", "n", m.alias("m"), (m - spare).alias("holds"), "rank")
+    right = kept.where("not short").select(F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("rank").alias("rankb"), F.col("root").alias("rb"))
+    need = F.greatest(F.col("holds"), F.least(F.ceil(F.lit(SIZE * t) - 1e-9), F.ceil((F.col("n") + F.col("nb")) * F.lit(t / (1 + t)) - 1e-9)))
+    fits = F.least(F.col("m") - F.col("rank"), F.col("nb") - F.col("rankb")) + 1 >= need
+    pairs = left.join(right, (F.col("h") == F.col("hb")) & (F.col("root") != F.col("rb")) & fits).select(F.least("id", "idb").alias("a"), F.greatest("id", "idb").alias("b"))
+    out = stored(pairs.distinct(), "pairs")
+    for table in (placed, several, kept):
+        drop_stored(table)
     return out
 
 
+def _linked(docs: DataFrame, shingle: int, similarity: float, slack: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links by fingerprints and equal sketches, their components (node, root), and the links that the join adds."""
+    # one row a document, so that the joins below have nothing to gather by key and Spark may split their hot keys
+    every = sketched(docs, shingle, doc_id, text).where("id is not null")
+    rows = stored(every.groupBy("id").agg(F.min(F.struct(*FOUND)).alias("m")).select("id", "m.*"), "sketches")
+    keyed = rows.select("id", F.md5("sketch").alias("k"))
+    least = stored(keyed.groupBy("k").agg(F.min("id").alias("b")).withColumnRenamed("k", "kb"), "least")
+    equal = keyed.join(least, F.col("k") == F.col("kb")).where("id <> b").select(F.col("id").alias("a"), "b")
+    links = stored(_star_links(rows, similarity - slack).union(equal).distinct(), "links")
+    groups = stored(connected_components(links), "groups")
+    firsts = rows.join(least.select(F.col("b").alias("first")), F.col("id") == F.col("first"), "left_semi").select("id", "sketch")
+    pairs = _apart(firsts, groups, similarity - slack)
+    more = _verified(pairs, rows, similarity - slack)
+    drop_stored(pairs)
+    return links, groups, more
+
+
+def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, b: verified links between documents, which connect the groups of near copies; not all pairs of a group, but every pair
+    of which the estimate reaches `similarity` less `slack` (about one and a half of its standard errors) is connected.
+    """
+    links, _, more = _linked(docs, shingle, similarity, slack, doc_id, text)
+    return links.union(more)
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, but for those of documents that are linked to one of smaller id by a chain of near
     copies. Texts without words are copies of each other; rows that repeat a doc_id are one document and stay or go
     together; rows with a null doc_id stay."""
-    groups = connected_components(near_copy_links(docs, shingle, similarity, doc_id=doc_id, text=text))
+    _, groups, more = _linked(docs, shingle, similarity, 0.05, doc_id, text)
+    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     gone = stored(groups.where("node <> root").select(F.col("node").alias("_gone_id")), "gone")
     return docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_gone_id"), "left_anti")

@@ -60,5 +60,42 @@ def test_copies_among_texts_that_share_a_fingerprint(spark):
     assert kept == list(range(80))
 
 
+def test_copies_whose_group_begins_with_an_unrelated_text(spark):
+    """Tables after one shared passage: copies and near copies are linked though the least of each group is another table."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(40))
+    texts = [f"{passage} " + " ".join(f"{word()} |" for _ in range(30)) for _ in range(600)]
+    near = [t.rsplit(" ", 2)[0] + " other |" for t in texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)] + [(2000 + i, t) for i, t in enumerate(near)]
+    kept = sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == list(range(600))
+
+
+def test_links_connect_every_pair_at_the_threshold(spark):
+    """Texts of few shared passages, and chains of small changes: as many groups as all pairs give."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(8)]
+    texts = [" ".join(rng.sample(passages, 4)) + " " + " ".join(word() for _ in range(rng.randrange(25))) for _ in range(150)]
+    for t in texts[:60]:
+        w = t.split()
+        w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    _, _, s, _ = described(pa.array(texts), 5)
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(s[i], s[j]) >= 0.75:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    kept = sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    assert kept == [i for i in range(len(texts)) if find(i) == i]
+
+
 def test_empty(spark):
     assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
