@@ -2,7 +2,7 @@
 
 Candidates are maximal runs of a character class. A window slides over each; the counts of its characters change by one in
 and one out, and so does the sum of c * log2(c) that gives the entropy. Windows at or over the class's threshold are joined
-into spans; spans that the allow-list explains are suppressed.
+into spans; runs that the allow-list explains as a whole are suppressed, and of other runs the tokens that hold a placeholder.
 """
 
 from __future__ import annotations
@@ -33,31 +33,39 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 
 @dataclass(frozen=True)
 class CharClass:
-    """A character class for candidates: its runs, the window, the least entropy of a window in bits, and how many of
-    lower case, upper case and digits a window must mix."""
+    """A character class for candidates: its runs, the window, the least entropy of a window in bits, how many of
+    lower case, upper case and digits a window must mix, and its least number of digits (one alone often ends a plain name)."""
 
     name: str
     letters: str
     window: int
     bits: float
     mixed: int
+    digits: int = 0
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    classes: tuple[CharClass, ...] = (CharClass("hex", "0-9A-Fa-f", 24, 3.0, 2), CharClass("base64", "A-Za-z0-9+/_=-", 20, 3.9, 3))
-    #: Strings explained otherwise: UUIDs, paths and dotted or dashed words, placeholders.
+    classes: tuple[CharClass, ...] = (
+        CharClass("hex", "0-9A-Fa-f", 24, 3.0, 2),
+        CharClass("lower", "a-z0-9", 20, 3.4, 2, 2),
+        CharClass("upper", "A-Z0-9", 20, 3.4, 2),
+        CharClass("base64", "A-Za-z0-9+/_=-", 20, 3.75, 3),
+    )
+    #: Runs explained otherwise as a whole: UUIDs, numbers, paths and dashed words.
     allow: tuple[str, ...] = (
         r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
         r"[0-9+/_=-]+",
         r"[A-Za-z]*(?:[/_-][A-Za-z]*)+",
-        r"(?i:.*(?:example|placeholder|changeme|abcdefghij|0123456789|xxxxxx).*)",
     )
+    #: Words of placeholders: the token between '/', '_', '=' or '-' that holds one is left out, the rest of its run is not.
+    placeholders: tuple[str, ...] = ("example", "placeholder", "changeme", "abcdefghij", "0123456789", "xxxxxx")
     literals: frozenset[str] = field(default_factory=frozenset)
 
 
-def windows_over(run: str, size: int, bits: float, mixed: int) -> list[tuple[int, int]]:
-    """Spans of run covered by windows of `size` characters with at least `bits` of entropy and `mixed` kinds of character."""
+def windows_over(run: str, size: int, bits: float, mixed: int, digits: int = 0) -> list[tuple[int, int]]:
+    """Spans of run covered by windows of `size` characters with at least `bits` of entropy and `mixed` kinds of character,
+    of which `digits` digits."""
     if len(run) < size:
         return []
     xlog = [0.0, *[c * math.log2(c) for c in range(1, size + 2)]]
@@ -76,7 +84,7 @@ def windows_over(run: str, size: int, bits: float, mixed: int) -> list[tuple[int
             summed += xlog[n - 1] - xlog[n]
             counts[old] = n - 1
             kinds[kind[i - size]] -= 1
-        if i >= size - 1 and top - summed / size >= bits and sum(map(bool, kinds[:3])) >= mixed:
+        if i >= size - 1 and top - summed / size >= bits and sum(map(bool, kinds[:3])) >= mixed and kinds[2] >= digits:
             a, b = i - size + 1, i + 1
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], b)
@@ -90,6 +98,8 @@ class Scanner:
         self.rules = rules
         self.runs = [(c, re.compile(f"[{c.letters}]{{{c.window},}}")) for c in rules.classes]
         self.allow = re.compile("|".join(f"(?:{a})" for a in rules.allow)) if rules.allow else None
+        self.token = re.compile("[^/_=-]+")
+        self.placeholder = re.compile("|".join(map(re.escape, rules.placeholders)), re.I) if rules.placeholders else None
         self.any = re.compile("[A-Za-z0-9+/_=-]{16,}")
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -100,6 +110,19 @@ class Scanner:
             out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
         return sorted(out)
 
+    def parts(self, text: str, start: int, end: int) -> Iterator[tuple[int, str]]:
+        """What is left of a run without the tokens that hold a placeholder, with the place of each part."""
+        run = text[start:end]
+        if self.placeholder is not None and self.placeholder.search(run):
+            at = 0
+            for t in self.token.finditer(run):
+                if self.placeholder.search(t[0]):
+                    yield start + at, run[at : t.start()]
+                    at = t.end()
+            yield start + at, run[at:]
+        else:
+            yield start, run
+
     def entropy(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         spans = []
         for c, pattern in self.runs:
@@ -107,7 +130,8 @@ class Scanner:
                 run = m[0]
                 if run in self.rules.literals or self.allow is not None and self.allow.fullmatch(run):
                     continue
-                spans += [(m.start() + a, m.start() + b) for a, b in windows_over(run, c.window, c.bits, c.mixed)]
+                for at, part in self.parts(text, m.start(), m.end()):
+                    spans += [(at + a, at + b) for a, b in windows_over(part, c.window, c.bits, c.mixed, c.digits)]
         joined: list[list[int]] = []
         for a, b in sorted(spans):
             if joined and a <= joined[-1][1]:

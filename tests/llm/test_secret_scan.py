@@ -1,12 +1,14 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tessera.llm.secret_scan import find_secrets, redact_secrets, secret_digest, windows_over
+from tessera.llm.secret_scan import EntropyRules, Scanner, find_secrets, redact_secrets, secret_digest, windows_over
 
 TEXTS = [
     None, "", 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and PASSWORD:short', "api_key=abcdefgh apikey='x' AKIAIOSFODNN7EXAMPL AKIAX",
@@ -56,3 +58,25 @@ def test_incremental_entropy(run, size):
             covered |= set(range(i, i + size))
     got = {p for a, b in windows_over(run, size, 1.7, 1) for p in range(a, b)}
     assert got >= covered
+
+
+def found(t):
+    return [(a, b) for a, k, b in Scanner(EntropyRules()).scan(t)[1] if k == 3]
+
+
+def test_kinds_of_random_strings_are_found():
+    rng = random.Random(2)
+    for letters in (string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits):
+        for n, least in ((20, 0.9), (24, 0.95), (32, 0.98), (40, 0.99)):
+            texts = [f"key {''.join(rng.choices(letters, k=n))} end" for _ in range(1000)]
+            assert sum(bool(found(t)) for t in texts) >= least * len(texts), (letters, n)
+    plain = "internationalizationservice2 thequickbrownfoxjumpsover THEQUICKBROWNFOXJUMPSOVER getUserAccountSettingsByNameAndRole"
+    assert found(plain) == []
+
+
+def test_a_placeholder_leaves_the_rest_of_its_run():
+    secret = "Zx9Kq2mVb7Lw4Tn8Yc3Rf6Hj1Ds5Gp"
+    for t in (f"/example/{secret}", f"{secret}/example", f"/example/{secret}/placeholder", f"changeme={secret}"):
+        at = t.index(secret)
+        assert [a <= at + 1 and b >= at + len(secret) - 1 for a, b in found(t)] == [True], t
+    assert found("example" + secret) == [] and found(f"a/{secret}xxxxxx/b") == []
