@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -76,26 +76,40 @@ def prepare(templates: tuple[Template, ...], order: dict[str, int], threshold: f
     return out
 
 
-def best_matches(words: list[str], templates: list[Prepared]) -> dict[str, float]:
-    """The largest containment of each label's templates in a block of the text, where it meets the threshold."""
-    found: dict[str, float] = {}
+def block_matches(words: list[str], templates: list[Prepared]) -> Iterator[tuple[Prepared, float, bool]]:
+    """Each block of the text that meets a template's threshold: the template, its containment, and whether the block holds the
+    template's `must` tokens."""
     for t in templates:
         if len(words) < t.need or t.prefix.isdisjoint(words):
             continue
         blocks = {k for i, w in enumerate(words) if w in t.prefix for k in (i // t.width - 1, i // t.width)}
         for k in blocks:
             block = set(words[max(k, 0) * t.width : (k + 2) * t.width])
-            if len(block) < t.need or not t.must <= block:
+            if len(block) < t.need:
                 continue
             first = next((i for i, w in enumerate(t.tokens) if w in block), len(t.tokens))
             if len(t.tokens) - first < t.need:
                 continue
             overlap = sum(w in block for w in t.tokens)
             if overlap >= t.need:
-                found[t.label] = max(found.get(t.label, 0.0), overlap / len(t.tokens))
+                yield t, overlap / len(t.tokens), t.must <= block
+
+
+def labelled(matches: Iterable[tuple[Prepared, float, bool]]) -> dict[str, float]:
+    """The largest containment of each label among the matches that hold the `must` tokens."""
+    found: dict[str, float] = {}
+    for t, share, holds in matches:
+        if holds:
+            found[t.label] = max(found.get(t.label, 0.0), share)
     return found
 
 
+def best_matches(words: list[str], templates: list[Prepared]) -> dict[str, float]:
+    """The largest containment of each label's templates in a block of the text that holds its `must` tokens, where it meets the
+    threshold."""
+    return labelled(block_matches(words, templates))
+
+
 def phrase_places(words: list[str]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand in a row."""
     line, out = f" {' '.join(words)} ", []
@@ -126,8 +140,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base: places of the fixed phrases, first_word and last_word their smallest and largest first word (null without any);
-    labels: theirs and those of templates of which a block holds `threshold` of the tokens; score: 1 with a phrase, else the
-    largest such share, else 0. A null text has no words; repeated rows give a row each; equal labels are named once.
+    labels: theirs and those of templates of which a block holds `threshold` of the tokens and all `must` tokens; score: 1 with a
+    phrase, else the largest share of a template that meets `threshold` in a block, with or without its `must` tokens, else 0. A null text has no words; repeated rows give a row each; equal labels are named once.
     """
     prepared = prepare(templates, token_order(docs, templates, text), threshold)
 
@@ -138,8 +152,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                 words = words_of(t)
                 places = phrase_places(words)
                 base = {label for _, label in places}
-                more = best_matches(words, prepared)
-                rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1.0 if places else max(more.values(), default=0.0)))
+                matches = list(block_matches(words, prepared))
+                more = labelled(matches)
+                rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1.0 if places else max((share for _, share, _ in matches), default=0.0)))
             cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([column(batch, doc_id), *[pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)]], names=[doc_id, *NAMES])
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from tessera.llm.license_scan import TEMPLATES, best_matches, phrase_places, prepare, scan_licenses, words_of
+from tessera.llm.license_scan import TEMPLATES, best_matches, block_matches, phrase_places, prepare, scan_licenses, words_of
 
 TEXTS = [
     None, "", "Released under the MIT License.", "x under the MIT-license UNDER THE MIT LICENSE y", "Licensed under the Apache License, Version 2.0.",
@@ -38,3 +38,23 @@ def test_join_is_exact():
                     want[t.label] = max(want.get(t.label, 0), share)
         assert best_matches(words, prepared) == want
     assert phrase_places("cc by nc cc by nc by".split()) == [(0, "cc-by-nc"), (3, "cc-by-nc")]
+
+
+def test_join_returns_blocks_without_the_must_tokens(spark):
+    rng = random.Random(2)
+    prepared = prepare(TEMPLATES, {"the": 99, "under": 50, "license": 20}, 0.8)
+    bare = 0
+    for _ in range(300):
+        words = [w for w in words_of(rng.choice(TEMPLATES).text) if rng.random() < 0.93] + rng.choices(["x", "y", "the"], k=rng.randint(0, 20))
+        want = set()
+        for t in prepared:
+            for k in range(-1, len(words) // t.width + 1):
+                block = set(words[max(k, 0) * t.width : (k + 2) * t.width])
+                share = len(block & set(t.tokens)) / len(t.tokens)
+                if share >= 0.8 - 1e-12:
+                    want.add((t.tokens, share))
+                    bare += not t.must <= block
+        assert {(t.tokens, share) for t, share, _ in block_matches(words, prepared)} == want
+    assert bare
+    row = scan_licenses(spark.createDataFrame([(1, "This Source Code Form is subject to the terms of the Public License, v. 2.0")], "doc_id long, text string")).first()
+    assert row.labels == "" and 0.8 <= row.score < 1
