@@ -25,9 +25,12 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 # ---------------------------------------------------------------- tables in the shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a new one only where the setting is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a local session, whose executor is
+    the driver, gets a temporary one; a cluster is refused, as its executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -59,7 +62,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if it has fewer partitions than these, as a table in one small file has; else as it is: inputs
-    that fill the cluster aren't shuffled."""
+    that fill the cluster aren't shuffled. Only where rows are worked on depends on it, never what comes out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -163,6 +166,15 @@ def segments(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             at = to
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,15 +1,16 @@
-"""One document of each group of near copies: SimHash candidates by ball hashing, verified by 5-word shingles.
-
-Copies with a few words changed keep most of their 5-word shingles but move several bits of a fingerprint of these. So
-candidates come from two fingerprints over single words, which such changes hardly move; each emits all variants of one flip
-and those of two flips among its bits nearest to the border, which changes move first. Unlike texts ruled by one word (rows
-of a table, strings of marks) may share a fingerprint; so documents are first grouped by fingerprint and least shingle hash,
-where copies always meet. Every candidate pair is then verified: an estimate of the Jaccard similarity of the shingle sets from sketches of their least hashes (exact for sets no
-larger than a sketch).
-
-These candidates meet only the least id of their group, which may be an unrelated text. So equal sketches are linked first, and
-all pairs that the links leave in different components are found by an exact join of the sketches: in one order of all
-hashes, rarest first, two sketches that reach the threshold share a hash of their prefixes.
+"""One document of each group of near copies: SimHash candidates by ball hashing, verified by exact 5-word shingles.
+
+Copies with a few words changed keep most of their 5-word shingles but move several bits of a fingerprint of these; so the
+fingerprints that the ball hashing of simhash.py links are taken over single words. A 64-bit fingerprint still can't reach
+every pair at a Jaccard similarity of 0.8 (see the README), and what shares a ball may be unrelated. So all documents
+also meet in MinHash bands: 24 keys of 5 hashes, in which two texts at the threshold share a key with a probability of 0.9999.
+
+Each group of candidates is a star on its least member, linear in the group. In a group that isn't connected after that
+(texts of one passage, or around one text that all differ from) a pair may have missed each other; its members meet again
+under every two of their keys together and in other stars, which part them down to those that share what is their own.
+
+Every link is verified: texts whose distinct shingles fit the sketch by these, others by a sketch of their least hashes with
+room for its error and then by all their shingles. Nothing under the threshold is linked.
 """
 
 from __future__ import annotations
@@ -18,214 +19,239 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import LOWER, column, drop_stored, mix, only, segments, signed, stored, text_bytes, window_hashes, word_hashes, words
+from tessera.llm.common import LOWER, column, drop_stored, fresh, mix, segments, signed, stored, text_bytes, window_hashes, word_hashes, words
 from tessera.llm.components import connected_components
+from tessera.llm.simhash import ball_edges, bit_sums
 
 SIZE = 128  # hashes in a sketch
-TABLES = 2  # fingerprints of a text
-WEAK = 8  # bits of a fingerprint whose pairs are flipped
-ONE = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-PAIRS = np.triu_indices(WEAK, 1)
-#: What is found of a text: fingerprints, least shingle hashes, weak bits, sketch.
-FOUND = (*[f"fp{t}" for t in range(TABLES)], *[f"mh{t}" for t in range(TABLES)], "weak", "sketch")
-
-
-def described(texts: pa.Array, shingle: int) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes], list[list[int]]]:
-    """Of each text the fingerprints, the weak bits of each, the sketch of its shingles, and their least hash for each
-    fingerprint (-1 without words)."""
-    data, offsets = text_bytes(texts)
-    data = LOWER[data]
-    s, e, first = words(data, offsets)
-    h = word_hashes(data, s, e)
-    n = np.diff(first)
-    runs = window_hashes(h, shingle, 0x9FB21C651E98DF25)
-    fps, weak, sketches, least = [], [], [], []
-    for i in range(len(n)):
-        own = h[first[i] : first[i + 1]]
-        found_fp, found_weak = [], []
-        for t in range(TABLES):
-            x = mix(own + np.uint64(t * 0x632BE59BD9B4E019 & (2**64 - 1)))
-            sums = np.zeros(64, np.int64)
-            for a in range(0, len(x), 1 << 16):
-                sums += np.unpackbits(x[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            sums = 2 * sums - len(x)
-            found_fp.append(np.packbits(sums > 0, bitorder="little").view(np.uint64)[0])
-            found_weak.append(np.argsort(np.abs(sums), kind="stable")[:WEAK].astype(np.uint8))
-        fps.append(np.array(found_fp, np.uint64))
-        weak.append(np.concatenate(found_weak))
-        if n[i] >= shingle:
-            own = runs[first[i] : first[i + 1] - shingle + 1]
-        elif n[i]:
-            own = window_hashes(own, int(n[i]), 0x9FB21C651E98DF25)
-        low = np.unique((own >> np.uint64(32)).astype(np.uint32))[:SIZE]
-        sketches.append(low.tobytes())
-        least.append([int(low[0]), *[int((mix(own + np.uint64(t)) & np.uint64(0x7FFFFFFF)).min()) for t in range(1, TABLES)]] if len(own) else [-1] * TABLES)
-    return fps, weak, sketches, least
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """The similarity estimated from the least SIZE hashes of the union; of two texts without words, 1."""
-    if a == b:
-        return 1.0
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    union = np.union1d(x, y)[:SIZE]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean()) if len(union) else 1.0
+BANDS, ROWS = 24, 5
+RUN, WHOLE = 0x9FB21C651E98DF25, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd multipliers, one for each MinHash.
+ORDERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Room for the error of a sketch, in standard errors.
+ERRORS = 3.5
+
+
+class Texts:
+    """The words of a batch of texts in lower case, as hashes, and the hashes of their shingles, end to end."""
+
+    def __init__(self, texts: pa.Array, shingle: int):
+        data, offsets = text_bytes(texts)
+        data = LOWER[data]
+        s, e, self.first = words(data, offsets)
+        self.h = word_hashes(data, s, e)
+        n = np.diff(self.first)
+        #: a text of fewer words is one shingle of them all
+        size = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.runs = np.zeros(self.at[-1], np.uint64)
+        of = np.repeat(np.arange(len(n)), size)
+        place = np.arange(len(of)) - self.at[:-1][of]
+        for k in {min(int(x), shingle) for x in np.unique(n)} - {0}:
+            h = window_hashes(self.h, k, RUN)
+            own = np.flatnonzero(np.minimum(n, shingle)[of] == k)
+            self.runs[own] = mix(h[self.first[:-1][of[own]] + place[own]] + np.uint64(k))
+
+    def words(self, i: int) -> np.ndarray:
+        return self.h[self.first[i] : self.first[i + 1]]
+
+    def shingles(self, i: int) -> np.ndarray:
+        """The distinct shingles of a text, in order."""
+        return np.unique(self.runs[self.at[i] : self.at[i + 1]])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def bands(self) -> np.ndarray:
+        """A row of BANDS keys for each text that has shingles."""
+        has = np.flatnonzero(np.diff(self.at))
+        keys = np.zeros((len(has), BANDS), np.uint64)
+        if len(has):
+            for j, a in enumerate(ORDERS):
+                keys[:, j // ROWS] = mix(keys[:, j // ROWS] + np.minimum.reduceat(self.runs * a, self.at[has]) + np.uint64(j))
+        return keys
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a text's words."""
+    return int(np.packbits(bit_sums(own) * 2 > len(own)).view(np.uint64)[0]) if len(own) else 0
+
+
+def whole(own: np.ndarray) -> list[int]:
+    """Two hashes of a text's words in their order."""
+    return [int(window_hashes(own, len(own), m)[0]) if len(own) else 0 for m in WHOLE]
 
 
 def sketched(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """id, w0, w1, fp, n, sketch, bands: hashes of the whole text, its fingerprint, its number of distinct shingles, the least
+    SIZE of these (32 bits) and its band keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, text, 8 << 20):
-            fps, weak, sketches, least = described(column(batch, text), shingle)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, doc_id).cast(pa.int64()), *[pa.array(signed(np.array([f[t] for f in fps], np.uint64))) for t in range(TABLES)], *[pa.array([m[t] for m in least], pa.int64()) for t in range(TABLES)], pa.array([w.tobytes() for w in weak], pa.binary()), pa.array(sketches, pa.binary())],
-                names=["id", *FOUND],
-            )
+        for batch in segments(batches, "text", 4 << 20):
+            t = Texts(column(batch, "text"), shingle)
+            keys = t.bands()
+            where = np.cumsum(np.diff(t.at) > 0) - 1
+            rows = []
+            for i in range(len(t)):
+                own, sets = t.words(i), t.shingles(i)
+                low = np.unique((sets >> np.uint64(32)).astype(np.uint32))[:SIZE]
+                rows.append((*whole(own), fingerprint(own), len(sets), low.tobytes(), signed(keys[where[i]]).tolist() if len(sets) else []))
+            cols = list(zip(*rows, strict=True))
+            hashes = [pa.array(signed(np.array(c, np.uint64))) for c in cols[:3]]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), *hashes, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64()))], names=["id", "w0", "w1", "fp", "n", "sketch", "bands"])
 
-    schema = "id long, " + "".join(f"{c} long, " for c in FOUND[:-2]) + "weak binary, sketch binary"
-    return only(docs, doc_id, text).mapInArrow(run, schema)
+    return named(docs, doc_id, text).mapInArrow(run, "id long, w0 long, w1 long, fp long, n long, sketch binary, bands array<long>")
 
 
-def variants(least: DataFrame, table: int) -> DataFrame:
-    """key, id: the variants of each group's fingerprint (fp, id, weak), the table's number mixed into the key."""
-    salt = np.uint64((table + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").try_cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fp = column(part, "fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                weak = np.array([np.frombuffer(w, np.uint8)[table * WEAK : (table + 1) * WEAK] for w in column(part, "weak").to_pylist()], np.uint64)
-                bits = np.uint64(1) << weak
-                masks = np.concatenate([np.broadcast_to(ONE, (len(fp), len(ONE))), bits[:, PAIRS[0]] | bits[:, PAIRS[1]]], axis=1)
-                keys = mix((fp[:, None] ^ masks).ravel() + salt)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), column(part, "id").take(pa.array(np.repeat(np.arange(len(fp)), masks.shape[1])))], names=["key", "id"])
-
-    return least.mapInArrow(run, "key long, id long")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimate is at least `least`, as a stored table."""
-
-    @F.pandas_udf(T.DoubleType())
-    def alike(a, b):
-        import pandas as pd
-
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    sketch = lambda n: rows.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}"))
-    both = pairs.withColumnsRenamed({"a": "pa", "b": "pb"}).join(sketch("a"), F.col("pa") == F.col("a")).join(sketch("b"), F.col("pb") == F.col("b"))
-    return stored(both.where(alike("s_a", "s_b") >= least).select("a", "b"), "links")
-
-
-def _star_links(rows: DataFrame, least_similarity: float) -> DataFrame:
-    """Verified links of documents of one fingerprint and least shingle hash to their least, and of these, in each variant's
-    group, to the group's least."""
-    pairs, emitted = [], []
-    for t in range(TABLES):
-        least = stored(rows.groupBy(F.col(f"fp{t}").alias("fp"), F.col(f"mh{t}").alias("mh")).agg(F.min(F.struct("id", "weak")).alias("m")).select("fp", "mh", "m.id", "m.weak"), "least")
-        firsts = least.select("fp", "mh", F.col("id").alias("b"))
-        same = rows.select("id", f"fp{t}", f"mh{t}").join(firsts, (F.col(f"fp{t}") == F.col("fp")) & (F.col(f"mh{t}") == F.col("mh"))).select(F.col("id").alias("a"), "b")
-        pairs.append(same)
-        emitted.append(variants(least, t))
-    flipped = emitted[0]
-    for more in emitted[1:]:
-        flipped = flipped.union(more)
-    flipped = flipped.withColumn("b", F.min("id").over(Window.partitionBy("key"))).select(F.col("id").alias("a"), "b")
-    for more in pairs:
-        flipped = flipped.where("a <> b").union(more)
-    pairs = stored(flipped.where("a <> b").distinct(), "pairs")
-    out = _verified(pairs, rows, least_similarity)
-    drop_stored(pairs)
-    return out
 
+def shared(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets, given as sorted arrays of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-def _hashes(firsts: DataFrame) -> DataFrame:
-    """id, n, at, h: the hashes of each sketch, n of them, with their places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verdict(a: bytes, b: bytes, similarity: float) -> int:
+    """What two sketches tell: 1 alike, -1 not, 0 if all shingles must decide."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if len(x) < SIZE and len(y) < SIZE:  # these are all shingles
+        return 1 if shared(x, y) >= similarity - 1e-9 else -1
+    union = np.union1d(x, y)[:SIZE]
+    estimate = np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean()
+    return 0 if estimate >= similarity - ERRORS * (similarity * (1 - similarity) / SIZE) ** 0.5 else -1
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which the distinct shingles are alike, as a stored table. docs: id, text."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [np.frombuffer(x, np.int32) for x in column(part, "sketch").to_pylist()]
-                n = np.array([len(x) for x in found], np.int32)
-                yield pa.RecordBatch.from_arrays([column(part, "id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate(found))], names=["id", "n", "at", "h"])
+            told = [verdict(x, y, similarity) for x, y in zip(column(batch, "s_a").to_pylist(), column(batch, "s_b").to_pylist(), strict=True)]
+            told = np.array(told, np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(told)], names=["a", "b", "told"]).filter(pa.array(told >= 0))
 
-    return firsts.select("id", "sketch").mapInArrow(run, "id long, n int, at int, h int")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in segments(batches, "text", 4 << 20):
+            t = Texts(column(batch, "text"), shingle)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([t.shingles(i).tobytes() for i in range(len(t))], pa.binary())], names=["id", "shingles"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(column(batch, "s_a"), column(batch, "s_b"), strict=True)
+            alike = [shared(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - 1e-9 for x, y in both]
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    def beside(pairs: DataFrame, rows: DataFrame, what: str, *more) -> DataFrame:
+        of = lambda n: rows.select(F.col("id").alias(f"id_{n}"), F.col(what).alias(f"s_{n}"), F.col("n").alias(f"n_{n}") if "n" in rows.columns else F.lit(0).alias(f"n_{n}"))
+        return pairs.join(of("a"), F.col("a") == F.col("id_a")).join(of("b"), (F.col("b") == F.col("id_b")) & F.expr(" and ".join(["true", *more]))).select("a", "b", "s_a", "s_b")
+
+    # sizes alone part texts that can't be alike
+    near = beside(pairs, reps, "sketch", f"least(n_a, n_b) >= {similarity!r} * greatest(n_a, n_b) - 1e-9")
+    told = stored(near.mapInArrow(judge, "a long, b long, told int"), "told")
+    unsure = told.where("told = 0").select("a", "b")
+    ids = stored(unsure.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "ids")
+    # distinct: of rows that repeat an id one text was sketched, which may not be this one's; any of them counts
+    full = stored(docs.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id long, shingles binary"), "shingles")
+    exact = beside(unsure, full, "shingles").mapInArrow(compare, "a long, b long")
+    out = stored(told.where("told = 1").select("a", "b").union(exact).distinct(), "links")
+    for table in (told, ids, full):
+        drop_stored(table)
+    return out
 
-def _apart(firsts: DataFrame, groups: DataFrame, t: float) -> DataFrame:
-    """a, b: all pairs of different sketches (one document for each) that may reach the threshold t and lie in different components.
 
-    The estimate is the share of common hashes among k = min(SIZE, union) ones, so at most (1 - t) k of these are in one sketch
-    only, and one side, x, has at most half of them. Of the first m = min(x, SIZE (1 + t) / 2) hashes of x, therefore, at most
-    spare = m (1 - t) / (1 + t) aren't in y, and y shares t y with them. In any one order of hashes, then, the first spare + 1 of these m
-    (the short prefix) and the first y - t y + 1 of y (the long one) share a hash; at the first such, enough of both is left for what
-    the pair needs (positional filter). Rarest first, hashes of passages that many texts share come last; a hash of one sketch
-    takes its place in the prefix but makes no pair.
-    """
-    hashes = stored(_hashes(firsts), "hashes")
-    shared = stored(hashes.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("h", "hs"), "shared")
-    every = hashes.join(shared, F.col("h") == F.col("hs")).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("found"))
-    m = F.least(F.col("n"), F.lit(int(SIZE * (1 + t) / 2 + 1e-9)))
-    spare = F.floor(m * F.lit((1 - t) / (1 + t)) + 1e-9).cast("int")
-
-    def prefix(found: Column, size: Column, length: Column, short: bool) -> DataFrame:
-        # hashes of this sketch alone stand before all others
-        ranked = every.select("id", "n", F.posexplode(found).alias("k", "p"), (size - F.size(found)).alias("alone"))
-        return ranked.select("id", "n", "p.h", (F.col("alone") + F.col("k") + 1).alias("rank"), F.lit(short).alias("short")).where(F.col("rank") <= length)
-
-    both = prefix(F.filter("found", lambda p: p["at"] < m), m, spare + 1, True).union(prefix(F.col("found"), F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1, False))
-    placed = stored(both.join(groups, F.col("id") == F.col("node"), "left").select("id", "n", "h", "rank", "short", F.coalesce("root", "id").alias("root")), "placed")
-    drop_stored(hashes)
-    drop_stored(shared)
-    # most hashes hold one component only: these make no pairs
-    several = stored(placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("short").alias("s")).where("s and x <> y").select(F.col("h").alias("hs")), "several")
-    kept = stored(placed.join(several, F.col("h") == F.col("hs")).select("id", "n", "h", "rank", "short", "root"), "kept")
-    left = kept.where("short").select("id", "h", "root", "n", m.alias("m"), (m - spare).alias("holds"), "rank")
-    right = kept.where("not short").select(F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("rank").alias("rankb"), F.col("root").alias("rb"))
-    need = F.greatest(F.col("holds"), F.least(F.ceil(F.lit(SIZE * t) - 1e-9), F.ceil((F.col("n") + F.col("nb")) * F.lit(t / (1 + t)) - 1e-9)))
-    fits = F.least(F.col("m") - F.col("rank"), F.col("nb") - F.col("rankb")) + 1 >= need
-    pairs = left.join(right, (F.col("h") == F.col("hb")) & (F.col("root") != F.col("rb")) & fits).select(F.least("id", "idb").alias("a"), F.greatest("id", "idb").alias("b"))
+def rooted(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """rows (id, ...) with the root of their component: themselves where they have none."""
+    if groups is None:
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+
+
+def star(keyed: DataFrame, order) -> DataFrame:
+    """a, b: each member of a group (key, id, root) beside the group's first by `order`, if their roots differ."""
+    heads = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("root"))).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    heads = stored(heads.where("x <> y").select(F.col("key").alias("k"), F.col("m.id").alias("head"), F.col("m.root").alias("head_root")), "heads")
+    pairs = keyed.join(heads, F.col("key") == F.col("k")).where("root <> head_root").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     out = stored(pairs.distinct(), "pairs")
-    for table in (placed, several, kept):
-        drop_stored(table)
+    drop_stored(heads)
     return out
 
 
-def _linked(docs: DataFrame, shingle: int, similarity: float, slack: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The links by fingerprints and equal sketches, their components (node, root), and the links that the join adds."""
-    # one row a document, so that the joins below have nothing to gather by key and Spark may split their hot keys
-    every = sketched(docs, shingle, doc_id, text).where("id is not null")
-    rows = stored(every.groupBy("id").agg(F.min(F.struct(*FOUND)).alias("m")).select("id", "m.*"), "sketches")
-    keyed = rows.select("id", F.md5("sketch").alias("k"))
-    least = stored(keyed.groupBy("k").agg(F.min("id").alias("b")).withColumnRenamed("k", "kb"), "least")
-    equal = keyed.join(least, F.col("k") == F.col("kb")).where("id <> b").select(F.col("id").alias("a"), "b")
-    links = stored(_star_links(rows, similarity - slack).union(equal).distinct(), "links")
+def fingerprint_pairs(reps: DataFrame, radius: int) -> DataFrame:
+    """a, b: documents of one fingerprint beside its least, and the least of fingerprints that share a ball."""
+    least = stored(reps.groupBy("fp").agg(F.min("id").alias("head")).withColumnRenamed("fp", "f"), "least")
+    same = reps.select("id", "fp").join(least, F.col("fp") == F.col("f")).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    of = lambda n: least.select(F.col("f").alias(f"f{n}"), F.col("head").alias(f"h{n}"))
+    near = ball_edges(least.select(F.col("f").alias("fp")), radius).join(of(1), F.col("a") == F.col("f1")).join(of(2), F.col("b") == F.col("f2"))
+    out = stored(same.union(near.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))), "pairs")
+    drop_stored(least)
+    return out
+
+
+def representatives(docs: DataFrame, shingle: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The least document of each text, sketched, as a stored table; and a, b: every other document beside the one of its text."""
+    every = sketched(docs, shingle, doc_id, text)
+    rows = stored(every.groupBy("id").agg(F.min(F.struct("w0", "w1", "fp", "n", "sketch", "bands")).alias("m")).select("id", "m.*"), "sketches")
+    least = stored(rows.groupBy("w0", "w1").agg(F.min("id").alias("head")).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), "head"), "least")
+    copies = stored(rows.join(least, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1"))).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), "copies")
+    reps = stored(rows.join(copies.select(F.col("b").alias("c")), F.col("id") == F.col("c"), "left_anti").select("id", "fp", "n", "sketch", "bands"), "reps")
+    drop_stored(rows)
+    drop_stored(least)
+    return reps, copies
+
+
+def _linked(docs: DataFrame, shingle: int, similarity: float, radius: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """copies (a, b) of one text; verified links (a, b) between the least documents of texts; their components (node, root)."""
+    reps, copies = representatives(docs, shingle, doc_id, text)
+    texts = named(docs, doc_id, text)
+    by_ball = fingerprint_pairs(reps, radius)
+    keyed = stored(reps.select("id", F.explode("bands").alias("key")), "keyed")
+    by_band = star(keyed.withColumn("root", F.col("id")), F.col("id"))
+    links = verified(by_ball.union(by_band).distinct(), reps, texts, shingle, similarity)
+    drop_stored(by_ball)
+    drop_stored(by_band)
     groups = stored(connected_components(links), "groups")
-    firsts = rows.join(least.select(F.col("b").alias("first")), F.col("id") == F.col("first"), "left_semi").select("id", "sketch")
-    pairs = _apart(firsts, groups, similarity - slack)
-    more = _verified(pairs, rows, similarity - slack)
-    drop_stored(pairs)
-    return links, groups, more
+    # groups that are still in parts: their members meet under each two of their keys, in stars on another member
+    roots = stored(rooted(keyed, groups), "rooted")
+    drop_stored(keyed)
+    parts = stored(roots.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k")), "parts")
+    mine = roots.join(parts, F.col("key") == F.col("k")).groupBy("id", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    twos = mine.select("id", "root", F.explode("keys").alias("one"), "keys").select("id", "root", "one", F.explode(F.filter("keys", lambda k: k >= F.col("one"))).alias("two"))
+    twos = stored(twos.select("id", "root", F.xxhash64("one", "two").alias("key")), "twos")
+    again = star(twos, F.xxhash64("id", "key"))
+    more = verified(again, reps, texts, shingle, similarity)
+    for table in (roots, parts, twos, again, reps):
+        drop_stored(table)
+    both = groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
+    joined = stored(connected_components(both), "joined")
+    drop_stored(groups)
+    return copies, links.union(more), joined
+
+
+def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, b: links between documents of one text, and verified links between the least documents of different texts, which
+    connect the groups of near copies; not all pairs of a group."""
+    copies, links, groups = _linked(docs, shingle, similarity, radius, doc_id, text)
+    drop_stored(groups)
+    return copies.union(links)
+
 
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for those of documents that a chain of texts, each with at least `similarity` of
+    the distinct shingles of two neighbours in common, links to one of smaller id.
 
-def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b: verified links between documents, which connect the groups of near copies; not all pairs of a group, but every pair
-    of which the estimate reaches `similarity` less `slack` (about one and a half of its standard errors) is connected.
+    Words are runs without ASCII white space, A-Z lower-cased. Texts without words (null, empty) are copies of each other;
+    one of fewer words than a shingle is one shingle. Rows that repeat a doc_id are one document, that of the least
+    hashes, and stay or go together; rows whose doc_id is null or no integer stay. Texts are taken whole, however long.
     """
-    links, _, more = _linked(docs, shingle, similarity, slack, doc_id, text)
-    return links.union(more)
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, but for those of documents that are linked to one of smaller id by a chain of near
-    copies. Texts without words are copies of each other; rows that repeat a doc_id are one document and stay or go
-    together; rows with a null doc_id stay."""
-    _, groups, more = _linked(docs, shingle, similarity, 0.05, doc_id, text)
-    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    gone = stored(groups.where("node <> root").select(F.col("node").alias("_gone_id")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_gone_id"), "left_anti")
+    copies, _, groups = _linked(docs, shingle, similarity, radius, doc_id, text)
+    gone, key = fresh(docs, "gone"), fresh(docs, "key")
+    ids = stored(copies.select(F.col("b").alias(gone)).union(groups.where("node <> root").select("node")), "gone")
+    drop_stored(copies)
+    drop_stored(groups)
+    keyed = docs.withColumn(key, F.col(f"`{doc_id}`").try_cast("long"))
+    return keyed.join(ids.hint("shuffle_hash"), F.col(key) == F.col(gone), "left_anti").drop(key)

@@ -72,15 +72,16 @@ def distance(a: Column, b: Column) -> Column:
 def ball_edges(distinct: DataFrame, radius: int) -> DataFrame:
     """a, b: links between distinct fingerprints (fp) at most `radius` bits apart that connect all that such pairs connect.
 
-    In a variant's group each fingerprint links to the one before it by value; where that pair is too far apart (an odd
-    radius), the links to the group's own variant, if it is a fingerprint, and other groups hold the rest: for an even radius
-    any two of a group are within it, so the chain connects the group.
+    Two at most `radius` apart share a variant that is within radius // 2 flips of one and within the rest of the other. In a
+    variant's group, then, every fingerprint links to the least of the nearer kind, if there is one: any such two are within
+    the radius, and every pair that the variant brings together is connected through it. A group is a ball around a variant:
+    its size is bounded by the number of variants, whatever the number of fingerprints.
     """
-    if radius % 2:
-        raise ValueError("an even radius, for which any two fingerprints that share a variant are within it")
-    variants = distinct.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in flips(radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
-    chained = variants.withColumn("before", F.lag("fp").over(Window.partitionBy("v").orderBy("fp")))
-    pairs = chained.where("before is not null").select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
+    near, far = flips(radius // 2), flips((radius + 1) // 2)
+    masks = F.array(*[F.lit(m).cast("long") for m in far])
+    variants = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("i", "v"))
+    centre = F.min(F.when(F.col("i") < len(near), F.col("fp"))).over(Window.partitionBy("v"))
+    pairs = variants.withColumn("centre", centre).where("centre <> fp").select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct()
     return pairs.where(distance(F.col("a"), F.col("b")) <= radius)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,10 +45,11 @@ def test_components_of_documents(spark):
         assert (got[d].hex, got[d].component_id) == (f"{fp[d]:016x}", want[d])
 
 
-def test_ball_hashing_finds_all_links(spark):
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_ball_hashing_finds_all_links(spark, radius):
     rng = random.Random(9)
     fps = set()
-    for _ in range(60):
+    for _ in range(60 if radius < 3 else 12):
         f = rng.getrandbits(64)
         for _ in range(6):
             fps.add(f)
@@ -55,8 +57,8 @@ def test_ball_hashing_finds_all_links(spark):
                 f ^= 1 << rng.randrange(64)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {tuple(sorted(r)) for r in ball_edges(df, 2).collect()}
-    true = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
+    got = {tuple(sorted(r)) for r in ball_edges(df, radius).collect()}
+    true = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= radius}
     assert got <= true and components(signed, got) == components(signed, true)
 
 
