@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,8 @@ M1, M2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 COMPARE, KNOWN = 0, 1
 #: What a hash is of: a run of words, or a whole text.
 RUN, WHOLE = 0, -1
-ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "g", "doc", "pos")])
+# without nulls, so that both readers of the dealt rows see one plan
+ROW = T.StructType([T.StructField(n, T.LongType(), False) for n in ("h", "g", "doc", "pos")])
 
 
 def span_rows(hashes: list[np.ndarray]) -> pa.RecordBatch:
@@ -144,13 +145,17 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def shared_places(rows: DataFrame, both_sides: bool) -> DataFrame:
-    """doc, pos (what it is of) and h of the rows that are known or whose (h, g) other documents hold: any, or a smaller one."""
-    w = Window.partitionBy("h", "g")
-    found = rows.withColumn("least", F.min("doc").over(w))
+    """doc, pos (what it is of) and h of the rows that are known or whose (h, g) other documents hold: any, or a smaller one.
+
+    The rows are dealt by (h, g) once; what documents share is summed up there and the rows pass it by, so that no task holds
+    the rows of a hash, however many there are."""
+    dealt = rows.repartition("h", "g", "pos")
+    heads = dealt.groupBy("h", "g", "pos").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+    heads = heads.select(F.col("h").alias("h_"), F.col("g").alias("g_"), F.col("pos").alias("pos_"), "least").hint("shuffle_hash")
     other = F.col("doc") > F.col("least")
     if both_sides:
-        found = found.withColumn("most", F.max("doc").over(w))
-        other = F.when(F.col("pos") == WHOLE, other).otherwise(F.col("most") > F.col("least"))
+        other = F.col("least").isNotNull() & (other | (F.col("pos") != WHOLE))
+    found = dealt.join(heads, (F.col("h") == F.col("h_")) & (F.col("g") == F.col("g_")) & (F.col("pos") == F.col("pos_")), "left")
     return found.where((F.col("g").bitwiseAND(F.lit(3)) == KNOWN) | other).select("doc", "pos", "h")
 
 
