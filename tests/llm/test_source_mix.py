@@ -68,3 +68,34 @@ def test_few_rows(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = pareto_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_inclusion_in_proportion_to_size(spark):
+    """Over many seeds each document is sampled as often as its inclusion probability says; the order isn't that of the draws."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 40, 200]), rng.choice("ab")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    size = {d: len(t.split()) for d, t, _ in rows}
+    seeds, taken, inclusion = 12, {}, {}
+    for seed in range(seeds):
+        for r in pareto_mix(df, weights=(3.0, 1.0), share=0.6, seed=seed).collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+            inclusion[r.doc_id] = r.inclusion
+    by_source = {s: [d for d, _, x in rows if x == s] for s in "ab"}
+    for s, want in filled({s: sum(size[d] for d in ids) for s, ids in by_source.items()}, (3.0, 1.0), 0.6).items():
+        ids = by_source[s]
+        assert sum(inclusion[d] * size[d] for d in ids) == pytest.approx(want, rel=1e-6)
+        for n in set(size.values()):
+            own = [d for d in ids if size[d] == n]
+            p = inclusion[own[0]]
+            mean = sum(taken[d] for d in own) / seeds / len(own)
+            assert abs(mean - p) < 4 * (p * (1 - p) / seeds / len(own)) ** 0.5 + 0.03, (s, n, p, mean)
+    assert max(inclusion.values()) == 1.0 and len(set(inclusion.values())) > 5
+
+
+def test_many_sources_and_a_clashing_name(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(1, 9), f"h{rng.randrange(300)}", "t") for i in range(900)]
+    check(spark, rows, 0.51)
+    df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, source string, mix_copies int")
+    assert mix_documents(df).columns == [*df.columns, "_mix_copies"]
