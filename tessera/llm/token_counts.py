@@ -2,8 +2,9 @@
 
 For a merge-rank BPE the encoding of a prefix is the encoding of a shorter prefix plus one last token: among the tokens that
 end there, exactly one forms a pair with the shorter prefix's last token that the merges keep apart. So one pass over the
-prefixes of a piece finds the last token and count of each, and counts add up over pieces. The counts of all prefixes then
-answer truncation and budget questions without encoding anything again.
+prefixes of a piece finds the last token and count of each, and counts add up over pieces. The counts of all prefixes are
+stored as steps, by how much each code point changes the count; totals, truncation and budget questions are sums of these,
+without encoding anything again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import column, only
+from tessera.llm.common import column, only, segments
 
 #: The piece pattern of the tokenizer file's byte-level splitter (a fixed value of the format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,7 +36,7 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Token counts of all prefixes of texts, as the tokenizer file's library would encode each prefix.
 
-    Memory is bounded: the caches of pieces and of token pairs are emptied when they hold `cache` entries.
+    Memory is bounded: the cache of token pairs is emptied at `cache` entries, that of pieces at `cache` times 200 bytes.
     """
 
     def __init__(self, path: str, cache: int = 600_000):
@@ -54,8 +55,13 @@ class PrefixCounter:
         self.token = {i: t for t, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab))
         self.pieces = regex.compile(PIECES).findall
+        self.space = regex.compile(r"\s+").fullmatch
+        self.runs = regex.compile(r"\s\s").search
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.cache, self.done, self.counts, self.apart = cache, {}, {}, {}
+        self.cache, self.apart = cache, {}
+        #: the steps of each piece after a text that doesn't end in white space
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The plain merge loop, used only to judge pairs of tokens."""
@@ -94,121 +100,106 @@ class PrefixCounter:
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
         return count
 
-    def piece_count(self, piece: str) -> int:
-        n = self.counts.get(piece)
-        if n is None:
-            if len(self.counts) >= self.cache:
-                self.counts.clear()
-            n = self.counts[piece] = self.prefixes(piece.encode())[-1]
-        return n
-
-    def piece_prefixes(self, piece: str) -> list[int]:
+    def prefix_list(self, piece: str) -> list[int]:
         """Counts at each code point of a piece, from 1 on, as prefixes that end inside the piece are encoded."""
-        out = self.done.get(piece)
-        if out is None:
-            if len(self.done) >= self.cache // 8:
-                self.done.clear()
-            by_byte, at, out = self.prefixes(piece.encode()), 0, []
-            for c in piece:
-                at += len(c.encode())
-                out.append(by_byte[at])
-            if piece in SPLIT_INSIDE:
-                out[1] = self.piece_count(piece[0]) + self.piece_count(piece[1])
-            self.done[piece] = out
+        by_byte, at, out = self.prefixes(piece.encode()), 0, []
+        for c in piece:
+            at += len(c.encode())
+            out.append(by_byte[at])
+        if piece in SPLIT_INSIDE:
+            out[1] = self.prefix_list(piece[0])[-1] + self.prefix_list(piece[1])[-1]
         return out
 
-    def ordinary(self, text: str) -> int:
-        counts = self.counts
-        total = 0
-        for p in self.pieces(text):
-            n = counts.get(p)
-            total += self.piece_count(p) if n is None else n
-        return total
-
-    def count(self, text: str) -> int:
-        """Tokens of the whole text; special strings inside it count as one token each."""
-        if self.special is None or not any(s in text for s in self.specials):
-            return self.ordinary(text)
-        return sum(map(self.ordinary, self.special.split(text))) + len(self.special.findall(text))
+    def learnt(self, piece: str) -> bytes:
+        if self.held > 200 * self.cache:
+            self.known.clear()
+            self.held = 0
+        out = self.known[piece] = steps_of(self.prefix_list(piece), 0)
+        self.held += 6 * len(piece) + 100
+        return out
 
-    def _ordinary_prefixes(self, text: str) -> list[int]:
-        out, before = [0], 0
-        at = 0
+    def _plain(self, text: str) -> bytes:
+        """The steps of a text without special strings."""
+        known = self.known
+        if not self.runs(text):
+            return b"".join([known[p] if p in known else self.learnt(p) for p in self.pieces(text)])
+        return self._with_runs(text)
+
+    def _with_runs(self, text: str) -> bytes:
+        """As _plain(), where white space may stand in a row: a prefix that ends in such a run sees it as one piece, though its
+        last character begins the next piece when the text goes on."""
+        out, at, before, last = [], 0, 0, 0  # before: tokens of the pieces so far; last: of the prefix that ends here
+        run_at, run_before = -1, 0  # where the run of white space before this place begins
         for p in self.pieces(text):
-            if p.isspace() and len(p) > 1 or p.isspace() and at and text[at - 1].isspace():
-                # a prefix that ends in a run of white space sees the run as its last piece
-                start = at
-                while start and text[start - 1].isspace():
-                    start -= 1
-                seen = out[start]
-                out += [seen + n for n in self.piece_prefixes(text[start : at + len(p)])[at - start :]]
-            elif p[0] == " " and len(p) > 1:
-                start = at
-                while start and text[start - 1].isspace():
-                    start -= 1
-                out.append(out[start] + self.piece_prefixes(text[start : at + 1])[-1])
-                out += [before + n for n in self.piece_prefixes(p)[1:]]
+            own = self.known[p] if p in self.known else self.learnt(p)
+            blank = self.space(p) is not None
+            lead = len(p) if blank else 1 if self.space(p[0]) else 0
+            begins = run_at if run_at >= 0 else at
+            if lead and at + lead - begins > 1:
+                seen = run_before if run_at >= 0 else last
+                values = [seen + n for n in self.prefix_list(text[begins : at + lead])[at - begins :]]
+                values += [before + n for n in np.cumsum(np.frombuffer(own, "<i2"))[lead:].tolist()]
+                out.append(steps_of(values, last))
+            elif last != before:
+                out.append(steps_of([before + n for n in np.cumsum(np.frombuffer(own, "<i2")).tolist()], last))
+                values = None
+            else:
+                out.append(own)
+                values = None
+            if blank:
+                if run_at < 0:
+                    run_at, run_before = at, last
             else:
-                out += [before + n for n in self.piece_prefixes(p)]
-            before += self.piece_count(p)
+                run_at = -1
+            before += int(np.frombuffer(own, "<i2").sum())
+            last = values[-1] if values else before
             at += len(p)
-        return out
+        return b"".join(out)
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Exact token counts of text[:0], text[:1], ..., text (code points)."""
+    def steps(self, text: str) -> np.ndarray:
+        """By how much each code point of the text changes the number of tokens; special strings count as one token each."""
         if self.special is None or not any(s in text for s in self.specials):
-            return np.array(self._ordinary_prefixes(text), np.int32)
-        out, at, before = [0], 0, 0
+            return np.frombuffer(self._plain(text), "<i2")
+        out, at = [], 0
         for m in self.special.finditer(text):
             # up to the last letter of a special string a prefix holds only ordinary text
-            run = self._ordinary_prefixes(text[at : m.end() - 1])
-            out += [before + n for n in run[1:]]
-            before += self.ordinary(text[at : m.start()]) + 1
-            out.append(before)
+            run = np.frombuffer(self._plain(text[at : m.end() - 1]), "<i2")
+            whole = int(np.frombuffer(self._plain(text[at : m.start()]), "<i2").sum()) + 1
+            out += [run, np.array([whole - int(run.sum())], "<i2")]
             at = m.end()
-        out += [before + n for n in self._ordinary_prefixes(text[at:])[1:]]
-        return np.array(out, np.int32)
-
-    def count_and_cut(self, text: str, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and the length of the longest prefix with at most `budget` tokens.
-
-        Counts of prefixes are not monotone: from the piece that first exceeds the budget on, the counts inside pieces are
-        read as long as a prefix could still fit."""
-        if self.special is not None and any(s in text for s in self.specials):
-            total = self.count(text)
-            return total, len(text) if total <= budget else int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
-        pieces, counts = self.pieces(text), self.counts
-        each = [counts[p] if p in counts else self.piece_count(p) for p in pieces]
-        total = sum(each)
-        if total <= budget:
-            return total, len(text)
-        out = at = so_far = 0
-        for p, n in zip(pieces, each, strict=True):
-            if so_far + n <= budget:
-                out = at + len(p)
-            elif so_far > budget + 8:  # a prefix that ends in a later piece holds more than that, in white space a few less
-                break
-            else:
-                fits = [i + 1 for i, c in enumerate(self._inside(text, at, p, so_far)) if c <= budget]
-                if fits:
-                    out = at + fits[-1]
-            so_far += n
-            at += len(p)
-        return total, out
+        return np.concatenate([*out, np.frombuffer(self._plain(text[at:]), "<i2")])
+
+    def count(self, text: str) -> int:
+        return int(self.steps(text).sum())
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Exact token counts of text[:0], text[:1], ..., text (code points)."""
+        return prefix_counts(packed(self.steps(text)), len(text))
 
     def cut(self, text: str, budget: int) -> int:
-        return self.count_and_cut(text, budget)[1]
+        """The length of the longest prefix with at most `budget` tokens."""
+        return longest_fit(self.steps(text), budget)
+
+
+def steps_of(values: list[int], before: int) -> bytes:
+    return np.diff(np.array([before, *values], np.int64)).astype("<i2").tobytes()
+
+
+def longest_fit(steps: np.ndarray, budget: int) -> int:
+    """Counts of prefixes are not monotone: the last that fits is asked for."""
+    fits = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def packed(steps: np.ndarray) -> bytes:
+    """Steps as stored: a signed byte for each code point, or two (little-endian) in a text with a step that needs them."""
+    return steps.astype("<i1" if not len(steps) or -128 <= steps.min() and steps.max() <= 127 else "<i2").tobytes()
+
 
-    def _inside(self, text: str, at: int, piece: str, before: int) -> list[int]:
-        start = at
-        while start and text[start - 1].isspace():
-            start -= 1
-        if start == at and not piece[0].isspace():
-            return [before + n for n in self.piece_prefixes(piece)]
-        run_before = before - sum(self.piece_count(p) for p in self.pieces(text[start : at + len(piece)])[:-1])
-        lead = len(piece) if piece.isspace() else 1 if piece[0] == " " else 0
-        first = [run_before + n for n in self.piece_prefixes(text[start : at + lead])[at - start :]] if lead else []
-        return first + [before + n for n in self.piece_prefixes(piece)[lead:]]
+def prefix_counts(stored: bytes, n_chars: int) -> np.ndarray:
+    """The token counts of prefixes of 0, 1, ..., n_chars code points from stored steps."""
+    steps = np.frombuffer(stored, "<i1" if len(stored) == n_chars else "<i2")
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -222,32 +213,34 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, cut_chars: tokens of each whole text, whether they exceed `limit`, and the
-    length in code points of the longest prefix that keeps to it.
+    """doc_id, n_bytes, n_tokens, over_limit, cut_chars, prefix_steps: tokens of each whole text, whether they exceed `limit`, the
+    length in code points of the longest prefix that keeps to it, and the stored counts of all prefixes, as packed() has them;
+    prefix_counts(prefix_steps, length of the text) are the counts, of which the other columns are read.
 
-    A null text is empty (0 bytes, 0 tokens); repeated rows give a row each; other columns are left out.
-    path: a tokenizer file that each executor can open.
+    A null text is empty (0 bytes, 0 tokens, no steps); repeated rows give a row each; other columns are left out. Texts are
+    taken whole, some MB of them at a time. path: a tokenizer file that each executor can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in batches:
+        for batch in segments(batches, text, 4 << 20):
             texts = [t or "" for t in column(batch, text).to_pylist()]
-            both = [c.count_and_cut(t, limit) for t in texts]
-            n = [x for x, _ in both]
+            steps = [c.steps(t) for t in texts]
+            n = [int(x.sum(dtype=np.int64)) for x in steps]
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, doc_id),
                     pa.array([len(t.encode()) for t in texts], pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([x > limit for x in n], pa.bool_()),
-                    pa.array([k for _, k in both], pa.int64()),
+                    pa.array([len(t) if x <= limit else longest_fit(s, limit) for t, x, s in zip(texts, n, steps, strict=True)], pa.int64()),
+                    pa.array([packed(s) for s in steps], pa.binary()),
                 ],
-                names=[doc_id, "n_bytes", "n_tokens", "over_limit", "cut_chars"],
+                names=[doc_id, "n_bytes", "n_tokens", "over_limit", "cut_chars", "prefix_steps"],
             )
 
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField(doc_id, kind), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens")], T.StructField("over_limit", T.BooleanType()), T.StructField("cut_chars", T.LongType())])
+    schema = T.StructType([T.StructField(doc_id, kind), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens")], T.StructField("over_limit", T.BooleanType()), T.StructField("cut_chars", T.LongType()), T.StructField("prefix_steps", T.BinaryType())])
     return only(docs, doc_id, text).mapInArrow(run, schema)
 
 
@@ -259,7 +252,7 @@ def prefix_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in batches:
+        for batch in segments(batches, text, 1 << 20):
             texts = column(batch, text).to_pylist()
             for at in range(0, len(texts), 64):
                 rows = [c.prefix_counts(t or "") for t in texts[at : at + 64]]

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.token_counts import counter, prefix_index, token_counts
+from tessera.llm.token_counts import counter, prefix_counts, prefix_index, token_counts
 
 PATH = P.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -22,7 +22,10 @@ def test_counts_and_cuts(spark):
     for r in token_counts(df, PATH, limit=5).collect():
         t = TEXTS[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), size(t), size(t) > 5)
+        counts = prefix_counts(r.prefix_steps, len(t))
+        assert len(counts) == len(t) + 1 and counts[-1] == r.n_tokens
         if len(t) < 300:
+            assert counts.tolist() == [size(t[:k]) for k in range(len(t) + 1)], t
             assert r.cut_chars == max(k for k in range(len(t) + 1) if size(t[:k]) <= 5), t
 
 
@@ -39,7 +42,7 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abthe sé'lrv \n\t1.!<|endoftext|>漢", max_size=40), st.integers(0, 12))
+@given(st.text(alphabet="abthe sé'lrv \n\t1.!<|endoftext|>漢\u2003\x1c\x85", max_size=40), st.integers(0, 12))
 def test_any_text(t, budget):
     c = counter(PATH)
     sizes = [size(t[:k]) for k in range(len(t) + 1)]
