@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column, only
+from tessera.llm.common import column, only, segments
 
 #: Fixed patterns of the base kinds, with the least length of the given group.
 BASE = (
@@ -26,6 +26,8 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
+#: Units of entropy times window in a bit.
+UNIT = 1 << 40
 HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -33,7 +35,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 
 @dataclass(frozen=True)
 class CharClass:
-    """A character class for candidates: its runs, the window, the least entropy of a window in bits, how many of
+    """A character class for candidates: its letters (as between the brackets of a pattern), the window, the least entropy of a window in bits, how many of
     lower case, upper case and digits a window must mix, and its least number of digits (one alone often ends a plain name)."""
 
     name: str
@@ -50,7 +52,7 @@ class EntropyRules:
         CharClass("hex", "0-9A-Fa-f", 24, 3.0, 2),
         CharClass("lower", "a-z0-9", 20, 3.4, 2, 2),
         CharClass("upper", "A-Z0-9", 20, 3.4, 2),
-        CharClass("base64", "A-Za-z0-9+/_=-", 20, 3.75, 3),
+        CharClass("base64", "A-Za-z0-9+/_=\\-", 20, 3.75, 3),
     )
     #: Runs explained otherwise as a whole: UUIDs, numbers, paths and dashed words.
     allow: tuple[str, ...] = (
@@ -68,11 +70,13 @@ def windows_over(run: str, size: int, bits: float, mixed: int, digits: int = 0)
     of which `digits` digits."""
     if len(run) < size:
         return []
-    xlog = [0.0, *[c * math.log2(c) for c in range(1, size + 2)]]
+    # in whole units, so that sums that change by steps don't drift
+    xlog = [0, *[round(c * math.log2(c) * UNIT) for c in range(1, size + 2)]]
+    most = math.floor((math.log2(size) - bits) * size * UNIT)
     kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run]
     counts: dict[str, int] = {}
     kinds = [0, 0, 0, 0]
-    summed, top, found = 0.0, math.log2(size), []
+    summed, found = 0, []
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         summed += xlog[n + 1] - xlog[n]
@@ -84,7 +88,7 @@ def windows_over(run: str, size: int, bits: float, mixed: int, digits: int = 0)
             summed += xlog[n - 1] - xlog[n]
             counts[old] = n - 1
             kinds[kind[i - size]] -= 1
-        if i >= size - 1 and top - summed / size >= bits and sum(map(bool, kinds[:3])) >= mixed and kinds[2] >= digits:
+        if i >= size - 1 and summed <= most and sum(map(bool, kinds[:3])) >= mixed and kinds[2] >= digits:
             a, b = i - size + 1, i + 1
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], b)
@@ -100,7 +104,8 @@ class Scanner:
         self.allow = re.compile("|".join(f"(?:{a})" for a in rules.allow)) if rules.allow else None
         self.token = re.compile("[^/_=-]+")
         self.placeholder = re.compile("|".join(map(re.escape, rules.placeholders)), re.I) if rules.placeholders else None
-        self.any = re.compile("[A-Za-z0-9+/_=-]{16,}")
+        # every run of a class lies in one of all classes' letters, as long as the shortest window
+        self.any = re.compile(f"[{''.join(c.letters for c in rules.classes)}]{{{min(c.window for c in rules.classes)},}}") if rules.classes else None
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         out = []
@@ -142,7 +147,7 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list, list]:
         base = self.base(text)
-        more = self.entropy(text, base) if self.any.search(text) else []
+        more = self.entropy(text, base) if self.any is not None and self.any.search(text) else []
         return base, sorted(base + more)
 
 
@@ -154,13 +159,14 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules(), doc_id:
     """doc_id, base, spans: arrays of (kind, start, end) in code points, ordered by start, then kind.
 
     base holds the fixed patterns' matches, spans these and the entropy method's that no base span covers. A null or empty
-    text has none; repeated rows give a row each; equal starts are ordered assign, access, hex, entropy.
+    text has none; repeated rows give a row each; equal starts are ordered assign, access, hex, entropy. Texts are taken whole,
+    some MB of them at a time, in time linear in their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in segments(batches, text, 4 << 20):
             both = [s.scan(t or "") for t in column(batch, text).to_pylist()]
             cols = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x[i]] for x in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([column(batch, doc_id), *cols], names=[doc_id, "base", "spans"])
@@ -180,17 +186,21 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", rules: EntropyRules = EntropyRules(), text: str = "text") -> DataFrame:
     """docs with each secret in `text` replaced by `mark` (overlapping spans by one mark); all columns and rows stay, a null
-    text stays null. An n_chars column, where there is one, is counted anew for texts that changed."""
+    text stays null. An n_chars column of whole numbers, where there is one, is counted anew for texts that changed."""
+    counted = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType)
 
-    @F.pandas_udf(T.StringType())
-    def clean(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(rules)
-        return texts.map(lambda t: t if t is None else redact(t, s.scan(t)[1], mark))
-
-    out = docs.withColumn(text, clean(F.col(f"`{text}`")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(f"`{text}`").contains(mark), F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+        for batch in segments(batches, text, 4 << 20):
+            old = column(batch, text).to_pylist()
+            new = [t if t is None else redact(t, s.scan(t)[1], mark) for t in old]
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            cols[text] = pa.array(new, cols[text].type)
+            if counted:
+                cols["n_chars"] = pa.array([n if t == o else len(t) for n, t, o in zip(cols["n_chars"].to_pylist(), new, old, strict=True)], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def secret_digest(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataFrame:

@@ -5,10 +5,10 @@ import re
 import string
 from collections import Counter
 
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.secret_scan import EntropyRules, Scanner, find_secrets, redact_secrets, secret_digest, windows_over
+from tessera.llm.secret_scan import CharClass, EntropyRules, Scanner, find_secrets, redact_secrets, secret_digest
 
 TEXTS = [
     None, "", 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and PASSWORD:short', "api_key=abcdefgh apikey='x' AKIAIOSFODNN7EXAMPL AKIAX",
@@ -48,16 +48,58 @@ def test_redaction(spark):
     assert find_secrets(df.limit(0)).count() == 0
 
 
-@given(st.text(alphabet="abAB01", min_size=0, max_size=60), st.integers(4, 12))
-def test_incremental_entropy(run, size):
-    covered = set()
-    for i in range(len(run) - size + 1):
-        w = run[i : i + size]
-        h = -sum(c / size * math.log2(c / size) for c in Counter(w).values())
-        if h >= 1.7 + 1e-9:
-            covered |= set(range(i, i + size))
-    got = {p for a, b in windows_over(run, size, 1.7, 1) for p in range(a, b)}
-    assert got >= covered
+def entropy_spans(text, rules):
+    """Brute force: each window of each run judged by itself, then joined; what a fixed pattern covers is left out."""
+    marked = set()
+    for c in rules.classes:
+        for m in re.finditer(f"[{c.letters}]+", text):
+            if any(re.fullmatch(a, m[0]) for a in rules.allow) or m[0] in rules.literals or len(m[0]) < c.window:
+                continue
+            gone = set()  # places of tokens that hold a placeholder
+            for t in re.finditer("[^/_=-]+", m[0]):
+                if any(p in t[0].lower() for p in rules.placeholders):
+                    gone |= set(range(t.start(), t.end()))
+            for i in range(len(m[0]) - c.window + 1):
+                w = m[0][i : i + c.window]
+                h = -sum(n / c.window * math.log2(n / c.window) for n in Counter(w).values())
+                mixed = sum(any(f(x) for x in w) for f in (str.islower, str.isupper, str.isdigit))
+                if h >= c.bits - 1e-9 and mixed >= c.mixed and sum(map(str.isdigit, w)) >= c.digits and not gone & set(range(i, i + c.window)):
+                    marked.add((m.start() + i, m.start() + i + c.window))
+    out = []
+    for a, b in sorted(marked):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute(text)]
+    return [(a, b) for a, b in out if not any(s <= a and b <= e for s, e in base)]
+
+
+TIGHT = EntropyRules(
+    classes=(CharClass("low", "a-d0-3", 6, 1.7, 1), CharClass("mixed", "A-Da-d0-3/_=.\\-", 9, 2.15, 2, 1)), allow=("[0-3]+", "[a-d]+(?:/[a-d]+)+"), placeholders=("abc", "00"), literals=frozenset({"a1b2c3"})
+)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="abcdABCD0123/_=-. ", max_size=70))
+def test_entropy_spans_equal_brute_force(text):
+    """With rules whose windows are short and whose letters aren't the usual ones: equal spans, neither more nor fewer."""
+    got = [(a, b) for a, k, b in Scanner(TIGHT).scan(text)[1] if k == 3]
+    assert got == entropy_spans(text, TIGHT)
+
+
+def test_entropy_spans_of_strings_equal_brute_force():
+    rng = random.Random(7)
+    pools = [string.ascii_letters + string.digits, string.digits + "abcdef", "abcd0123", string.ascii_lowercase + "/-_", string.ascii_uppercase + "234567", "ab1/="]
+    seen = 0
+    for _ in range(3000):
+        t = " ".join("".join(rng.choices(rng.choice(pools), k=rng.randint(10, 60))) + rng.choice(["", "/example/", "=xxxxxx", " password=12345678Abcdefgh"]) for _ in range(4))
+        got = found(t)
+        assert got == entropy_spans(t, EntropyRules()), t
+        seen += len(got)
+    assert seen > 1000
+    run = "ab01" * 30_000 + "Zx9Kq2mVb7Lw4Tn8Yc3Rf6Hj1Ds5Gp"
+    assert found(run) == [(a, b) for a, b in found(run) if b == len(run)] and len(found(run)) == 1
 
 
 def found(t):
