@@ -8,17 +8,19 @@ counted exactly. Blocks: for templates of up to w words, the words [k w, (k + 2)
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import LOWER, column, only
+from tessera.llm.common import LOWER, column, only, segments
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = {c: int(LOWER[c]) for c in range(0x41, 0x5B)}
@@ -30,19 +32,26 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 class Template:
     label: str
     text: str
-    must: tuple[str, ...] = ()  # tokens without which a block isn't this licence
 
 
 #: Usual notices of well-known licences (fixed values).
 TEMPLATES = (
-    Template("mit", "Released under the MIT License", ("mit", "released")),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission", "granted")),
-    Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
-    Template("gpl-3", "licensed under the GNU General Public License, version 3", ("gnu", "3")),
-    Template("gpl-2", "licensed under the GNU General Public License, version 2", ("gnu", "2")),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc", "nc")),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution",)),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla",)),
+    Template("mit", "Released under the MIT License"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0"),
+    Template("gpl-3", "licensed under the GNU General Public License, version 3"),
+    Template("gpl-2", "licensed under the GNU General Public License, version 2"),
+    Template("lgpl-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    Template("lgpl-3", "licensed under the GNU Lesser General Public License, version 3"),
+    Template("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    Template("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
 
@@ -58,65 +67,79 @@ class Prepared:
     label: str
     tokens: tuple[str, ...]
     need: int
-    prefix: frozenset[str]
-    must: frozenset[str]
     width: int
 
 
-def prepare(templates: tuple[Template, ...], order: dict[str, int], threshold: float) -> list[Prepared]:
-    out = []
-    for t in templates:
-        n_words = len(words_of(t.text))
-        tokens = tuple(sorted(set(words_of(t.text)), key=lambda w: (order.get(w, 0), w)))
-        need = -int(-threshold * len(tokens) // 1)
-        width = 8
-        while width < n_words:
-            width *= 2
-        out.append(Prepared(t.label, tokens, need, frozenset(tokens[: len(tokens) - need + 1]), frozenset(t.must), width))
+class Matcher:
+    """Templates by the tokens of their prefixes."""
+
+    def __init__(self, templates: tuple[Template, ...], order: dict[str, int], threshold: float):
+        self.templates: list[Prepared] = []
+        self.by_token: dict[str, list[int]] = {}
+        for t in templates:
+            n_words = len(words_of(t.text))
+            tokens = tuple(sorted(set(words_of(t.text)), key=lambda w: (order.get(w, 0), w)))
+            need = math.ceil(threshold * len(tokens) - 1e-9)
+            for w in tokens[: len(tokens) - need + 1]:
+                self.by_token.setdefault(w, []).append(len(self.templates))
+            self.templates.append(Prepared(t.label, tokens, need, max(8, 1 << (n_words - 1).bit_length())))
+
+    def blocks(self, words: list[str]) -> Iterator[tuple[Prepared, int, int, float]]:
+        """Each block of the text that meets a template's threshold: the template, the block's first word and the one after its
+        last, and the containment."""
+        hits: dict[int, set[int]] = {}
+        by_token = self.by_token.get
+        for i, w in enumerate(words):
+            for number in by_token(w, ()):
+                at = i // self.templates[number].width
+                hits.setdefault(number, set()).update((max(at - 1, 0), at))
+        for number, found in hits.items():
+            t = self.templates[number]
+            for k in found:
+                block = set(words[k * t.width : (k + 2) * t.width])
+                if len(block) < t.need:
+                    continue
+                first = next((i for i, w in enumerate(t.tokens) if w in block), len(t.tokens))
+                if len(t.tokens) - first < t.need:
+                    continue
+                overlap = sum(w in block for w in t.tokens)
+                if overlap >= t.need:
+                    yield t, k * t.width, (k + 2) * t.width, overlap / len(t.tokens)
+
+
+def best_labels(matches: list[tuple[Prepared, int, int, float]]) -> set[str]:
+    """The labels of the matches that no better match overlaps: one of more containment or, of the same, of more tokens (the
+    notice of a licence whose name holds another's). Of ties each is named."""
+    out: set[str] = set()
+    better: list[tuple[int, int]] = []  # spans of matches better than the ones looked at
+    ranked = sorted(((share, len(t.tokens), lo, hi, t.label) for t, lo, hi, share in matches), reverse=True)
+    for _, ties in groupby(ranked, key=lambda m: m[:2]):
+        spans = list(ties)
+        out |= {label for *_, lo, hi, label in spans if not any(a < hi and lo < b for a, b in better)}
+        better = joined([*better, *[(lo, hi) for _, _, lo, hi, _ in spans]])
     return out
 
 
-def block_matches(words: list[str], templates: list[Prepared]) -> Iterator[tuple[Prepared, float, bool]]:
-    """Each block of the text that meets a template's threshold: the template, its containment, and whether the block holds the
-    template's `must` tokens."""
-    for t in templates:
-        if len(words) < t.need or t.prefix.isdisjoint(words):
-            continue
-        blocks = {k for i, w in enumerate(words) if w in t.prefix for k in (i // t.width - 1, i // t.width)}
-        for k in blocks:
-            block = set(words[max(k, 0) * t.width : (k + 2) * t.width])
-            if len(block) < t.need:
-                continue
-            first = next((i for i, w in enumerate(t.tokens) if w in block), len(t.tokens))
-            if len(t.tokens) - first < t.need:
-                continue
-            overlap = sum(w in block for w in t.tokens)
-            if overlap >= t.need:
-                yield t, overlap / len(t.tokens), t.must <= block
-
-
-def labelled(matches: Iterable[tuple[Prepared, float, bool]]) -> dict[str, float]:
-    """The largest containment of each label among the matches that hold the `must` tokens."""
-    found: dict[str, float] = {}
-    for t, share, holds in matches:
-        if holds:
-            found[t.label] = max(found.get(t.label, 0.0), share)
-    return found
-
-
-def best_matches(words: list[str], templates: list[Prepared]) -> dict[str, float]:
-    """The largest containment of each label's templates in a block of the text that holds its `must` tokens, where it meets the
-    threshold."""
-    return labelled(block_matches(words, templates))
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def phrase_places(words: list[str]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand in a row."""
     line, out = f" {' '.join(words)} ", []
     for phrase, label in PHRASES:
-        at = line.find(f" {phrase} ")
+        at, word, counted = line.find(f" {phrase} "), -1, 0
         while at >= 0:
-            out.append((line.count(" ", 0, at + 1) - 1, label))
+            word += line.count(" ", counted, at + 1)
+            counted = at + 1
+            out.append((word, label))
             at = line.find(f" {phrase} ", at + 1)
     return sorted(out)
 
@@ -127,7 +150,7 @@ def token_order(docs: DataFrame, templates: tuple[Template, ...], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in segments(batches, text, 4 << 20):
             for t in column(batch, text).to_pylist():
                 total.update(filter(wanted.__contains__, words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
@@ -140,21 +163,23 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base: places of the fixed phrases, first_word and last_word their smallest and largest first word (null without any);
-    labels: theirs and those of templates of which a block holds `threshold` of the tokens and all `must` tokens; score: 1 with a
-    phrase, else the largest share of a template that meets `threshold` in a block, with or without its `must` tokens, else 0. A null text has no words; repeated rows give a row each; equal labels are named once.
+    labels: theirs and those of templates of which a block holds `threshold` of the distinct tokens, but where such blocks
+    overlap only the best ones (the largest share, then the most tokens; of ties each); score: 1 with a phrase, else the largest share of a template that
+    meets `threshold` in a block, else 0. A null or empty text has no words; repeated rows give a row each; equal labels are
+    named once. Texts are taken whole, some MB of them at a time, in time linear in their words.
     """
-    prepared = prepare(templates, token_order(docs, templates, text), threshold)
+    matcher = Matcher(templates, token_order(docs, templates, text), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in segments(batches, text, 4 << 20):
             rows = []
             for t in column(batch, text).to_pylist():
                 words = words_of(t)
                 places = phrase_places(words)
                 base = {label for _, label in places}
-                matches = list(block_matches(words, prepared))
-                more = labelled(matches)
-                rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1.0 if places else max((share for _, share, _ in matches), default=0.0)))
+                matches = list(matcher.blocks(words))
+                score = 1.0 if places else max((share for *_, share in matches), default=0.0)
+                rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | best_labels(matches))), score))
             cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([column(batch, doc_id), *[pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)]], names=[doc_id, *NAMES])
 
