@@ -148,7 +148,9 @@ NAMES = ("item_id", "n_shared", "n_shingles", "containment")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item as find_leaks() tells; decided where the rows are."""
+    """The rows of docs, all columns, whose text holds no item as find_leaks() tells; decided where the rows are. Null and empty
+    texts stay; repeated rows stay or go together; texts are taken whole. Of several blocks of items each result is written
+    before the next block comes to the driver."""
 
     def keep(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: f
 
         return run
 
-    out = docs
+    out = None
     for block in blocks(items, item_id, item_text, block_bytes):
-        out = out.mapInArrow(keep(Index(block, shingle, threshold)), docs.schema)
-    return out
+        before = docs if out is None else stored(out, "clean")
+        out = before.mapInArrow(keep(Index(block, shingle, threshold)), docs.schema)
+    return docs if out is None else out

@@ -94,16 +94,22 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
+#: Text that a range of rows holds at most, about.
+RANGE_BYTES = 256 << 20
+
+
 def in_order_with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows by descending doc_id, dealt to partitions by ranges of it, each followed by a copy of the row after its last
     (is_tail), which after the lowest range is the row with the largest id. No partition needs another to know what follows.
 
-    Quantiles of the ids give the ranges: their number is that of the session's shuffle partitions.
+    Quantiles of the ids give the ranges: as many as the session's shuffle partitions, or more where these would hold over
+    RANGE_BYTES of text, so that a task's share stays the same as the table grows. Rows that repeat one id are one range.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(2**63)
     ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(low)).alias("k"))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     splits = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * max(parts, 100)).alias("s")).first().s or []
     edges = np.unique(np.array(splits, np.int64)) if parts > 1 else np.zeros(0, np.int64)
 

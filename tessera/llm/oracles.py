@@ -64,9 +64,10 @@ sx AS {_strength('x')}, sd AS {_strength('d')}, sh AS {_strength('h')},
 px AS (SELECT x.*, s, (k + overall * s) / (n + s) AS mean FROM x, t, sx),
 pd AS (SELECT d.*, sd.s, (d.k + px.mean * sd.s) / (d.n + sd.s) AS mean FROM d JOIN px USING (suffix), sd),
 ph AS (SELECT h.*, sh.s, (h.k + pd.mean * sh.s) / (h.n + sh.s) AS mean FROM h JOIN pd USING (domain), sh),
-bh AS (SELECT host, {_LOW} > 0.5 AS bad FROM ph), bd AS (SELECT domain FROM pd WHERE {_LOW} > 0.5), bx AS (SELECT suffix FROM px WHERE {_LOW} > 0.5),
-j AS (SELECT page_id, host, path, CASE WHEN host <> '' AND coalesce(bh.bad, {_domain('p.host')} IN (SELECT domain FROM bd) OR {_suffix('p.host')} IN (SELECT suffix FROM bx)) THEN 'block' ELSE 'allow' END AS by_reputation,
+bh AS (SELECT host, n, mean, {_LOW} AS low FROM ph WHERE host <> ''), bd AS (SELECT domain, mean, {_LOW} AS low FROM pd WHERE domain <> ''), bx AS (SELECT suffix, mean, {_LOW} AS low FROM px WHERE suffix <> ''),
+j AS (SELECT page_id, host, path, coalesce(bh.n, 0) AS n_outcomes, coalesce(bh.mean, bd.mean, bx.mean) AS mean, coalesce(bh.low, bd.low, bx.low) AS low,
 CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
-WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p LEFT JOIN bh USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE by_reputation END AS verdict, by_reputation FROM j
+WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p LEFT JOIN bh USING (host) LEFT JOIN bd ON bd.domain = {_domain('p.host')} LEFT JOIN bx ON bx.suffix = {_suffix('p.host')}),
+v AS (SELECT *, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS by_reputation FROM j)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE by_reputation END AS verdict, by_reputation, n_outcomes, round(mean, 9) AS posterior, round(low, 9) AS posterior_low FROM v
 """

@@ -99,25 +99,25 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, D
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...], limit: float = 0.5, z: float = 1.645, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, by_reputation for each row of pages.
+    """page_id, host, path, rule, verdict, by_reputation, n_outcomes, posterior, posterior_low for each row of pages.
 
-    The longest rule that fits decides; else a page is blocked where the host's posterior bound is over `limit`, or for a
-    host without outcomes its domain's, or else its suffix's. A null url or one without :// has an empty host and path, and is
-    allowed without a rule; repeated rows give a row each.
+    The longest rule that fits decides; else a page is blocked where the posterior bound is over `limit`: that of the host, for
+    a host without outcomes its domain's, or else its suffix's. n_outcomes: the host's own; posterior and posterior_low: the
+    mean and the bound that the page is judged by, to nine places (null without any). A null url or one without :// has an
+    empty host and path, and is allowed without a rule; repeated rows give a row each; urls are taken whole.
     """
     hosts, domains, suffixes, _ = host_reputation(outcomes, z)
-    bad_hosts = stored(hosts.select(F.col("host").alias("h"), (F.col("low") > limit).alias("h_bad")), "bad-hosts")
-    wide = stored(domains.where(F.col("low") > limit).select(F.lit("domain").alias("kind"), F.col("domain").alias("name")).union(suffixes.where(F.col("low") > limit).select(F.lit("suffix"), "suffix")), "bad-wide")
     p = pages.select(F.col(f"`{page_id}`").alias("page_id"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
-    p = p.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(bad_hosts, F.col("host") == F.col("h"), "left")
-    bad = F.coalesce("h_bad", F.lit(False))
-    if wide.head(1):
-        for kind, of in (("domain", domain_of), ("suffix", suffix_of)):
-            names = wide.where(F.col("kind") == kind).select(F.col("name").alias(f"{kind}_bad"))
-            p = p.join(names, of(F.col("host")) == F.col(f"{kind}_bad"), "left")
-        bad = F.coalesce("h_bad", F.col("domain_bad").isNotNull() | F.col("suffix_bad").isNotNull())
-    own = F.when(bad & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))
-    return p.select(F.col("page_id").alias(page_id), "host", "path", F.col("r.name").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), own.alias("by_reputation"))
+    p = p.withColumns({"r": rule_of(F.col("host"), F.col("path"), rules), "domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    for table, name in ((hosts, "host"), (domains, "domain"), (suffixes, "suffix")):
+        known = stored(table.where(F.col(name) != "").select(F.col(name).alias(f"{name}_"), F.struct("n", "mean", "low").alias(f"of_{name}")), f"of-{name}")
+        p = p.join(known, F.col(name) == F.col(f"{name}_"), "left")
+    by = F.coalesce("of_host", "of_domain", "of_suffix")
+    own = F.when(F.coalesce(by["low"] > limit, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    return p.select(
+        F.col("page_id").alias(page_id), "host", "path", F.col("r.name").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), own.alias("by_reputation"),
+        F.coalesce(F.col("of_host.n"), F.lit(0)).alias("n_outcomes"), F.round(by["mean"], 9).alias("posterior"), F.round(by["low"], 9).alias("posterior_low"),
+    )
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
@@ -132,5 +132,3 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame, url: str = "url") ->
 def drop_blocked(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = (), limit: float = 0.5) -> DataFrame:
     """page_id of the pages that stay."""
     return judge_urls(pages, outcomes, rules, limit).where("verdict = 'allow'").select("page_id")
-
-
