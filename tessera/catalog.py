@@ -72,8 +72,8 @@ FOURIER |= {
 LINALG = public(linalg) | {
     "transpose": arrays.transpose, "transpose_rotated_180": arrays.transpose_rotated_180, "squared_norm": stats.squared_norm, "norm_l2": stats.norm_l2,
     "self_adjoint_eigen_decomposition": lambda a: (linalg.self_adjoint_eigenvalues(a), linalg.self_adjoint_eigenvectors(a)), "eigen_decomposition": lambda a: (linalg.eigenvalues(a), linalg.eigenvectors(a)),
-    "identity_matrix3": lambda: np.eye(3), "rotation_x": partial(linalg.rotation, "x"), "rotation_y": partial(linalg.rotation, "y"), "rotation_z": partial(linalg.rotation, "z"), "multiply": np.matmul,
-    "pseudo_inverse_4x2": np.linalg.pinv, "least_squares_4x2": lambda a, b: np.linalg.lstsq(a, b, rcond=None)[0], "try_solve_refined": linalg.solve_refined,
+    "identity_matrix3": lambda: np.eye(3), "rotation_x": partial(linalg.rotation, "x"), "rotation_y": partial(linalg.rotation, "y"), "rotation_z": partial(linalg.rotation, "z"), "multiply": linalg.matmul,
+    "pseudo_inverse_4x2": linalg.pseudo_inverse, "least_squares_4x2": linalg.solve_least_squares, "try_solve_refined": linalg.solve_refined,
     "svd_in_place": linalg.svd, "full_svd_in_place": linalg.full_svd, "least_squares": linalg.solve_least_squares,
 }
 LINALG |= {"self_adjoint_eigen_decomposition_with_workspace": LINALG["self_adjoint_eigen_decomposition"], "whitening_matrix_from_self_adjoint_eigen_with_workspace": linalg.whitening_from_covariance}

@@ -562,8 +562,8 @@ def align_ecc_euclidean(reference: Grid, moving: Grid, iterations: int = 20, eps
     both = reference.df.withColumn("i2", F.lit(0)).unionByName(moving.df.withColumn("i2", F.lit(1)))
 
     def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-        y, z = np.clip(y, 0, rows - 1.001), np.clip(z, 0, cols - 1.001)
-        a, b = y.astype(int), z.astype(int)
+        y, z = np.clip(y, 0, rows - 1), np.clip(z, 0, cols - 1)
+        a, b = np.minimum(y.astype(int), rows - 2), np.minimum(z.astype(int), cols - 2)
         u, v = y - a, z - b
         return (1 - u) * ((1 - v) * x[a, b] + v * x[a, b + 1]) + u * ((1 - v) * x[a + 1, b] + v * x[a + 1, b + 1])
 

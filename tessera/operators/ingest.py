@@ -124,26 +124,55 @@ def deduplicated(lines: DataFrame, key: list[str], coordinate: list[str], arriva
     return one.select(*at, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
+def _needed(lines: DataFrame, required: DataFrame, key: list[str]) -> DataFrame:
+    """key and coordinate of all required lines; required: coordinates with their frames' keys, or for every frame there is."""
+    return required if set(key) <= set(required.columns) else lines.select(*key).distinct().crossJoin(required)
+
+
 def missing_coordinates(lines: DataFrame, required: DataFrame, key: list[str], coordinate: list[str]) -> DataFrame:
     """key and coordinate of each required line that no acquisition covers. required: coordinates, with keys or for all."""
-    per_key = set(key) <= set(required.columns)
-    need = required if per_key else lines.select(*key).distinct().crossJoin(F.broadcast(required))
-    return need.join(lines.select(*key, *coordinate).distinct(), [*key, *coordinate], "left_anti")
+    return _needed(lines, required, key).join(lines.select(*key, *coordinate).distinct(), [*key, *coordinate], "left_anti")
+
+
+def unexpected_coordinates(lines: DataFrame, required: DataFrame, key: list[str], coordinate: list[str]) -> DataFrame:
+    """Lines whose coordinate their frame doesn't ask for."""
+    on = [*key, *coordinate] if set(key) <= set(required.columns) else coordinate
+    return lines.join(required.select(*on).distinct(), on, "left_anti")
 
 
-def coverage(lines: DataFrame, required: int, key: list[str], coordinate: list[str]) -> DataFrame:
-    """key, covered, complete: whether each frame has its required number of different lines."""
-    return lines.groupBy(*key).agg(F.countDistinct(*coordinate).alias("covered")).withColumn("complete", F.col("covered") == required)
+def coverage(lines: DataFrame, required: DataFrame, key: list[str], coordinate: list[str]) -> DataFrame:
+    """key, covered, missing, unexpected, complete of each frame by its exact set of coordinates: how many of the required ones
+    have come, how many haven't, and how many came that aren't asked for; complete: all came and no other did.
 
+    required: coordinates for every frame, or with keys; then a frame of which nothing came is there too. One sum by frame:
+    the lines and the required coordinates are laid over each other, so that frames need no list."""
+    came = lines.select(*key, *coordinate).distinct().withColumn("came", F.lit(True))
+    need = _needed(lines, required, key).select(*key, *coordinate).distinct().withColumn("need", F.lit(True))
+    both = came.join(need, [*key, *coordinate], "full_outer")
+    state = both.groupBy(*key).agg(F.count_if(F.col("came") & F.col("need")).alias("covered"), F.count_if(F.col("came").isNull()).alias("missing"), F.count_if(F.col("need").isNull()).alias("unexpected"))
+    return state.withColumn("complete", (F.col("missing") == 0) & (F.col("unexpected") == 0))
 
-def assembled(lines: DataFrame, required: int, key: list[str], coordinate: list[str], incomplete: str = "fail") -> DataFrame:
-    """Lines of complete frames; incomplete ones are an error (fail), kept (emit_partial) or left out (certified_skip)."""
-    if incomplete == "emit_partial":
-        return lines
+
+def assembled(lines: DataFrame, required: DataFrame, key: list[str], coordinate: list[str], incomplete: str = "fail") -> DataFrame:
+    """Lines of complete frames; incomplete ones are an error (fail), kept (emit_partial) or left out (certified_skip). A line
+    that its frame doesn't ask for is an error under any policy."""
+    if incomplete not in INCOMPLETE:
+        raise ValueError(f"unknown incomplete policy {incomplete}")
     state = coverage(lines, required, key, coordinate)
+    stop = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    keep = F.lit(True) if incomplete == "emit_partial" else F.col("complete")
     if incomplete == "fail":
-        state = state.where(F.when(~F.col("complete"), F.raise_error(F.lit("incomplete frame at the end of input")).cast("boolean")).otherwise(F.lit(True)))
-    return lines.join(state.where("complete").select(*key), key, "left_semi")
+        keep = F.when(F.col("missing") > 0, stop("incomplete frame at the end of input")).otherwise(F.lit(True))
+    keep = F.when(F.col("unexpected") > 0, stop("unexpected coordinate in a frame")).otherwise(keep)
+    return lines.join(state.where(keep).select(*key), key, "left_semi")
+
+
+def bounded_arrivals(lines: DataFrame, key: list[str], coordinate: list[str], arrival: str, most_lines: int, most_span: int) -> DataFrame:
+    """key, lines, span, error of frames beyond the bounds of arrival: more lines than `most_lines`, or more than `most_span`
+    between a frame's first and last line."""
+    state = lines.groupBy(*key).agg(F.count("*").alias("lines"), (F.max(arrival) - F.min(arrival)).alias("span"))
+    error = F.when(F.col("lines") > most_lines, "lines").when(F.col("span") > most_span, "span")
+    return state.withColumn("error", error).where("error is not null")
 
 
 def line_elements(lines: DataFrame, keys: tuple[str, ...], channels: int, rows: int, samples: int, ky: str = "ky") -> Grid:
@@ -160,11 +189,17 @@ def gated(frames: DataFrame, ready: DataFrame, key: list[str]) -> DataFrame:
     return frames.join(tokens, key, "left").withColumn("state", F.when(F.col("tokens").isNull(), "wait").otherwise("pass")).drop("tokens")
 
 
-def exact_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join whose sides must have the same identities: one that only a side has stops the query."""
-    both = left.withColumn("l_has", F.lit(True)).join(right.withColumn("r_has", F.lit(True)), on, "full_outer")
-    bad = F.col("l_has").isNull() | F.col("r_has").isNull()
-    return both.where(F.when(bad, F.raise_error(F.lit("the inputs' identities differ")).cast("boolean")).otherwise(F.lit(True))).drop("l_has", "r_has")
+def exact_join(left: DataFrame, right: DataFrame, on: list[str], *more: DataFrame) -> DataFrame:
+    """An inner join of two to four inputs, which must have the same identities: one that any input lacks stops the query."""
+    if len(more) > 2:
+        raise ValueError("exact_join takes two to four inputs")
+    both, has = None, []
+    for n, side in enumerate((left, right, *more)):
+        has.append(f"has_{n}")
+        side = side.withColumn(has[-1], F.lit(True))
+        both = side if both is None else both.join(side, on, "full_outer")
+    bad = F.array_contains(F.array(*[F.col(h).isNull() for h in has]), True)
+    return both.where(F.when(bad, F.raise_error(F.lit("the inputs' identities differ")).cast("boolean")).otherwise(F.lit(True))).drop(*has)
 
 
 def arrival_violations(df: DataFrame, order_key: str, arrival: str) -> DataFrame:
@@ -219,7 +254,8 @@ def resolve(df: DataFrame, fixed: dict[str, int], ordinal: str) -> DataFrame:
     score = F.lit(0)
     for d, v in fixed.items():
         score = score + F.when(F.col(d) == v, 1).otherwise(0)
-    return df.select("*", score.alias("score")).orderBy(F.desc("score"), ordinal).limit(1)
+    best = df.agg(F.max_by(F.struct("*"), F.struct(score, -F.col(ordinal))).alias("r"), F.max(score).alias("score"))
+    return best.where("r is not null").select("r.*", "score")
 
 
 def plane(df: DataFrame, rows: str, cols: str, fixed: dict[str, int], value: str) -> DataFrame:

@@ -119,16 +119,6 @@ for _n, (_f, _s) in POINTWISE.items():
     pointwise(f"elementwise_{_n}", _f, _s)
 
 
-def _no_sql_special(name: str, f) -> None:
-    @query(f"special_{name}")
-    def run(spark, sf):
-        return shown(images(spark, sf).map(lambda v: f(v * 3.0)))
-
-
-for _n in ("erf", "erfc", "cdf_norm", "bessel_i0", "bessel_j0", "bessel_j1"):
-    _no_sql_special(_n, getattr(special, _n))
-
-
 @query("elementwise_bitwise", "SELECT l_orderkey, l_linenumber, l_partkey & l_suppkey AS both, ~l_partkey AS inverted FROM lineitem")
 def _(spark, sf):
     t = table(spark, sf, "lineitem")
@@ -388,7 +378,7 @@ def _(spark, sf):
     return linalg.diagonal_abs_sum(linalg.add_to_diagonal(images(spark, sf), 2.0)).select("vec_id", rnd("total").alias("total"))
 
 
-@query("linalg_axpy", f"WITH {PX} SELECT a.vec_id, a.i0, a.i1, {R('2.5 * a.v + b.v')} AS v FROM px a JOIN (SELECT vec_id, i1 AS i0, i0 AS i1, v FROM px) b USING (vec_id, i0, i1)")
+@query("linalg_axpy", f"SELECT vec_id, (i // 8)::INT AS i0, (i % 8)::INT AS i1, {R('2.5 * embedding[i + 1]::DOUBLE + embedding[(i % 8) * 8 + i // 8 + 1]::DOUBLE')} AS v FROM embeddings, range(64) r(i)")
 def _(spark, sf):
     g = images(spark, sf)
     return shown(linalg.axpy(2.5, g, arrays.transpose(g)))
@@ -436,10 +426,10 @@ def _(spark, sf):
     return w.df.groupBy("vec_id").agg(rnd(F.sum("v")).alias("trace"))
 
 
-@query("linalg_tall_least_squares", f"WITH {PX} SELECT DISTINCT i1 AS i0, 1.0 AS v FROM px WHERE i1 < 2")
+@query("linalg_tall_least_squares", f"WITH {PX} SELECT DISTINCT i1 AS i0, 1.0 AS v FROM px")
 def _(spark, sf):
     g = images(spark, sf)
-    tall = Grid(g.df.where("i1 < 2").select((F.col("vec_id") * 8 + F.col("i0")).cast("int").alias("i0"), "i1", "v"), (1 << 30, 2))
+    tall = Grid(g.df.select((F.col("vec_id") * 8 + F.col("i0")).cast("int").alias("i0"), "i1", "v"), (1 << 30, 8))
     return shown(linalg.tall_least_squares(tall, arrays.sum_axis(tall, 1)))
 
 
@@ -519,7 +509,7 @@ imagewise("normalize_minmax", image.normalize_minmax, f"WITH {PX} SELECT vec_id,
 imagewise("pad_reflect", lambda g: image.pad(g, 1, 2, 3, 1, "reflect"), f"WITH {PX} SELECT k.vec_id, r::INT AS i0, c::INT AS i1, {R('v')} AS v FROM (SELECT DISTINCT vec_id FROM px) k CROSS JOIN range(11) a(r) CROSS JOIN range(12) b(c) JOIN px p ON p.vec_id = k.vec_id AND p.i0 = CASE WHEN r - 1 < 0 THEN -1 - (r - 1) WHEN r - 1 > 7 THEN 15 - (r - 1) ELSE r - 1 END AND p.i1 = CASE WHEN c - 3 < 0 THEN -1 - (c - 3) WHEN c - 3 > 7 THEN 15 - (c - 3) ELSE c - 3 END")
 imagewise("center_crop", lambda g: image.center_crop(g, 4, 6), f"WITH {PX} SELECT vec_id, i0 - 2 AS i0, i1 - 1 AS i1, {R('v')} AS v FROM px WHERE i0 BETWEEN 2 AND 5 AND i1 BETWEEN 1 AND 6")
 imagewise("center_pad_or_crop", lambda g: image.center_pad_or_crop(g, 4, 10), f"WITH {PX} SELECT k.vec_id, r::INT AS i0, c::INT AS i1, {R('coalesce(v, 0)')} AS v FROM (SELECT DISTINCT vec_id FROM px) k CROSS JOIN range(4) a(r) CROSS JOIN range(10) b(c) LEFT JOIN px p ON p.vec_id = k.vec_id AND p.i0 = r + 2 AND p.i1 = c - 1")
-imagewise("copy_roi", lambda g: image.copy_roi(g, arrays.crop(g, (0, 0), (2, 2)), 5, 6), f"WITH {PX} SELECT p.vec_id, p.i0, p.i1, {R('coalesce(q.v, p.v)')} AS v FROM px p LEFT JOIN px q ON q.vec_id = p.vec_id AND q.i0 = p.i0 - 5 AND q.i1 = p.i1 - 6 AND q.i0 < 2 AND q.i1 < 2")
+imagewise("copy_roi", lambda g: image.copy_roi(g, arrays.crop(g, (0, 0), (2, 2)), 5, 6), f"SELECT vec_id, (i // 8)::INT AS i0, (i % 8)::INT AS i1, {R('CASE WHEN i // 8 BETWEEN 5 AND 6 AND i % 8 BETWEEN 6 AND 7 THEN embedding[(i // 8 - 5) * 8 + i % 8 - 6 + 1]::DOUBLE ELSE embedding[i + 1]::DOUBLE END')} AS v FROM embeddings, range(64) r(i)")
 
 
 def _resized(kind: str, rows: int, cols: int) -> str:
@@ -551,9 +541,6 @@ def _(spark, sf):
     return shown(image.distance_transform_l2(images(spark, sf).map(lambda v: F.when(v > 0.05, 1.0).otherwise(0.0))))
 
 
-for _n, _f in {"keep_largest_component": lambda g: image.keep_largest_component(g.map(lambda v: F.when(v > 0.05, 1.0).otherwise(0.0))), "multi_otsu_thresholds": image.multi_otsu_thresholds_scaled, "rotate_cubic": lambda g: image.rotate_cubic(g, 0.3), "denoise_magnitude": image.denoise_magnitude}.items():
-    query(f"image_{_n}")(lambda spark, sf, f=_f: shown(f(images(spark, sf))))
-
 
 # ---------------------------------------------------------------- signals
 @query("signal_fir_filter", f"WITH {SIG}, t AS (SELECT * FROM (VALUES (0, 0.5), (1, 0.3), (2, 0.2)) t(k, w)) SELECT user_id, (i0 + k)::INT AS i0, {R('sum(v * w)')} AS v FROM sig JOIN t ON true GROUP BY 1, 2")
@@ -676,15 +663,15 @@ def _(spark, sf):
     return nufft.forward(complex_images(spark, sf), _trajectory(spark)).select("vec_id", "sample", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
-@query("nufft_direct_adjoint", f"WITH d AS (SELECT vec_id, s, embedding[s + 1]::DOUBLE AS re, embedding[s + 33]::DOUBLE AS im FROM embeddings, range(6) r(s)) SELECT vec_id, i0::INT AS i0, i1::INT AS i1, {R(f'sum(re * cos({_ANG}) - im * sin({_ANG}))')} AS re, {R(f'sum(re * sin({_ANG}) + im * cos({_ANG}))')} AS im FROM d, range(4) a(i0), range(8) b(i1) GROUP BY 1, 2, 3")
+@query("nufft_direct_adjoint", f"WITH d AS (SELECT vec_id, s, embedding[s + 1]::DOUBLE AS re, embedding[s + 33]::DOUBLE AS im FROM embeddings, range(32) r(s)) SELECT vec_id, i0::INT AS i0, i1::INT AS i1, {R(f'sum(re * cos({_ANG}) - im * sin({_ANG}))')} AS re, {R(f'sum(re * sin({_ANG}) + im * cos({_ANG}))')} AS im FROM d, range(4) a(i0), range(8) b(i1) GROUP BY 1, 2, 3")
 def _(spark, sf):
-    s = complex_images(spark, sf, (32,)).df.where("i0 < 6").withColumnRenamed("i0", "sample").join(F.broadcast(_trajectory(spark)), "sample")
+    s = complex_images(spark, sf, (32,)).df.withColumnRenamed("i0", "sample").join(_trajectory(spark, 32), "sample")
     return shown(nufft.adjoint(s, ("vec_id",), 4, 8))
 
 
-@query("nufft_linear_gridding", f"WITH d AS (SELECT vec_id, s, s * 0.4 - 1.0 AS kr, s * -0.3 + 0.7 AS kc, embedding[s + 1]::DOUBLE AS re, embedding[s + 33]::DOUBLE AS im FROM embeddings, range(6) r(s)), p AS (SELECT *, kr * 4 / {2 * math.pi!r} AS pr, kc * 8 / {2 * math.pi!r} AS pc, -(kr * 1.5 + kc * 3.5) AS t FROM d), q AS (SELECT vec_id, ((floor(pr) + a) % 4 + 4)::INT % 4 AS i0, ((floor(pc) + b) % 8 + 8)::INT % 8 AS i1, CASE WHEN a = 1 THEN pr - floor(pr) ELSE 1 - (pr - floor(pr)) END * CASE WHEN b = 1 THEN pc - floor(pc) ELSE 1 - (pc - floor(pc)) END AS w, re * cos(t) - im * sin(t) AS zr, re * sin(t) + im * cos(t) AS zi FROM p, range(2) x(a), range(2) y(b)) SELECT vec_id, i0, i1, {R('sum(w * zr)')} AS re, {R('sum(w * zi)')} AS im FROM q GROUP BY 1, 2, 3")
+@query("nufft_linear_gridding", f"WITH d AS (SELECT vec_id, s, s * 0.4 - 1.0 AS kr, s * -0.3 + 0.7 AS kc, embedding[s + 1]::DOUBLE AS re, embedding[s + 33]::DOUBLE AS im FROM embeddings, range(32) r(s)), p AS (SELECT *, kr * 4 / {2 * math.pi!r} AS pr, kc * 8 / {2 * math.pi!r} AS pc, -(kr * 1.5 + kc * 3.5) AS t FROM d), q AS (SELECT vec_id, ((floor(pr) + a) % 4 + 4)::INT % 4 AS i0, ((floor(pc) + b) % 8 + 8)::INT % 8 AS i1, CASE WHEN a = 1 THEN pr - floor(pr) ELSE 1 - (pr - floor(pr)) END * CASE WHEN b = 1 THEN pc - floor(pc) ELSE 1 - (pc - floor(pc)) END AS w, re * cos(t) - im * sin(t) AS zr, re * sin(t) + im * cos(t) AS zi FROM p, range(2) x(a), range(2) y(b)) SELECT vec_id, i0, i1, {R('sum(w * zr)')} AS re, {R('sum(w * zi)')} AS im FROM q GROUP BY 1, 2, 3")
 def _(spark, sf):
-    s = complex_images(spark, sf, (32,)).df.where("i0 < 6").withColumnRenamed("i0", "sample").join(F.broadcast(_trajectory(spark)), "sample")
+    s = complex_images(spark, sf, (32,)).df.withColumnRenamed("i0", "sample").join(_trajectory(spark, 32), "sample")
     return shown(nufft.linear_gridding(s, ("vec_id",), 4, 8))
 
 
@@ -747,11 +734,10 @@ def _(spark, sf):
     return shown(recon.readout_oversampling_remove(_kspace(spark, sf), 2, 4))
 
 
-@query("recon_noncartesian_adjoint", f"WITH d AS (SELECT vec_id, c, s, embedding[c * 6 + s + 1]::DOUBLE AS re, embedding[c * 6 + s + 33]::DOUBLE AS im FROM embeddings, range(2) x(c), range(6) r(s)) SELECT vec_id, i0::INT AS i0, i1::INT AS i1, c::INT AS i2, {R(f'sum(re * cos({_ANG}) - im * sin({_ANG}))')} AS re, {R(f'sum(re * sin({_ANG}) + im * cos({_ANG}))')} AS im FROM d, range(4) a(i0), range(8) b(i1) GROUP BY 1, 2, 3, 4")
+@query("recon_noncartesian_adjoint", f"WITH d AS (SELECT vec_id, c, s, embedding[c * 16 + s + 1]::DOUBLE AS re, embedding[c * 16 + s + 33]::DOUBLE AS im FROM embeddings, range(2) x(c), range(16) r(s)) SELECT vec_id, i0::INT AS i0, i1::INT AS i1, c::INT AS i2, {R(f'sum(re * cos({_ANG}) - im * sin({_ANG}))')} AS re, {R(f'sum(re * sin({_ANG}) + im * cos({_ANG}))')} AS im FROM d, range(4) a(i0), range(8) b(i1) GROUP BY 1, 2, 3, 4")
 def _(spark, sf):
-    flat = complex_images(spark, sf, (32,))
-    k = arrays.reshape(arrays.crop(flat, (0,), (12,)), 2, 6)
-    return shown(recon.noncartesian_adjoint_reconstruct(k, _trajectory(spark), 4, 8))
+    k = complex_images(spark, sf, (2, 16))
+    return shown(recon.noncartesian_adjoint_reconstruct(k, _trajectory(spark, 16), 4, 8))
 
 
 @query("recon_sensitivity_combined", f"WITH {CX} SELECT label, i0, i1, {R('sqrt(sum(re * re + im * im))')} AS re, 0.0 AS im FROM cx GROUP BY 1, 2, 3")
@@ -802,11 +788,11 @@ def _(spark, sf):
     return ingest.classify(table(spark, sf, "events").withColumn("flags", f)).select("event_id", "lane")
 
 
-@query("ingest_flag_kinds", "SELECT 'imaging' AS kind, count(*) AS n FROM lineitem WHERE l_linenumber < 3 UNION ALL SELECT 'noise_measurement', count(*) FROM lineitem WHERE l_linenumber IN (3, 5) UNION ALL SELECT 'navigation', count(*) FROM lineitem WHERE l_linenumber IN (4, 5)")
+@query("ingest_flag_kinds", "SELECT 'imaging' AS kind, count(*) AS n FROM lineitem WHERE l_linenumber < 3 OR l_linenumber > 5 UNION ALL SELECT 'noise_measurement', count(*) FROM lineitem WHERE l_linenumber IN (3, 5) UNION ALL SELECT 'navigation', count(*) FROM lineitem WHERE l_linenumber IN (4, 5)")
 def _(spark, sf):
     n = F.col("l_linenumber")
     flags = F.when(n == 3, F.lit(1 << 18)).when(n == 4, F.lit(1 << 22)).when(n == 5, F.lit((1 << 18) | (1 << 22))).when(n < 3, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    return ingest.kind_counts(table(spark, sf, "lineitem").where("l_linenumber <= 5").withColumn("flags", flags))
+    return ingest.kind_counts(table(spark, sf, "lineitem").withColumn("flags", flags))
 
 
 @query("ingest_duplicates_replaced", "SELECT l_orderkey, l_linenumber AS ky, arg_max(l_partkey, (l_shipdate, l_suppkey, l_partkey)) AS payload FROM lineitem GROUP BY 1, 2")
@@ -819,14 +805,76 @@ def _(spark, sf):
     return ingest.missing_coordinates(lines(spark, sf), spark.range(1, 8).select(F.col("id").cast("int").alias("ky")), ["l_orderkey"], ["ky"])
 
 
-@query("ingest_coverage", "SELECT l_orderkey, count(DISTINCT l_linenumber) AS covered, count(DISTINCT l_linenumber) = 4 AS complete FROM lineitem GROUP BY 1")
+_FRAMES = "WITH f AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS ky FROM lineitem GROUP BY 1)"
+
+
+def _coordinates(spark, last: int) -> DataFrame:
+    """The lines 1 to `last`, which every frame must have."""
+    return spark.range(1, last + 1).select(F.col("id").cast("int").alias("ky"))
+
+
+@query("ingest_coverage", f"{_FRAMES} SELECT l_orderkey, len(list_filter(ky, lambda y: y <= 4)) AS covered, 4 - len(list_filter(ky, lambda y: y <= 4)) AS missing, len(list_filter(ky, lambda y: y > 4)) AS unexpected, ky = [1, 2, 3, 4] AS complete FROM f")
+def _(spark, sf):
+    """Of the lines 1 to 4: a frame of four others isn't whole, nor is one with a fifth."""
+    return ingest.coverage(lines(spark, sf), _coordinates(spark, 4), ["l_orderkey"], ["ky"])
+
+
+@query("ingest_coverage_by_frame", "WITH n AS (SELECT o_orderkey AS l_orderkey, 1 + o_custkey % 4 AS last FROM orders), c AS (SELECT l_orderkey, last, count(DISTINCT l_linenumber) FILTER (l_linenumber <= last) AS covered, count(DISTINCT l_linenumber) FILTER (l_linenumber > last) AS unexpected FROM n LEFT JOIN lineitem USING (l_orderkey) GROUP BY 1, 2) SELECT l_orderkey, covered, last - covered AS missing, unexpected, covered = last AND unexpected = 0 AS complete FROM c")
+def _(spark, sf):
+    """Each order asks for lines of its own; orders of which no line came are there too."""
+    need = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), (1 + F.col("o_custkey") % 4).cast("int"))).alias("ky"))
+    return ingest.coverage(lines(spark, sf), need, ["l_orderkey"], ["ky"])
+
+
+@query("ingest_unexpected_coordinates", "SELECT l_orderkey, l_linenumber AS ky, l_partkey AS payload FROM lineitem WHERE l_linenumber > 4")
+def _(spark, sf):
+    return ingest.unexpected_coordinates(lines(spark, sf), _coordinates(spark, 4), ["l_orderkey"], ["ky"]).select("l_orderkey", "ky", "payload")
+
+
+@query("ingest_complete_frames", f"{_FRAMES} SELECT l_orderkey, l_linenumber AS ky, l_partkey AS payload FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey IN (SELECT l_orderkey FROM f WHERE ky[1:4] = [1, 2, 3, 4])")
+def _(spark, sf):
+    """certified_skip: incomplete frames are left out."""
+    return ingest.assembled(lines(spark, sf).where("ky <= 4"), _coordinates(spark, 4), ["l_orderkey"], ["ky"], "certified_skip").select("l_orderkey", "ky", "payload")
+
+
+@query("ingest_partial_frames", "SELECT l_orderkey, l_linenumber AS ky, l_partkey AS payload FROM lineitem WHERE l_linenumber <= 4")
+def _(spark, sf):
+    """emit_partial: they are kept."""
+    return ingest.assembled(lines(spark, sf).where("ky <= 4"), _coordinates(spark, 4), ["l_orderkey"], ["ky"], "emit_partial").select("l_orderkey", "ky", "payload")
+
+
+@query("ingest_whole_frames", "SELECT l_orderkey, l_linenumber AS ky, l_partkey AS payload FROM lineitem")
+def _(spark, sf):
+    """fail: every frame must be whole, as each is of the lines that it has."""
+    t = lines(spark, sf)
+    return ingest.assembled(t, t.select("l_orderkey", "ky").distinct(), ["l_orderkey"], ["ky"], "fail").select("l_orderkey", "ky", "payload")
+
+
+@query("ingest_duplicates_identical", "SELECT DISTINCT l_orderkey, l_linenumber AS ky, l_partkey % 1 AS payload FROM lineitem")
+def _(spark, sf):
+    """ignore_identical: every line twice, its repeats alike."""
+    t = lines(spark, sf).select("l_orderkey", "ky", "arrival", (F.col("payload") % 1).alias("payload"))
+    return ingest.deduplicated(t.unionByName(t), ["l_orderkey"], ["ky"], "arrival", ["payload"], "ignore_identical").select("l_orderkey", "ky", "payload")
+
+
+@query("ingest_duplicates_rejected", "SELECT event_id, user_id, event_type AS payload FROM events")
+def _(spark, sf):
+    """reject: no event comes twice."""
+    t = table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("payload"))
+    return ingest.deduplicated(t, ["user_id"], ["event_id"], "ts", ["payload"], "reject").select("event_id", "user_id", "payload")
+
+
+@query("ingest_arrival_bounds", "SELECT l_orderkey, count(*) AS lines, date_diff('day', min(l_shipdate::DATE), max(l_shipdate::DATE)) AS span, CASE WHEN count(*) > 5 THEN 'lines' ELSE 'span' END AS error FROM lineitem GROUP BY 1 HAVING count(*) > 5 OR date_diff('day', min(l_shipdate::DATE), max(l_shipdate::DATE)) > 100")
 def _(spark, sf):
-    return ingest.coverage(lines(spark, sf), 4, ["l_orderkey"], ["ky"])
+    t = lines(spark, sf).withColumn("day", F.datediff(F.to_date("arrival"), F.lit("1970-01-01").cast("date")))
+    return ingest.bounded_arrivals(t, ["l_orderkey"], ["ky"], "day", 5, 100).select("l_orderkey", "lines", F.col("span").cast("long").alias("span"), "error")
 
 
-@query("ingest_complete_frames", "SELECT l_orderkey, l_linenumber AS ky, l_partkey AS payload FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 4)")
+@query("ingest_exact_join_of_four", "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 3) + 0.0 AS total, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    return ingest.assembled(lines(spark, sf), 4, ["l_orderkey"], ["ky"], "certified_skip").select("l_orderkey", "ky", "payload")
+    t = table(spark, sf, "lineitem").groupBy("l_orderkey")
+    sides = [t.agg(F.count("*").alias("n")), t.agg(rnd(F.sum("l_quantity"), 3).alias("total")), t.agg(F.min("l_linenumber").alias("first")), t.agg(F.max("l_linenumber").alias("last"))]
+    return ingest.exact_join(sides[0], sides[1], ["l_orderkey"], *sides[2:])
 
 
 @query("ingest_calibration_gate", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'wait' ELSE 'pass' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
@@ -862,9 +910,9 @@ def _(spark, sf):
     return df.select("vec_id", "i0", "i1", rnd(ingest.display(F.col("re"), F.col("im"), "magnitude")).alias("magnitude"), rnd(ingest.display(F.col("re"), F.col("im"), "phase_degrees")).alias("degrees"))
 
 
-@query("inspect_readout_range", "SELECT l_orderkey, l_linenumber, (l_linenumber % 3 - l_linenumber)::INT AS first, (l_quantity::INT - l_linenumber % 2 - 1 - l_linenumber)::INT AS last FROM lineitem WHERE l_quantity > 10")
+@query("inspect_readout_range", "SELECT l_orderkey, l_linenumber, CASE WHEN usable THEN (l_linenumber % 3 - l_linenumber)::INT END AS first, CASE WHEN usable THEN (l_quantity::INT - l_linenumber % 2 - 1 - l_linenumber)::INT END AS last FROM (SELECT *, l_quantity::INT > 0 AND l_linenumber % 3 + l_linenumber % 2 < l_quantity::INT AND l_linenumber < l_quantity::INT AS usable FROM lineitem)")
 def _(spark, sf):
-    t = table(spark, sf, "lineitem").where("l_quantity > 10").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("number_of_samples"), F.lit(1).alias("active_channels"), (F.col("l_linenumber") % 3).alias("discard_pre"), (F.col("l_linenumber") % 2).alias("discard_post"), F.col("l_linenumber").alias("center_sample"))
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("number_of_samples"), F.lit(1).alias("active_channels"), (F.col("l_linenumber") % 3).alias("discard_pre"), (F.col("l_linenumber") % 2).alias("discard_post"), F.col("l_linenumber").alias("center_sample"))
     return ingest.readout_range(t).select("l_orderkey", "l_linenumber", "first", "last")
 
 

@@ -60,14 +60,30 @@ def test_duplicates(spark):
         run(same, "other")
 
 
-def test_incomplete_frames(spark):
-    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "k int, ky int")
-    run = lambda policy: ingest.assembled(df, 2, ["k"], ["ky"], policy).count()
-    assert run("emit_partial") == 3 and run("certified_skip") == 2
+def test_frames_by_their_exact_set_of_lines(spark):
+    df = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0)], "k int, ky int")
+    need = spark.createDataFrame([(0,), (1,)], "ky int")
+    run = lambda policy: ingest.assembled(df, need, ["k"], ["ky"], policy).count()
+    assert run("emit_partial") == 4 and run("certified_skip") == 3
     with pytest.raises(Exception, match="incomplete"):
         run("fail")
-    need = spark.createDataFrame([(0,), (1,)], "ky int")
+    with pytest.raises(ValueError):
+        run("other")
     assert [tuple(r) for r in ingest.missing_coordinates(df, need, ["k"], ["ky"]).collect()] == [(2, 1)]
+    # as many lines as asked for, but not the ones
+    other = spark.createDataFrame([(3, 0), (3, 9), (4, 0), (4, 1), (4, 2)], "k int, ky int")
+    assert sorted(map(tuple, ingest.coverage(other, need, ["k"], ["ky"]).collect())) == [(3, 1, 1, 1, False), (4, 2, 0, 1, False)]
+    for policy in ingest.INCOMPLETE:
+        with pytest.raises(Exception, match="unexpected coordinate|incomplete"):
+            ingest.assembled(other, need, ["k"], ["ky"], policy).collect()
+    # frames of their own: one of which nothing came is incomplete
+    own = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (5, 0)], "k int, ky int")
+    assert {r.k: r.complete for r in ingest.coverage(df, own, ["k"], ["ky"]).collect()} == {1: True, 2: True, 5: False}
+
+
+def test_arrival_bounds(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (2, 0, 1), (2, 1, 99), (3, 0, 1), (3, 1, 1), (3, 2, 1)], "k int, ky int, at int")
+    assert {r.k: r.error for r in ingest.bounded_arrivals(df, ["k"], ["ky"], "at", 2, 50).collect()} == {2: "span", 3: "lines"}
 
 
 def test_gate_and_identity(spark):
