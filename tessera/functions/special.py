@@ -57,15 +57,15 @@ def cospi(x):
 
 
 def each(f):
-    """A function of a NumPy array over Arrow batches. pandas has one sign for null and not-a-number, so these are told apart by
-    a second column."""
+    """A function of a NumPy array over Arrow batches. pandas has one sign for null and not-a-number: these are told apart
+    outside of it."""
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series) -> pd.Series:
         with np.errstate(all="ignore"):
             return pd.Series(f(x.to_numpy(float)))
 
-    return lambda x: F.when(x.isNotNull(), F.when(F.isnan(x), F.lit(NAN)).otherwise(run(x)))
+    return lambda x: F.when(x.isNotNull(), F.when(F.isnan(x), F.lit(NAN)).otherwise(F.coalesce(run(x), F.lit(NAN))))
 
 
 #: Coefficients of Stirling's series, B(2k) / (2k (2k - 1)) for k from 1 (fixed values).

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.grid import Grid
-from tessera.operators.stats import bucket_of, split_points
+from tessera.operators.stats import bucket_of, midpoint_percentile, split_points
 
 #: Bits (from 1) of acquisition flags (fixed values of the public record format).
 FLAG_BITS = {
@@ -272,3 +272,37 @@ DISPLAY = ("magnitude", "real", "imaginary", "phase", "phase_degrees")
 def display(re: Column, im: Column, component: str) -> Column:
     phase = F.atan2(im, re)
     return {"magnitude": F.hypot(re, im), "real": re, "imaginary": im, "phase": phase, "phase_degrees": F.degrees(phase)}[component]
+
+
+RANGES = ("percentile", "minimum_maximum")
+
+
+def data_range(df: DataFrame, keys: list[str], value: str, calculation: str = "percentile", percentile: float = 99.0) -> DataFrame:
+    """keys, minimum, maximum of the finite values of each image: the extremes, or the percentile and, below, the percentile of
+    the negated values; 0 and 0 where none is finite."""
+    if calculation not in RANGES:
+        raise ValueError(f"unknown range calculation {calculation}")
+    finite = df.where(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
+    if calculation == "minimum_maximum":
+        found = finite.groupBy(*keys).agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    else:
+        low, high = (midpoint_percentile(finite, keys, value, p, n) for p, n in ((100.0 - percentile, "minimum"), (percentile, "maximum")))
+        found = low.join(high, keys)
+    every = df.select(*keys).distinct().join(found, keys, "left")
+    return every.select(*keys, F.coalesce("minimum", F.lit(0.0)).alias("minimum"), F.coalesce("maximum", F.lit(0.0)).alias("maximum"))
+
+
+def resolved_window(ranges: DataFrame, persistence: str = "reset", center: float | None = None, width: float | None = None) -> DataFrame:
+    """ranges with center and width of the display window: relative (shares of the range), absolute, or reset: the whole range
+    unless a window is given."""
+    span = F.col("maximum") - F.col("minimum")
+    if persistence == "relative":
+        return ranges.withColumns({"center": F.col("minimum") + F.lit(center) * span, "width": F.lit(width) * span})
+    if persistence == "absolute" or center is not None:
+        return ranges.withColumns({"center": F.lit(float(center)), "width": F.lit(float(width))})
+    return ranges.withColumns({"center": F.col("minimum") + 0.5 * span, "width": span})
+
+
+def windowed(value: Column, center: Column, width: Column) -> Column:
+    """A value on [0, 1] of a display window; a window without width parts at its centre."""
+    return F.when(width > 0, F.greatest(F.least((value - (center - width / 2)) / F.when(width > 0, width), F.lit(1.0)), F.lit(0.0))).otherwise(F.when(value > center, 1.0).otherwise(0.0))

@@ -188,8 +188,16 @@ def split_points(df: DataFrame, value: str, parts: int = 128) -> list[float]:
 
 
 def bucket_of(value: str, splits: list[float]) -> Column:
-    """How many split points are below a value."""
-    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]).cast("array<double>"), lambda x: x < F.col(value).cast("double")))
+    """How many split points are below a value, by halves."""
+    v = F.col(value).cast("double")
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v > F.lit(float(splits[mid])), part(mid + 1, hi)).otherwise(part(lo, mid))
+
+    return part(0, len(splits))
 
 
 def midpoint_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:

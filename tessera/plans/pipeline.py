@@ -217,3 +217,46 @@ def cartesian_rss(noise: bool = False, phase: bool = False, virtual_channels: in
         "bindings": {"ingress": ingress, "egress": [{"id": "image", "type": "image-frame", "from": {"node": "combine", "port": "image"}}], "calibration": [], "merge": []},
         "annotations": {},
     }
+
+
+def noncartesian_rss(rows: int, cols: int, radial: bool = False, noise: bool = False, phase: bool = False, virtual_channels: int = 0) -> dict:
+    """The document of the routes for samples along a trajectory: conditioning as asked for, the direct adjoint or (radial)
+    ramp-weighted gridding, root sum of squares."""
+    nodes, edges = [], []
+    ingress = [{"id": "trajectory", "type": "trajectory-frame", "to": {"node": "transform", "port": "trajectory"}}]
+    at: tuple[str, str] | None = None
+
+    def step(name: str, provider: str, op: str, out: str, side: tuple | None = None, **config) -> None:
+        """A node on the samples' way, and (side) the node that estimates its model from an ingress of its own."""
+        nonlocal at
+        nodes.append({"id": name, "operator": {"provider": provider, "id": op}, "config": config})
+        if at is None:
+            ingress.append({"id": "kspace", "type": "noncartesian-kspace-frame", "to": {"node": name, "port": "kspace"}})
+        else:
+            edges.append({"id": f"to_{name}", "from": {"node": at[0], "port": at[1]}, "to": {"node": name, "port": "kspace"}})
+        if side:
+            node, estimate, source, kind, port, model, options = side
+            nodes.append({"id": node, "operator": {"provider": "calibration", "id": estimate}, "config": options})
+            ingress.append({"id": source, "type": kind, "to": {"node": node, "port": port}})
+            edges.append({"id": f"{node}_model", "from": {"node": node, "port": model}, "to": {"node": name, "port": model}})
+        at = (name, out)
+
+    if noise:
+        step("whiten", "conditioning", "noncartesian_noise_prewhiten", "prewhitened_kspace", ("noise", "noise_model_estimate", "noise_samples", "noise-calibration-frame", "noise", "noise_model", {}))
+    if phase:
+        step("unphase", "conditioning", "noncartesian_phase_correct", "corrected_kspace", ("phase", "noncartesian_phase_correction_estimate", "phase_reference", "phase-reference-frame", "reference", "phase_model", {}))
+    if virtual_channels:
+        step("compress", "conditioning", "noncartesian_coil_compress", "compressed_kspace", ("basis", "coil_compression_basis_estimate", "calibration", "kspace-frame", "kspace", "basis", {"virtual_channels": virtual_channels}))
+    step("transform", "noncartesian", "radial_gridding_reconstruct" if radial else "noncartesian_adjoint_reconstruct", "coil_images", rows=rows, cols=cols)
+    nodes.append({"id": "combine", "operator": {"provider": "coils", "id": "coil_combine_rss"}, "config": {}})
+    edges.append({"id": "to_combine", "from": {"node": "transform", "port": "coil_images"}, "to": {"node": "combine", "port": "coil_images"}})
+    alias = {"calibration": "calibration", "conditioning": "kspace-conditioning", "noncartesian": "noncartesian-recon", "coils": "coil-combine"}
+    used = {n["operator"]["provider"] for n in nodes}
+    name = "radial-rss" if radial else "noncartesian-rss"
+    return {
+        "kind": "PipelineDefinition", "pipeline": {"id": name, "display_name": "Root sum of squares of samples along a trajectory"},
+        "input_profile": {"kind": "acquisitions", "container": {"mode": "auto"}}, "allowed_profiles": [], "parameters": {},
+        "provider_requirements": [{"alias": a, "provider_id": p} for a, p in alias.items() if a in used], "nodes": nodes, "edges": edges,
+        "bindings": {"ingress": ingress, "egress": [{"id": "image", "type": "image-frame", "from": {"node": "combine", "port": "image"}}], "calibration": [], "merge": []},
+        "annotations": {},
+    }

@@ -8,6 +8,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
@@ -252,3 +253,51 @@ def scan_header(xml: str) -> dict:
         out.append({"trajectory": text(enc, "trajectory"), "encoded": matrix(space("encodedSpace")), "encoded_fov": fov(space("encodedSpace")), "recon": matrix(space("reconSpace")), "recon_fov": fov(space("reconSpace")), "limits": limits})
     system = child(root, "acquisitionSystemInformation")
     return {"receiver_channels": int(text(system, "receiverChannels")) if system is not None and text(system, "receiverChannels") else None, "encodings": out}
+
+
+# ---------------------------------------------------------------- containers and limits
+@dataclass(frozen=True)
+class ReadLimits:
+    """Bounds on what an inspection may read (defaults are fixed values of the public reader)."""
+
+    xml_header_bytes: int = 4 << 20
+    acquisition_count: int = 1_000_000
+    acquisition_payload_bytes: int = 64 << 20
+    group_count: int = 4_096
+    group_depth: int = 16
+    group_path_bytes: int = 4 << 10
+    image_series: int = 128
+    images_per_series: int = 100_000
+    image_payload_bytes: int = 256 << 20
+
+
+def bounded_acquisitions(df: DataFrame, limits: ReadLimits = ReadLimits()) -> DataFrame:
+    """df, where an acquisition whose payload is over the limit, or more acquisitions of a scan than allowed, stop the query."""
+    size = F.coalesce(F.size("samples"), F.lit(0)) * 8 + F.coalesce(F.size("trajectory"), F.lit(0)) * 4
+    stop = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    ok = F.when(size > limits.acquisition_payload_bytes, stop("an acquisition's payload is over the limit")).when(F.col("ordinal") >= limits.acquisition_count, stop("more acquisitions than the limit")).otherwise(F.lit(True))
+    return df.where(ok)
+
+
+def discover_containers(spark: SparkSession, root: str, limits: ReadLimits = ReadLimits()) -> list[dict]:
+    """Folders under `root` that hold tables header, acquisitions or images (Parquet), by path: what each has, and the number of
+    its acquisitions and images, read from the files' footers. Paths, depth and number of folders are bounded."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    todo, out, seen = [(top, 0)], [], 0
+    while todo:
+        folder, depth = todo.pop()
+        seen += 1
+        if seen > limits.group_count or depth > limits.group_depth or len(str(folder.toString()).encode()) > limits.group_path_bytes:
+            raise ValueError(f"{root}: more folders, deeper ones or longer paths than the limits")
+        inside = {s.getPath().getName(): s for s in fs.listStatus(folder)}
+        tables = {n.removesuffix(".parquet"): s.getPath().toString() for n, s in inside.items() if n.removesuffix(".parquet") in ("header", "acquisitions", "images")}
+        todo += [(s.getPath(), depth + 1) for n, s in inside.items() if s.isDirectory() and n.removesuffix(".parquet") not in tables and not n.startswith("_")]
+        if tables:
+            count = lambda n, t=tables: spark.read.parquet(t[n]).count() if n in t else 0
+            found = {"path": folder.toString(), **{f"has_{n}": n in tables for n in ("header", "acquisitions", "images")}, "acquisition_count": count("acquisitions"), "image_count": count("images")}
+            if found["acquisition_count"] > limits.acquisition_count or found["image_count"] > limits.image_series * limits.images_per_series:
+                raise ValueError(f"{found['path']}: more acquisitions or images than the limits")
+            out.append(found)
+    return sorted(out, key=lambda c: c["path"])

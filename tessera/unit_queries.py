@@ -15,6 +15,7 @@ from tessera.functions import elementwise as el
 from tessera.functions import windows as win
 from tessera.grid import Grid, constants
 from tessera.operators import arrays, fft, image, ingest, linalg, nufft, recon, signal, sparse, stats
+from tessera.plans import pipeline, runs
 from tessera.queries import CH, CX, PX, SIG, R, _near, coils, complex_images, images, lines, query, rnd, shown, signals, table
 
 PI = repr(math.pi)
@@ -1052,3 +1053,51 @@ _FAR, _HERE = _AT.format(r="i0 + a + u", c="i1 + b + t"), _AT.format(r="i0 + u",
 SELECT vec_id, i0::INT AS i0, i1::INT AS i1, {R('sum(exp(-d / 0.01) * v) / sum(exp(-d / 0.01))')} AS v FROM d GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return shown(image.denoise_magnitude(images(spark, sf)))
+
+
+# ---------------------------------------------------------------- routes, runs and display
+@query("recon_radial_route", f"{_gridded(2)}, f AS (SELECT vec_id, i0, i1, c, sum(zr * cos(t) - zi * sin(t)) AS re, sum(zr * sin(t) + zi * cos(t)) AS im FROM e GROUP BY 1, 2, 3, 4) SELECT vec_id, i0, i1, {R('sqrt(sum(re * re + im * im))')} AS v FROM f GROUP BY 1, 2, 3")
+def _(spark, sf):
+    """Samples along a trajectory through the document of the radial route."""
+    route = pipeline.parse(pipeline.noncartesian_rss(4, 8, radial=True))
+    return shown(pipeline.run(route, {"kspace": complex_images(spark, sf, (2, 16)), "trajectory": spiral(spark, 16)})["image"])
+
+
+@query("recon_noncartesian_route", f"""WITH {C2}, {_RAD}, m AS (SELECT vec_id, s AS n, kr, kc, 0.6 * ar + 0.8 * bi AS re, 0.6 * ai - 0.8 * br AS im FROM k2 JOIN r ON s = n),
+f AS (SELECT vec_id, i0::INT AS i0, i1::INT AS i1, sum(re * cos(kr * (i0 - 1.5) + kc * (i1 - 3.5)) - im * sin(kr * (i0 - 1.5) + kc * (i1 - 3.5))) AS re, sum(re * sin(kr * (i0 - 1.5) + kc * (i1 - 3.5)) + im * cos(kr * (i0 - 1.5) + kc * (i1 - 3.5))) AS im FROM m, range(4) a(i0), range(8) b(i1) GROUP BY 1, 2, 3)
+SELECT vec_id, i0, i1, {R('sqrt(re * re + im * im)')} AS v FROM f""")
+def _(spark, sf):
+    """Samples compressed to one channel, then through the document of the route with the direct adjoint."""
+    one = recon.noncartesian_coil_compress(complex_images(spark, sf, (2, 16)), constant_matrix(spark, (0.6, -0.8j)))
+    route = pipeline.parse(pipeline.noncartesian_rss(4, 8))
+    return shown(pipeline.run(route, {"kspace": one, "trajectory": spiral(spark, 16)})["image"])
+
+
+@query("runs_lifecycle", "WITH e AS (SELECT l_orderkey, count(*) AS n, max((l_returnflag = 'R')::INT) AS stops FROM lineitem GROUP BY 1) SELECT l_orderkey AS scan_id, CASE WHEN stops = 1 AND n < 5 THEN 'rejected' ELSE ['describing', 'planning', 'verifying', 'admitting', 'starting', 'running', 'ingress_closed'][least(n, 7)] END AS state, 'none' AS cause, n >= 5 AS admitted, ((stops = 1 AND n >= 5)::INT + greatest(n - 7, 0))::INT AS refused, (n + stops)::INT AS n_events FROM e")
+def _(spark, sf):
+    """As many steps of its course as an order has lines; one with a returned item is rejected at last, if it still can be."""
+    t = table(spark, sf, "lineitem")
+    steps = F.array(*[F.lit(e) for _, e in runs.COURSE[:7]], *[F.lit("complete")] * 20)
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    events = t.select(F.col("l_orderkey").alias("scan_id"), seq.alias("seq"), F.element_at(steps, seq).alias("event"))
+    stops = t.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scan_id"), F.lit(1000).alias("seq"), F.lit("reject").alias("event")).distinct()
+    return runs.run_records(events.unionByName(stops))
+
+
+@query("inspect_data_ranges", "WITH r AS (SELECT l_returnflag AS k, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), p AS (SELECT *, greatest(least(0.95 * n - 0.5, n - 1), 0) AS hi, greatest(least(0.05 * n - 0.5, n - 1), 0) AS lo FROM r), q AS (SELECT k, min(v) AS least, max(v) AS most, max(v) FILTER (r = floor(lo)) + (max(v) FILTER (r = least(floor(lo) + 1, n - 1)) - max(v) FILTER (r = floor(lo))) * max(lo - floor(lo)) AS low, max(v) FILTER (r = floor(hi)) + (max(v) FILTER (r = least(floor(hi) + 1, n - 1)) - max(v) FILTER (r = floor(hi))) * max(hi - floor(hi)) AS high FROM p GROUP BY 1) SELECT k, least AS minimum, most AS maximum, round(low, 3) + 0.0 AS low, round(high, 3) + 0.0 AS high, round(low + 0.25 * (high - low), 3) + 0.0 AS center, round(0.5 * (high - low), 3) + 0.0 AS width FROM q")
+def _(spark, sf):
+    """Extremes, percentiles of values and of negated values, and a window of half the latter's range around its first quarter."""
+    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_extendedprice").alias("v"))
+    ranges = ingest.resolved_window(ingest.data_range(t, ["k"], "v", "percentile", 95.0), "relative", 0.25, 0.5)
+    shares = ranges.select("k", *[rnd(c, 3).alias(n) for c, n in (("minimum", "low"), ("maximum", "high"), ("center", "center"), ("width", "width"))])
+    return ingest.data_range(t, ["k"], "v", "minimum_maximum").join(shares, "k")
+
+
+@query("inspect_windowed", f"WITH {PX}, e AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1) SELECT vec_id, i0, i1, {R('greatest(least((v + 0.1) / 0.2, 1), 0)')} AS absolute, {R('(v - lo) / (hi - lo)')} AS reset FROM px JOIN e USING (vec_id)")
+def _(spark, sf):
+    df = images(spark, sf).df
+    ranges = ingest.data_range(df, ["vec_id"], "v", "minimum_maximum")
+    out = df
+    for name, w in (("absolute", ingest.resolved_window(ranges, "absolute", 0.0, 0.2)), ("reset", ingest.resolved_window(ranges))):
+        out = out.join(w.select("vec_id", F.col("center").alias(f"{name}_center"), F.col("width").alias(f"{name}_width")), "vec_id")
+    return out.select("vec_id", "i0", "i1", *[rnd(ingest.windowed(F.col("v"), F.col(f"{n}_center"), F.col(f"{n}_width"))).alias(n) for n in ("absolute", "reset")])

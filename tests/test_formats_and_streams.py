@@ -1,9 +1,16 @@
+import math
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import diagnostics
+from tessera.functions import special
 from tessera.grid import from_numpy, to_numpy
 from tessera.operators import arrays, fft, image, linalg, signal
+from tessera.plans import runs
+from tessera.plans.runs import ArtifactStore
 from tessera.sources import formats
 from tessera.streaming.assembly import assembled_stream, gated_stream
 
@@ -73,12 +80,118 @@ def test_frames_from_a_stream(spark, tmp_path):
 
 
 def test_calibration_stream(spark, tmp_path):
+    """A frame waits for its token; a second token of a key is told, not joined; what waits beyond the bound is told too."""
+    frames = stream(spark, tmp_path, [[(1, "f1"), (1, "g1"), (1, "h1")], [(2, "f2")], [(2, "g2")]], "k int, frame string")
+    (tmp_path / "t").mkdir()
+    tokens = stream(spark, tmp_path / "t", [[(2, "t2")], [(2, "t2"), (3, "t3")]], "k int, token string")
+    q = gated_stream(frames, tokens, "k", most_waiting=2).writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.k, r.status, r.frame or "") for r in spark.table("gate").collect())
+    assert got == [(1, "horizon", "h1"), (2, "duplicate_token", ""), (2, "pass", "f2"), (2, "pass", "g2")]
+
+
+def test_frames_whose_token_never_comes(spark, tmp_path):
     frames = stream(spark, tmp_path, [[(1, "f1")], [(2, "f2")]], "k int, frame string")
     (tmp_path / "t").mkdir()
     tokens = stream(spark, tmp_path / "t", [[(2, "t2")]], "k int, token string")
-    q = gated_stream(frames, tokens, "k").writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [(r.k, r.frame) for r in spark.table("gate").collect()] == [(2, "f2")]
+    q = gated_stream(frames, tokens, "k", idle_ms=2000).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp3")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if any(r.status == "missing_token" for r in spark.table("idle").collect()):
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert {(r.k, r.status, r.frame) for r in spark.table("idle").collect()} == {(1, "missing_token", "f1"), (2, "pass", "f2")}
+
+
+def test_frames_whose_lines_never_come(spark, tmp_path):
+    lines = stream(spark, tmp_path, [[(1, 0, "a"), (2, 0, "x")], [(2, 1, "y")]], "k int, ky int, payload string")
+    q = assembled_stream(lines, ["k"], 2, idle_ms=2000).writeStream.format("memory").queryName("slow").option("checkpointLocation", str(tmp_path / "cp4")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if any(r.status == "incomplete" for r in spark.table("slow").collect()):
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert {(r.k, r.status) for r in spark.table("slow").collect()} == {(1, "incomplete"), (2, "complete")}
+
+
+def test_artifact_store(spark, tmp_path):
+    store = ArtifactStore(spark, str(tmp_path / "a"), ("noise", "phase"))
+    assert store.acquire("noise") is None
+    store.publish("noise", spark.range(3))
+    assert store.acquire("noise").count() == 3
+    with pytest.raises(ValueError, match="published already"):
+        store.publish("noise", spark.range(4))
+    with pytest.raises(KeyError):
+        store.acquire("other")
+    assert store.end_of_input() == ["phase"] and store.acquire("noise").count() == 3
+    for call in (lambda: store.publish("phase", spark.range(1)), lambda: store.acquire("phase")):
+        with pytest.raises(RuntimeError):
+            call()
+    store.abort()
+    with pytest.raises(RuntimeError):
+        store.acquire("noise")
+
+
+def test_run_records(spark):
+    course = [e for _, e in runs.COURSE[:-1]]
+    cases = {
+        1: (course, ("completed", "none", True, 0)), 2: (course[:2] + ["reject", "admit"], ("rejected", "none", False, 1)), 3: (["begin_planning", "request_cancel"], ("cancelled", "none", False, 1)),
+        4: (course[:7] + ["request_cancel", "begin_terminal_cleanup", "finish_terminal_cleanup"], ("cancelled", "cancel", True, 0)),
+        5: (course[:7] + ["request_cancel", "begin_terminal_cleanup", "fail", "request_cancel", "finish_terminal_cleanup", "start"], ("failed", "failure", True, 1)),
+        6: (course[:3] + ["fail_invariant", "fail", "begin_terminal_cleanup", "finish_terminal_cleanup"], ("failed", "invariant", False, 0)), 7: (course[:6] + ["reject"], ("running", "none", True, 1)),
+    }
+    events = spark.createDataFrame([(k, i, e) for k, (es, _) in cases.items() for i, e in enumerate(es)], "scan_id int, seq int, event string").repartition(3)
+    got = {r.scan_id: (r.state, r.cause, r.admitted, r.refused) for r in runs.run_records(events).collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
+
+
+def test_containers_and_limits(spark, tmp_path):
+    row = spark.range(2).select(F.col("id").alias("ordinal"), F.array(F.struct(F.lit(1.0).cast("float").alias("re"), F.lit(0.0).cast("float").alias("im"))).alias("samples"), F.array().cast("array<float>").alias("trajectory"))
+    row.write.parquet(str(tmp_path / "r/scan1/acquisitions.parquet"))
+    row.write.parquet(str(tmp_path / "r/deep/scan2/images"))
+    spark.range(1).write.parquet(str(tmp_path / "r/deep/scan2/header.parquet"))
+    found = formats.discover_containers(spark, str(tmp_path / "r"))
+    assert [(c["path"].rsplit("/", 1)[1], c["has_header"], c["has_acquisitions"], c["has_images"], c["acquisition_count"], c["image_count"]) for c in found] == [("scan2", True, False, True, 0, 2), ("scan1", False, True, False, 2, 0)]
+    for limits in (formats.ReadLimits(group_depth=0), formats.ReadLimits(group_count=2), formats.ReadLimits(acquisition_count=1)):
+        with pytest.raises(ValueError):
+            formats.discover_containers(spark, str(tmp_path / "r"), limits)
+    assert formats.bounded_acquisitions(row).count() == 2
+    for limits in (formats.ReadLimits(acquisition_payload_bytes=4), formats.ReadLimits(acquisition_count=1)):
+        with pytest.raises(Exception, match="limit"):
+            formats.bounded_acquisitions(row, limits).collect()
+
+
+@pytest.mark.parametrize("f, ref", [(special.erf, math.erf), (special.erfc, math.erfc), (special.gamma, math.gamma), (special.log_gamma, math.lgamma)])
+def test_special_functions_of_any_number(spark, f, ref):
+    xs = [None, float("nan"), float("inf"), -float("inf"), 0.0, -1.0, -2.5, 1e6, -1e6, 1e300, 0.5, 5.0, 26.0, -26.0, 1e-300]
+
+    def want(x):
+        try:
+            return None if x is None else ref(x)
+        except ValueError:
+            return float("nan") if ref is math.gamma else float("inf")
+        except OverflowError:
+            return float("inf")
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for r in df.select("i", f(F.col("x")).alias("y")).collect():
+        assert r.y == want(xs[r.i]) or r.y != r.y and want(xs[r.i]) != want(xs[r.i]) or r.y == pytest.approx(want(xs[r.i]), rel=1e-12), (xs[r.i], r.y)
+
+
+def test_bessel_functions_do_not_depend_on_their_neighbours(spark):
+    xs = [0.0, 1.5, 49.0, 51.0, 1e6, 1e300, float("inf"), -float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for n in (0, 1, 7):
+        together = {r.i: r.y for r in df.select("i", special.bessel_j(n, F.col("x")).alias("y")).coalesce(1).collect()}
+        for i, x in enumerate(xs[:4]):
+            alone = df.where(F.col("i") == i).select(special.bessel_j(n, F.col("x")).alias("y")).first().y
+            t = (np.arange(4000) + 0.5) * math.pi / 4000
+            assert alone == together[i] == pytest.approx(np.cos(n * t - x * np.sin(t)).mean(), abs=1e-14)
+        assert together[6] == together[7] == 0.0 and math.isnan(together[8]) and together[9] is None and abs(together[4]) < 1e-3
 
 
 def test_kernels_against_numpy(spark):
