@@ -36,10 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return the table read back: lineage is cut, executors may go."""
+#: Rows of a narrow table that a file at least holds, where their number is known.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read the table back: lineage is cut, executors may go.
+
+    rows: about how many there are at most, if that is known: small tables are then written in few files, by few tasks that each
+    read several partitions; of large ones every partition stays a file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if rows is not None and (files := max(1, -(-rows // FILE_ROWS))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

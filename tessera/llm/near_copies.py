@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, column, drop_stored, fresh, mix, segments, signed, stored, text_bytes, window_hashes, word_hashes, words
@@ -90,7 +90,7 @@ def sketched(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame
     SIZE of these (32 bits) and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, "text", 4 << 20):
+        for batch in segments(batches, "text", 2 << 20):
             t = Texts(column(batch, "text"), shingle)
             keys = t.bands()
             where = np.cumsum(np.diff(t.at) > 0) - 1
@@ -126,8 +126,9 @@ def verdict(a: bytes, b: bytes, similarity: float) -> int:
     return 0 if estimate >= similarity - ERRORS * (similarity * (1 - similarity) / SIZE) ** 0.5 else -1
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of which the distinct shingles are alike, as a stored table. docs: id, text."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float, rows: int) -> DataFrame:
+    """The pairs (a, b) of which the distinct shingles are alike, as a stored table. docs: id, text; rows: about how many pairs
+    there are at most."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,15 +137,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, s
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(told)], names=["a", "b", "told"]).filter(pa.array(told >= 0))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, "text", 4 << 20):
+        for batch in segments(batches, "text", 2 << 20):
             t = Texts(column(batch, "text"), shingle)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([t.shingles(i).tobytes() for i in range(len(t))], pa.binary())], names=["id", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(column(batch, "s_a"), column(batch, "s_b"), strict=True)
-            alike = [shared(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - 1e-9 for x, y in both]
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            found = [t.shingles(i) for i in range(len(t))]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(found))))], names=["id", "shingles"])
 
     def beside(pairs: DataFrame, rows: DataFrame, what: str, *more) -> DataFrame:
         of = lambda n: rows.select(F.col("id").alias(f"id_{n}"), F.col(what).alias(f"s_{n}"), F.col("n").alias(f"n_{n}") if "n" in rows.columns else F.lit(0).alias(f"n_{n}"))
@@ -152,13 +149,15 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, s
 
     # sizes alone part texts that can't be alike
     near = beside(pairs, reps, "sketch", f"least(n_a, n_b) >= {similarity!r} * greatest(n_a, n_b) - 1e-9")
-    told = stored(near.mapInArrow(judge, "a long, b long, told int"), "told")
+    told = stored(near.mapInArrow(judge, "a long, b long, told int"), "told", rows)
     unsure = told.where("told = 0").select("a", "b")
-    ids = stored(unsure.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "ids")
+    ids = stored(unsure.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "ids", rows)
     # distinct: of rows that repeat an id one text was sketched, which may not be this one's; any of them counts
-    full = stored(docs.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id long, shingles binary"), "shingles")
-    exact = beside(unsure, full, "shingles").mapInArrow(compare, "a long, b long")
-    out = stored(told.where("told = 1").select("a", "b").union(exact).distinct(), "links")
+    full = stored(docs.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id long, shingles array<long>"), "shingles")
+    # a row at a time in the JVM, so that long texts never meet in a batch
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    exact = beside(unsure, full, "shingles").where(both >= (F.size("s_a") + F.size("s_b") - both) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
+    out = stored(told.where("told = 1").select("a", "b").union(exact).distinct(), "links", rows)
     for table in (told, ids, full):
         drop_stored(table)
     return out
@@ -171,63 +170,66 @@ def rooted(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     return rows.join(groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
 
-def star(keyed: DataFrame, order) -> DataFrame:
-    """a, b: each member of a group (key, id, root) beside the group's first by `order`, if their roots differ."""
+def star(keyed: DataFrame, order: Column, rows: int) -> DataFrame:
+    """a, b: each member of a group (key, id, root) beside the group's first by `order`, if their roots differ. rows: about how
+    many members there are at most."""
     heads = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("root"))).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
-    heads = stored(heads.where("x <> y").select(F.col("key").alias("k"), F.col("m.id").alias("head"), F.col("m.root").alias("head_root")), "heads")
+    heads = stored(heads.where("x <> y").select(F.col("key").alias("k"), F.col("m.id").alias("head"), F.col("m.root").alias("head_root")), "heads", rows)
     pairs = keyed.join(heads, F.col("key") == F.col("k")).where("root <> head_root").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-    out = stored(pairs.distinct(), "pairs")
+    out = stored(pairs.distinct(), "pairs", rows)
     drop_stored(heads)
     return out
 
 
-def fingerprint_pairs(reps: DataFrame, radius: int) -> DataFrame:
+def fingerprint_pairs(reps: DataFrame, radius: int, rows: int) -> DataFrame:
     """a, b: documents of one fingerprint beside its least, and the least of fingerprints that share a ball."""
-    least = stored(reps.groupBy("fp").agg(F.min("id").alias("head")).withColumnRenamed("fp", "f"), "least")
+    least = stored(reps.groupBy("fp").agg(F.min("id").alias("head")).withColumnRenamed("fp", "f"), "least", rows)
     same = reps.select("id", "fp").join(least, F.col("fp") == F.col("f")).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     of = lambda n: least.select(F.col("f").alias(f"f{n}"), F.col("head").alias(f"h{n}"))
     near = ball_edges(least.select(F.col("f").alias("fp")), radius).join(of(1), F.col("a") == F.col("f1")).join(of(2), F.col("b") == F.col("f2"))
-    out = stored(same.union(near.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))), "pairs")
+    out = stored(same.union(near.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))), "pairs", 2 * rows)
     drop_stored(least)
     return out
 
 
-def representatives(docs: DataFrame, shingle: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The least document of each text, sketched, as a stored table; and a, b: every other document beside the one of its text."""
+def representatives(docs: DataFrame, shingle: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """The least document of each text, sketched, as a stored table; a, b: every other document beside the one of its text; and
+    the number of documents."""
     every = sketched(docs, shingle, doc_id, text)
     rows = stored(every.groupBy("id").agg(F.min(F.struct("w0", "w1", "fp", "n", "sketch", "bands")).alias("m")).select("id", "m.*"), "sketches")
-    least = stored(rows.groupBy("w0", "w1").agg(F.min("id").alias("head")).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), "head"), "least")
-    copies = stored(rows.join(least, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1"))).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), "copies")
-    reps = stored(rows.join(copies.select(F.col("b").alias("c")), F.col("id") == F.col("c"), "left_anti").select("id", "fp", "n", "sketch", "bands"), "reps")
+    n = rows.count()
+    least = stored(rows.groupBy("w0", "w1").agg(F.min("id").alias("head")).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), "head"), "least", n)
+    copies = stored(rows.join(least, (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1"))).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), "copies", n)
+    reps = stored(rows.join(copies.select(F.col("b").alias("c")), F.col("id") == F.col("c"), "left_anti").select("id", "fp", "n", "sketch", "bands"), "reps", 8 * n)
     drop_stored(rows)
     drop_stored(least)
-    return reps, copies
+    return reps, copies, n
 
 
 def _linked(docs: DataFrame, shingle: int, similarity: float, radius: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """copies (a, b) of one text; verified links (a, b) between the least documents of texts; their components (node, root)."""
-    reps, copies = representatives(docs, shingle, doc_id, text)
+    reps, copies, n = representatives(docs, shingle, doc_id, text)
     texts = named(docs, doc_id, text)
-    by_ball = fingerprint_pairs(reps, radius)
-    keyed = stored(reps.select("id", F.explode("bands").alias("key")), "keyed")
-    by_band = star(keyed.withColumn("root", F.col("id")), F.col("id"))
-    links = verified(by_ball.union(by_band).distinct(), reps, texts, shingle, similarity)
+    by_ball = fingerprint_pairs(reps, radius, n)
+    keyed = stored(reps.select("id", F.explode("bands").alias("key")), "keyed", BANDS * n)
+    by_band = star(keyed.withColumn("root", F.col("id")), F.col("id"), BANDS * n)
+    links = verified(by_ball.union(by_band).distinct(), reps, texts, shingle, similarity, 4 * n)
     drop_stored(by_ball)
     drop_stored(by_band)
-    groups = stored(connected_components(links), "groups")
+    groups = stored(connected_components(links, rows=4 * n), "groups", n)
     # groups that are still in parts: their members meet under each two of their keys, in stars on another member
-    roots = stored(rooted(keyed, groups), "rooted")
+    roots = stored(rooted(keyed, groups), "rooted", BANDS * n)
     drop_stored(keyed)
-    parts = stored(roots.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k")), "parts")
+    parts = stored(roots.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k")), "parts", BANDS * n)
     mine = roots.join(parts, F.col("key") == F.col("k")).groupBy("id", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     twos = mine.select("id", "root", F.explode("keys").alias("one"), "keys").select("id", "root", "one", F.explode(F.filter("keys", lambda k: k >= F.col("one"))).alias("two"))
-    twos = stored(twos.select("id", "root", F.xxhash64("one", "two").alias("key")), "twos")
-    again = star(twos, F.xxhash64("id", "key"))
-    more = verified(again, reps, texts, shingle, similarity)
+    twos = stored(twos.select("id", "root", F.xxhash64("one", "two").alias("key")), "twos", BANDS * n)
+    again = star(twos, F.xxhash64("id", "key"), BANDS * n)
+    more = verified(again, reps, texts, shingle, similarity, 4 * n)
     for table in (roots, parts, twos, again, reps):
         drop_stored(table)
     both = groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
-    joined = stored(connected_components(both), "joined")
+    joined = stored(connected_components(both, rows=n), "joined", n)
     drop_stored(groups)
     return copies, links.union(more), joined
 

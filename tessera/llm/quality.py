@@ -64,7 +64,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id, x: the transformed statistics of each whole text (a null is empty), nothing else of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, text, 4 << 20):
+        for batch in segments(batches, text, 2 << 20):
             x = statistics(*text_bytes(column(batch, text)))
             yield pa.RecordBatch.from_arrays([column(batch, doc_id), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=[doc_id, "x"])
 
@@ -206,11 +206,14 @@ def scored(x: DataFrame, model: Discriminant, cut: float, doc_id: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least `cut` under the model that quality_scores() fits."""
+    """The rows of docs, all columns, whose text scores at least `cut` under the model that quality_scores() fits.
+
+    Null and empty texts have the statistics of an empty one; repeated rows stay or go together; without labels of both kinds
+    all stay or all go. Texts are taken whole, some MB of them at a time."""
     model = fitted(document_statistics(docs, doc_id, text), labels, "quality", doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches, text, 4 << 20):
+        for batch in segments(batches, text, 2 << 20):
             yield batch.filter(pa.array(model.score(statistics(*text_bytes(column(batch, text)))) >= cut))
 
     return docs.mapInArrow(run, docs.schema)

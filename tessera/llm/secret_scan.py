@@ -186,7 +186,8 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", rules: EntropyRules = EntropyRules(), text: str = "text") -> DataFrame:
     """docs with each secret in `text` replaced by `mark` (overlapping spans by one mark); all columns and rows stay, a null
-    text stays null. An n_chars column of whole numbers, where there is one, is counted anew for texts that changed."""
+    text stays null. An n_chars column of whole numbers, where there is one, is counted anew for texts that changed. Repeated rows
+    change alike; texts are taken whole, some MB of them at a time."""
     counted = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

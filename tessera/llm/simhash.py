@@ -90,11 +90,13 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_i
     `radius` bits or fewer; documents of one fingerprint are linked.
 
     Texts without words (null, empty, white space) have fingerprint 0, linked like any other. Null doc_ids take part and get
-    their component's least id, null if there is none. Repeated rows give a row each.
+    their component's least id, null if there is none. Repeated rows give a row each. Texts are taken
+    whole, some MB of them at a time.
     """
     fps = stored(fingerprints(docs, shingle, doc_id, text).withColumnRenamed(doc_id, "id"), "fingerprints")
-    least = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = stored(connected_components(ball_edges(least.select("fp"), radius)), "roots")
+    n = fps.count()
+    least = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct", n)
+    roots = stored(connected_components(ball_edges(least.select("fp"), radius), rows=n), "roots", n)
     joined = least.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "least")
     named = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     by_fp = joined.select("f", "root").join(named, F.col("root") == F.col("r")).select("f", "component_id")

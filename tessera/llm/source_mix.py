@@ -69,7 +69,8 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
     size: words of the text (null: 0); source_size and target: of the row's source (null is a source of its own, the last);
     copies: how often the mix takes the row; taken: its words times copies; inclusion: the probability of the copy that is
-    sampled beyond the certain ones (0 where none is wanted, and for a row without words). Of rows that tie in the draw (repeats of an id
+    sampled beyond the certain ones (0 where none is wanted, and for a row without words). Texts are only counted and hashed,
+    whole, where they are. Of rows that tie in the draw (repeats of an id
     and text), all or none are taken beyond certain copies. Reruns, and other partitions of the same rows, agree.
     """
     rows = stored(with_draw(only(docs, doc_id, text, source), seed, doc_id, text, source).select(F.col(f"`{doc_id}`").alias("id"), "src", "size", "u"), "sizes")
@@ -123,18 +124,19 @@ def stops(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     certain = F.floor(due + F.lit(1e-12)).cast("long")
     targets = targets.select(F.col("src").alias("s"), "source_size", "target", certain.alias("certain"))
     targets = stored(targets.withColumn("want", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))), "targets")
-    scaled = stored(targets.join(inclusion_scale(rows, targets), F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "scales")
+    n = targets.count()
+    scaled = stored(targets.join(inclusion_scale(rows, targets), F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "scales", n)
     ranked = with_rank(rows, scaled)
     fine = lambda n: F.floor(F.col("q") * F.lit(float(n)))
     # the first bucket in which a source's running words reach what is wanted
     coarse = ranked.groupBy("s", fine(BUCKETS).alias("b")).agg(F.sum("size").alias("words"), F.first("want").alias("want"))
     upto = coarse.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("b"))).where(F.col("upto") >= F.col("want"))
-    reach = stored(upto.groupBy("s").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "coarse")
+    reach = stored(upto.groupBy("s").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "coarse", n)
     # then in one of BUCKETS parts of that bucket, and last among the few draws in that part
     inside = ranked.select("s", "q", "size", "want").join(reach, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS) == F.col("b"))).drop("t")
     finer = inside.groupBy("s", fine(BUCKETS * BUCKETS).alias("c")).agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("want").alias("want"))
     upto = finer.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("c")) + F.col("before")).where(F.col("upto") >= F.col("want"))
-    reach2 = stored(upto.groupBy("s").agg(F.min(F.struct("c", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "fine")
+    reach2 = stored(upto.groupBy("s").agg(F.min(F.struct("c", (F.col("upto") - F.col("words")).alias("before"))).alias("m")).select(F.col("s").alias("t"), "m.*"), "fine", n)
     last = ranked.select("s", "q", "size", "want").join(reach2, F.col("s").eqNullSafe(F.col("t")) & (fine(BUCKETS * BUCKETS) == F.col("c")))
     draws = last.groupBy("s", "q").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("want").alias("want"))
     draws = draws.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("q")) + F.col("before"))
@@ -142,7 +144,7 @@ def stops(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     crossing = draws.where(F.col("upto") >= F.col("want")).groupBy("s").agg(F.min(F.struct("q", "upto", "words", "want")).alias("m"))
     over = F.col("m.upto") - F.col("m.want") <= F.col("m.want") - (F.col("m.upto") - F.col("m.words"))
     stop = crossing.select(F.col("s").alias("t"), F.col("m.q").alias("q_stop"), over.alias("with_stop"))
-    out = stored(scaled.join(stop, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "stops")
+    out = stored(scaled.join(stop, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "stops", n)
     for table in (targets, scaled, reach, reach2):
         drop_stored(table)
     return out
