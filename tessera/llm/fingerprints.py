@@ -2,13 +2,15 @@
 
 A k-mer of code points is an anchor if the smallest of its s-mers (by a fixed hash) is its first or its last: a property of
 the k-mer alone, so an edit elsewhere never changes it. Texts are led by k - 1 marks that no text holds, so that short texts
-have k-mers too. A fingerprint is the sketch of the `size` smallest anchor hashes, in order; the likeness of two is the
-estimate of the anchor sets' Jaccard similarity from the smallest hashes of their union (exact for small sets).
+have k-mers too. A fingerprint is the sketch of the `size` smallest anchor hashes, each with the place where it first stands.
+The likeness of two is the share of the smallest hashes of their union that both hold and that follow each other in one order
+in both texts: the estimate of the anchor sets' Jaccard similarity, less what matches out of place.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,37 +57,55 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 
 def sketches(texts: list[str], size: int = SIZE, k: int = K, s: int = S) -> list[np.ndarray]:
-    """The `size` smallest distinct anchor hashes (their upper 32 bits) of each text; a text without anchors has the hash of
-    its whole, an empty text none."""
-    doc, _, hashes = anchors(texts, k, s)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    """The `size` smallest distinct anchor hashes of each text: the upper 32 bits of each above the 32 of its first place. A text
+    without anchors has the hash of its whole, an empty text none."""
+    doc, at, hashes = anchors(texts, k, s)
+    placed = (hashes >> np.uint64(32) << np.uint64(32)) | np.minimum(at, 2**32 - 1).astype(np.uint64)
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for i, t in enumerate(texts):
-        part = short[edges[i] : edges[i + 1]]
+        part = placed[edges[i] : edges[i + 1]]
         few = np.partition(part, 4 * size)[: 4 * size] if len(part) > 4 * size else part
-        found = np.unique(few)
+        found = first_places(few)
         if len(found) < size and len(few) < len(part):  # many repeats
-            found = np.unique(part)
+            found = first_places(part)
         found = found[:size]
         if not len(found) and t:
-            found = np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest(), ">u4").astype(np.uint32)
+            whole = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest()
+            found = np.frombuffer(whole, ">u4").astype(np.uint64) << np.uint64(32)
         out.append(found)
     return out
 
 
+def first_places(placed: np.ndarray) -> np.ndarray:
+    """The first place of each hash, in the order of hashes."""
+    placed = np.sort(placed)
+    new = np.ones(len(placed), bool)
+    new[1:] = placed[1:] >> np.uint64(32) != placed[:-1] >> np.uint64(32)
+    return placed[new]
+
+
 def shown(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    return sketch.astype(">u8").tobytes().hex()
+
+
+def in_order(places: list[int]) -> int:
+    """The length of the longest run of growing places, others between them left out."""
+    ends: list[int] = []
+    for p in places:
+        i = bisect_left(ends, p)
+        ends[i : i + 1] = [p]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """The share of the smallest `size` hashes of the union that both hold; two empty sketches are alike."""
+    """The share of the smallest `size` hashes of the union that both hold in one order; two empty sketches are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    x, y = set(a.tolist()), set(b.tolist())
-    union = sorted(x | y)[:size]
-    both = x & y
-    return sum(h in both for h in union) / len(union)
+    x, y = ({p >> 32: p & 0xFFFFFFFF for p in s.tolist()} for s in (a, b))
+    union = sorted(x.keys() | y.keys())[:size]
+    both = sorted((x[h], y[h]) for h in union if h in x and h in y)
+    return in_order([q for _, q in both]) / len(union)
 
 
 def edited(text: str, other: str) -> str:
@@ -142,10 +162,11 @@ def in_order_with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def fingerprint_neighbours(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs: fingerprints as
+    16 hex digits an anchor, its hash and its place.
 
     The edited text takes its last third from the next row by descending doc_id (after the last: the first). Rows that
-    repeat a doc_id follow each other by text; a null doc_id comes last; a null text is empty: its fingerprint is the empty
+    repeat a doc_id follow each other by text; texts are taken whole, some MB of them at a time; a null doc_id comes last; a null text is empty: its fingerprint is the empty
     string, like another empty text (1.0) and unlike any other (0.0). A table of one row is its own next.
     """
 

@@ -36,6 +36,34 @@ def test_anchors_against_brute_force():
         assert list(zip(at[doc == i].tolist(), h[doc == i].tolist(), strict=True)) == brute(t)
 
 
+def brute_likeness(t, o, size=64):
+    """All anchors' hashes, their first places, and the longest common order among the smallest of the union."""
+    x, y = {}, {}
+    for text, into in ((t, x), (o, y)):
+        for at, h in brute(text):
+            into.setdefault(h >> 32, at)
+    if not t or not o or not x or not y:
+        return float(t == o)
+    x, y = ({h: z[h] for h in sorted(z)[:size]} for z in (x, y))
+    union = sorted({*x, *y})[:size]
+    both = sorted((x[h], y[h]) for h in union if h in x and h in y)
+    longest = []
+    for i, (_, q) in enumerate(both):
+        longest.append(1 + max((longest[j] for j in range(i) if both[j][1] < q), default=0))
+    return max(longest, default=0) / len(union)
+
+
+def test_likeness_against_brute_force():
+    texts = [*PROSE, "", "ab", "𝒳y漢" * 40, PROSE[0][:800] + PROSE[1][:400], PROSE[1][len(PROSE[1]) // 2 :] + PROSE[1][: len(PROSE[1]) // 2], PROSE[5][:2000] + " new words " + PROSE[5][2000:]]
+    found = sketches(texts)
+    for i, t in enumerate(texts):
+        for j, o in enumerate(texts):
+            if len(t) > 11 and len(o) > 11 or t == o or not t or not o:
+                assert likeness(found[i], found[j]) == brute_likeness(t, o), (i, j)
+    # the same anchors in another order: half of them stay in place
+    assert 0.4 < likeness(found[1], found[10]) < 0.75 < 0.85 < likeness(found[5], found[11])
+
+
 def test_neighbours(spark):
     ids = [7, 3, 100, 50, 51, 9, 1, 2, 4, 60, 8, 999]
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, TEXTS, strict=True)], "doc_id long, text string, part string").repartition(3)
