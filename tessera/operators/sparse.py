@@ -53,42 +53,47 @@ def add(a: DataFrame, alpha: float, b: DataFrame, op: str = "none") -> DataFrame
     return compact(left.unionByName(b.select("row", "col", "v")))
 
 
+def _solved(n: int, row: np.ndarray, col: np.ndarray, v: np.ndarray, rhs: np.ndarray, lower: bool, unit: bool) -> np.ndarray:
+    """Substitution for one system: a product of each row's entries with what is known by then."""
+    at = row == col
+    diag = np.ones(n) if unit else np.bincount(row[at], v[at], n)
+    if (diag == 0).any():
+        raise ValueError("triangular_solve: a diagonal element is 0")
+    inside = (col < row) if lower else (col > row)
+    row, col, v = row[inside], col[inside], v[inside]
+    order = np.argsort(row, kind="stable")
+    row, col, v = row[order], col[order], v[order]
+    starts = np.searchsorted(row, np.arange(n + 1))
+    x = np.zeros_like(rhs)
+    for i in range(n) if lower else range(n - 1, -1, -1):
+        part = slice(starts[i], starts[i + 1])
+        x[i] = (rhs[i] - v[part] @ x[col[part]]) / diag[i]
+    return x
+
+
 def triangular_solve(a: DataFrame, b: DataFrame, keys: list[str], lower: bool = True, unit: bool = False) -> DataFrame:
     """keys, j, row, x: substitution for systems (keys, row, col, v) and right sides (keys, j, row, v), a system a task at a
-    time. Entries of the other triangle are left out; a zero diagonal is an error."""
-    left = a.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "v")).alias("a"))
-    right = b.groupBy(*keys).agg(F.collect_list(F.struct("j", "row", "v")).alias("b"))
+    time: one system's entries must fit a task. Entries of the other triangle are left out; a zero diagonal is an error."""
+    left = a.groupBy(*keys).agg(F.collect_list(F.struct(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("v"))).alias("_left"))
+    right = b.groupBy(*keys).agg(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), F.col("row").cast("long").alias("row"), F.col("v").cast("double").alias("v"))).alias("_right"))
+
+    def parts(lists: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        flat = lists.flatten()
+        return lists.offsets.to_numpy() - lists.offsets[0].as_py(), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in [*keys, "j", "row", "x"]}
-            for r in batch.to_pylist():
-                n = 1 + max([e["row"] for e in r["b"]] + [e["row"] for e in r["a"]])
-                cols = 1 + max(e["j"] for e in r["b"])
+            at = batch.schema.get_field_index
+            ends_a, (row, col, v) = parts(batch.column(at("_left")), "row", "col", "v")
+            ends_b, (j, place, w) = parts(batch.column(at("_right")), "j", "row", "v")
+            for k in range(batch.num_rows):
+                s, t = slice(ends_a[k], ends_a[k + 1]), slice(ends_b[k], ends_b[k + 1])
+                n, cols = 1 + int(max(row[s].max(), place[t].max())), 1 + int(j[t].max())
                 rhs = np.zeros((n, cols))
-                for e in r["b"]:
-                    rhs[e["row"], e["j"]] += e["v"]
-                diag = np.ones(n) if unit else np.zeros(n)
-                rows: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-                for e in r["a"]:
-                    i, c = e["row"], e["col"]
-                    if i == c and not unit:
-                        diag[i] += e["v"]
-                    elif (c < i) == lower and c != i:
-                        rows[i].append((c, e["v"]))
-                if (diag == 0).any():
-                    raise ValueError("triangular_solve: a diagonal element is 0")
-                x = np.zeros((n, cols))
-                for i in range(n) if lower else range(n - 1, -1, -1):
-                    x[i] = (rhs[i] - sum((v * x[c] for c, v in rows[i]), np.zeros(cols))) / diag[i]
-                for i in range(n):
-                    for j in range(cols):
-                        for k in keys:
-                            out[k].append(r[k])
-                        out["j"].append(j)
-                        out["row"].append(i)
-                        out["x"].append(float(x[i, j]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*[batch.schema.field(k) for k in keys], ("j", pa.int32()), ("row", pa.int32()), ("x", pa.float64())]))
+                np.add.at(rhs, (place[t], j[t]), w[t])
+                x = _solved(n, row[s], col[s], v[s], rhs, lower, unit)
+                own = [pa.array([batch.column(at(c))[k].as_py()] * x.size, batch.schema.field(c).type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.tile(np.arange(cols, dtype=np.int32), n)), pa.array(np.repeat(np.arange(n, dtype=np.int32), cols)), pa.array(x.ravel())], names=[*keys, "j", "row", "x"])
 
     kinds = "".join(f"{k} {a.schema[k].dataType.simpleString()}, " for k in keys)
     return left.join(right, list(keys)).mapInArrow(run, f"{kinds}j int, row int, x double")

@@ -1101,3 +1101,12 @@ def _(spark, sf):
     for name, w in (("absolute", ingest.resolved_window(ranges, "absolute", 0.0, 0.2)), ("reset", ingest.resolved_window(ranges))):
         out = out.join(w.select("vec_id", F.col("center").alias(f"{name}_center"), F.col("width").alias(f"{name}_width")), "vec_id")
     return out.select("vec_id", "i0", "i1", *[rnd(ingest.windowed(F.col("v"), F.col(f"{n}_center"), F.col(f"{n}_width"))).alias(n) for n in ("absolute", "reset")])
+
+
+@query("sparse_triangular_solutions", f"WITH {SPD} SELECT vec_id, b, 0 AS j, 0 AS \"row\", {R('1 / p')} AS lower, {R('1 / p')} AS again FROM w UNION ALL SELECT vec_id, b, 0, 1, {R('(2 - r / p) / s')}, {R('(2 - r / p) / s')} FROM w")
+def _(spark, sf):
+    """Lower systems ((p, 0), (r, s)) x = (1, 2), entry by entry; the upper triangle is left out."""
+    a = blocks(spark, sf, (2, 2), 2.0).df.select("vec_id", "b", F.col("i0").alias("row"), F.col("i1").alias("col"), "v")
+    rhs = a.where("col = 0").select("vec_id", "b", F.lit(0).alias("j"), "row", (F.col("row") + 1.0).alias("v"))
+    one, two = (f(a, rhs, ["vec_id", "b"]).select("vec_id", "b", "j", "row", rnd("x").alias(n)) for n, f in (("lower", sparse.spsv), ("again", sparse.spsm)))
+    return one.join(two, ["vec_id", "b", "j", "row"])
