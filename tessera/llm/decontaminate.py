@@ -25,9 +25,9 @@ from tessera.llm.common import column, mix, only, segments, stored, text_bytes,
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = False
 MULTIPLIER = 0x8EBC6AF09C88C6E3
-#: Text of the items that one pass over the documents looks for, in bytes: what is sent to the executors stays under some
-#: times this.
-BLOCK_BYTES = 8 << 20
+#: Text of the items that one pass over the documents looks for, in bytes: what is sent to the executors stays under about
+#: twice this.
+BLOCK_BYTES = 32 << 20
 
 
 class Shingles:
@@ -50,51 +50,68 @@ class Shingles:
 
 
 class Index:
-    """The sketches and full shingle sets of a block of items."""
+    """The sketches of a block of items, as arrays; an item's full shingle set is made from its text when a document holds one of
+    its sketch's values, and kept while it is among the KEPT last ones asked for."""
+
+    KEPT = 2048
 
     def __init__(self, items: list[tuple[int, str | None]], shingle: int, threshold: float):
         s = Shingles(pa.array([t for _, t in items], pa.string()))
-        self.items, self.size, self.sets = [], [], []
-        sketch: dict[int, list[tuple[int, int]]] = {}
+        self.items, self.size, self.texts = [], [], []
+        sketch: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         by_n = {n: s.runs(n) for n in {min(int(c), shingle) for c in np.diff(s.first)} - {0}}
-        for i, (item, _) in enumerate(items):
+        for i, (item, text) in enumerate(items):
             n = min(int(s.first[i + 1] - s.first[i]), shingle)
             if not n:
                 continue
             at, h = by_n[n]
             lo, hi = np.searchsorted(at, [s.first[i], s.first[i + 1]])
-            own = {int(x): s.shown(int(a), n) for a, x in zip(at[lo:hi], h[lo:hi], strict=True)}
+            own = np.unique(h[lo:hi])
             number, q = len(self.items), len(own)
             self.items.append(item)
             self.size.append(n)
-            self.sets.append(own)
+            self.texts.append(text)
             upper = (1 << (q - 1).bit_length()) if q > 1 else 1  # the largest size in the item's class
             k = upper - math.ceil(threshold * upper - 1e-9) + 1
-            for x in sorted(own)[:k]:
-                sketch.setdefault(n, []).append((x, number))
+            values, owners = sketch.setdefault(n, ([], []))
+            values.append(own[:k])
+            owners.append(np.full(min(k, q), number, np.int32))
         self.threshold = threshold
-        #: for each run length: all sketch values in order, and who has them
-        self.values = {n: np.array(sorted({x for x, _ in v}), np.uint64) for n, v in sketch.items()}
-        self.owners: dict[tuple[int, int], list[int]] = {}
-        for n, v in sketch.items():
-            for x, number in v:
-                self.owners.setdefault((n, x), []).append(number)
+        #: for each run length: all sketch values in order, and the items that have them
+        self.sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, (values, owners) in sketch.items():
+            v, o = np.concatenate(values), np.concatenate(owners)
+            order = np.argsort(v, kind="stable")
+            self.sketches[n] = (v[order], o[order])
+        self.made: dict[int, dict[int, bytes]] = {}
+
+    def own(self, number: int) -> dict[int, bytes]:
+        """The hashes and words of an item's shingles."""
+        out = self.made.pop(number, None)
+        if out is None:
+            s, n = Shingles(pa.array([self.texts[number]], pa.string())), self.size[number]
+            out = {int(x): s.shown(int(a), n) for a, x in zip(*s.runs(n), strict=True)}
+            if len(self.made) >= self.KEPT:
+                del self.made[next(iter(self.made))]
+        self.made[number] = out
+        return out
 
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item's number, shared shingles, item's shingles) of what meets the threshold."""
         s, out = Shingles(texts), []
-        for n, values in self.values.items():
+        for n, (values, owners) in self.sketches.items():
             at, h = s.runs(n)
-            spot = np.searchsorted(values, h)
-            hit = np.flatnonzero(values[np.minimum(spot, len(values) - 1)] == h)
-            pairs = {(int(s.row[at[i]]), number) for i in hit.tolist() for number in self.owners[n, int(h[i])]}
+            first = np.searchsorted(values, h)
+            hit = np.flatnonzero(values[np.minimum(first, len(values) - 1)] == h)
+            last = np.searchsorted(values, h[hit], "right")
+            pairs = {(row, number) for row, a, b in zip(s.row[at[hit]].tolist(), first[hit], last, strict=True) for number in owners[a:b].tolist()}
             edges = np.searchsorted(at, s.first)
             found: dict[int, dict[int, int]] = {}
             for row, number in sorted(pairs):
                 if row not in found:
                     part = slice(edges[row], edges[row + 1])
                     found = {row: dict(zip(h[part].tolist(), at[part].tolist(), strict=True))}
-                here, own = found[row], self.sets[number]
+                here, own = found[row], self.own(number)
                 shared = sum(x in here and s.shown(here[x], n) == said for x, said in own.items())
                 if shared >= self.threshold * len(own) - 1e-9:
                     out.append((row, number, shared, len(own)))
