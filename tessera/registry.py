@@ -62,3 +62,15 @@ def operator(provider: str, name: str, inputs: dict[str, str], outputs: dict[str
         return f
 
     return wrap
+
+
+def contract(op: Operator) -> dict:
+    """An operator's contract as a document: its ports with their types, and its options with kind, bounds and default."""
+
+    def option(o: Option) -> dict:
+        out = {"type": {int: "integer", float: "number", str: "string", bool: "boolean"}[o.kind], "required": o.required}
+        out |= {} if o.required else {"default": o.default}
+        return out | {k: v for k, v in (("minimum", o.least), ("maximum", o.most)) if v is not None}
+
+    ports = lambda side: [{"name": n, "type": t} for n, t in side.items()]
+    return {"kind": "OperatorContract", "operator": {"provider": op.provider, "id": op.name}, "inputs": ports(op.inputs), "outputs": ports(op.outputs), "config": {k: option(o) for k, o in op.config.items()}}

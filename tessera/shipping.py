@@ -30,3 +30,11 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "tessera").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(target)
+
+
+def initialize_numerics_runtime(spark: SparkSession, threads: int = 1) -> None:
+    """Kernels in Python workers take `threads` threads each, so that tasks, of which there is one a core, don't crowd each other
+    out. For workers that start from now on."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ[name] = str(threads)
+        spark.sparkContext.environment[name] = str(threads)

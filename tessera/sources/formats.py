@@ -198,7 +198,76 @@ def json_escape(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)[1:-1]
 
 
+# ---------------------------------------------------------------- pictures and tables for other programs
+def write_png(path: str, a: np.ndarray) -> None:
+    """An 8-bit grey (rows, cols) or colour (rows, cols, 3: red, green, blue) picture of values from 0 to 255."""
+    b = np.clip(np.nan_to_num(a), 0, 255).astype(np.uint8)
+    rows, cols = b.shape[:2]
+    lines = np.concatenate([np.zeros((rows, 1), np.uint8), b.reshape(rows, -1)], axis=1)  # each line begins with its filter, none
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    with open(path, "wb") as f:
+        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, 2 if b.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
+
+
+def read_png(path: str) -> np.ndarray:
+    """A picture that write_png() wrote: 8 bits, no filters."""
+    with open(path, "rb") as f:
+        data = f.read()
+    at, body, head = 8, b"", (0, 0, 0, 0)
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + size]
+        head = struct.unpack_from(">IIBB", part) if kind == b"IHDR" else head
+        body += part if kind == b"IDAT" else b""
+        at += 12 + size
+    cols, rows, _, colour = head
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(rows, -1)[:, 1:]
+    return lines.reshape(rows, cols, 3) if colour == 2 else lines
+
+
+def write_svg(path: str, x: np.ndarray, y: np.ndarray, width: int = 640, height: int = 360) -> None:
+    """A curve as a polyline; points that aren't finite part it."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    ok = np.isfinite(x) & np.isfinite(y)
+    span = lambda v: (float(v[ok].min()), float(np.ptp(v[ok])) or 1.0) if ok.any() else (0.0, 1.0)
+    (x0, dx), (y0, dy) = span(x), span(y)
+    parts = np.split(np.flatnonzero(ok), np.flatnonzero(np.diff(np.flatnonzero(ok)) > 1) + 1)
+    lines = [" ".join(f"{(x[i] - x0) / dx * width:.2f},{height - (y[i] - y0) / dy * height:.2f}" for i in p) for p in parts if len(p)]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">' + "".join(f'<polyline fill="none" stroke="black" points="{p}"/>' for p in lines) + "</svg>\n")
+
+
+def export_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A table as CSV with a head line, or as JSON lines, in as many files as it has partitions; nested columns as JSON in CSV."""
+    if kind not in ("csv", "json"):
+        raise ValueError(f"unknown kind {kind}")
+    nested = ("array", "struct", "map")
+    flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if kind == "csv" and t.startswith(nested) else F.col(f"`{c}`") for c, t in df.dtypes])
+    (flat.write.option("header", True).csv if kind == "csv" else flat.write.json)(path)
+
+
 # ---------------------------------------------------------------- tables
+#: Messages beside acquisitions: physiological waveforms, and images with their meta attributes.
+WAVEFORMS = """
+scan_id string, ordinal long, version int, flags long, measurement_uid long, scan_counter long, time_stamp long,
+number_of_samples int, channels int, sample_time_us float, waveform_id int, data array<array<long>>
+"""
+IMAGES = """
+scan_id string, series string, ordinal long, version int, data_type int, flags long, measurement_uid long, matrix_size array<int>,
+field_of_view array<float>, channels int, position array<float>, average int, slice int, contrast int, phase int, repetition int,
+`set` int, acquisition_time_stamp long, image_type int, image_index int, image_series_index int, meta map<string,array<string>>,
+pixels array<float>
+"""
+
+
+def waveforms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WAVEFORMS).parquet(path)
+
+
+def image_messages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(IMAGES).parquet(path)
+
+
 ACQUISITIONS = """
 scan_id string, ordinal long, version int, flags long, measurement_uid long, scan_counter long, acquisition_time_stamp long,
 physiology_time_stamp array<long>, number_of_samples int, available_channels int, active_channels int, discard_pre int,

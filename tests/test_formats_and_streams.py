@@ -1,3 +1,4 @@
+import json
 import math
 import time
 
@@ -6,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import diagnostics
+from tessera.__main__ import main as command
 from tessera.functions import special
 from tessera.grid import from_numpy, to_numpy
 from tessera.operators import arrays, fft, image, linalg, signal
 from tessera.plans import runs
 from tessera.plans.runs import ArtifactStore
+from tessera.registry import OPERATORS, contract
 from tessera.sources import formats
 from tessera.streaming.assembly import assembled_stream, gated_stream
 
@@ -257,3 +260,39 @@ def test_diagnostics(spark):
     h = diagnostics.delta_histogram(from_numpy(spark, np.array([3.0, 1.0])), from_numpy(spark, np.array([1.0, -1.0])))
     assert [(x.delta, x.n) for x in h.collect()] == [(2, 2)]
     assert '"elements": 4' in diagnostics.format_row(r)
+
+
+def test_command_line(tmp_path, capsys):
+    assert command(["operators"]) == 0 and "coil-combine/coil_combine_rss" in capsys.readouterr().out.split()
+    assert command(["contract", "coil-combine/coil_combine_rss"]) == 0
+    assert json.loads(capsys.readouterr().out)["outputs"] == [{"name": "image", "type": "image-frame"}]
+    for route in ("cartesian", "radial", "noncartesian"):
+        assert command(["new", route]) == 0
+        (tmp_path / route).write_text(capsys.readouterr().out)
+        assert command(["check", str(tmp_path / route)]) == 0
+    (tmp_path / "bad").write_text('{"kind": "x"}')
+    assert command(["check", str(tmp_path / "bad")]) == 1 and command([]) == 2 and command(["contract", "no/such"]) == 2
+
+
+def test_every_contract_names_its_options():
+    for op in OPERATORS.values():
+        c = contract(op)
+        assert json.loads(json.dumps(c)) == c and set(c["config"]) == set(op.config)
+
+
+def test_pictures_and_tables_for_other_programs(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for a in (rng.integers(0, 256, (5, 7)), rng.integers(0, 256, (4, 3, 3))):
+        formats.write_png(str(tmp_path / "p.png"), a)
+        assert np.array_equal(formats.read_png(str(tmp_path / "p.png")), a)
+    formats.write_svg(str(tmp_path / "c.svg"), np.arange(5.0), np.array([0.0, 1.0, np.nan, 2.0, 4.0]))
+    text = (tmp_path / "c.svg").read_text()
+    assert text.count("<polyline") == 2 and "640.00,0.00" in text
+    df = spark.range(3).select("id", F.array("id", "id").alias("both"))
+    for kind in ("csv", "json"):
+        formats.export_table(df, str(tmp_path / kind), kind)
+    assert sorted(r.both for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == ["[0,0]", "[1,1]", "[2,2]"]
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "json")).collect()) == [0, 1, 2]
+    spark.createDataFrame([], formats.WAVEFORMS).write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame([], formats.IMAGES).write.parquet(str(tmp_path / "i"))
+    assert formats.waveforms(spark, str(tmp_path / "w")).count() == formats.image_messages(spark, str(tmp_path / "i")).count() == 0
