@@ -71,3 +71,26 @@ WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WH
 v AS (SELECT *, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS by_reputation FROM j)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE by_reputation END AS verdict, by_reputation, n_outcomes, round(mean, 9) AS posterior, round(low, 9) AS posterior_low FROM v
 """
+
+
+def op6(templates: tuple, phrases: tuple) -> str:
+    """The licence scan: every block of every notice by counting alone, without prefixes or other filters."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    notices = ", ".join(f"({i}, {quoted(t.label)}, {quoted(t.text)})" for i, t in enumerate(templates))
+    said = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in phrases)
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({fold.format("coalesce(text, '')")}, {WORDS}) AS w FROM documents),
+ph AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {said}) v(p, label)),
+b AS (SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), ph WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
+bs AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, list_distinct(list(label)) AS labels FROM b GROUP BY 1),
+t0 AS (SELECT i, label, regexp_extract_all({fold.format('text')}, {WORDS}) AS ws FROM (VALUES {notices}) v(i, label, text)),
+t AS (SELECT i, label, list_distinct(ws) AS tokens, len(list_distinct(ws)) AS size, greatest(8, pow(2, ceil(log2(len(ws)))))::BIGINT AS width FROM t0),
+m AS (SELECT r, label, size, k * width AS lo, (k + 2) * width AS hi, len(list_intersect(list_distinct(w[k * width + 1 : (k + 2) * width]), tokens)) AS both_ FROM (SELECT r, w, label, tokens, size, width, unnest(range(0, (len(w) - 1) // width + 1)) AS k FROM d, t WHERE len(w) > 0)),
+f AS (SELECT r, label, size, lo, hi, both_::DOUBLE / size AS share FROM m WHERE both_ >= ceil(0.8 * size - 1e-9)),
+best AS (SELECT DISTINCT r, label FROM f a WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.r = a.r AND o.lo < a.hi AND a.lo < o.hi AND (o.share > a.share OR o.share = a.share AND o.size > a.size))),
+own AS (SELECT r, list(label) AS labels FROM best GROUP BY 1), top AS (SELECT r, max(share) AS share FROM f GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, bs.lo::BIGINT AS first_word, bs.hi::BIGINT AS last_word, array_to_string(list_sort(coalesce(bs.labels, [])), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(own.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN own USING (r) LEFT JOIN top USING (r)
+"""

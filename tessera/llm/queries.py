@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_table, spread
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.fingerprints import fingerprint_neighbours
-from tessera.llm.license_scan import scan_licenses
-from tessera.llm.oracles import OP1, OP3, OP4
+from tessera.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+from tessera.llm.oracles import OP1, OP3, OP4, op6
 from tessera.llm.quality import quality_scores
 from tessera.llm.secret_scan import secret_digest
 from tessera.llm.simhash import hex_fingerprint, simhash_components
@@ -90,5 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 #: The other operators' queries have parts that SQL has no means for (tokenizers, XXH64, sketches, fitted models, draws by
-#: hash, entropy windows, similarity joins): tests/llm compares them with brute-force versions.
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_substring_dedup": OP3, "op4_url_filter": OP4}
+#: hash, entropy windows): tests/llm compares them with brute-force versions.
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_substring_dedup": OP3, "op4_url_filter": OP4, "op6_license_scan": op6(TEMPLATES, PHRASES)}
