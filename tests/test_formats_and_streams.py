@@ -269,7 +269,7 @@ def test_command_line(tmp_path, capsys):
     for route in ("cartesian", "radial", "noncartesian"):
         assert command(["new", route]) == 0
         (tmp_path / route).write_text(capsys.readouterr().out)
-        assert command(["check", str(tmp_path / route)]) == 0
+        assert command(["check", str(tmp_path / route)]) == 0 and capsys.readouterr().out.endswith("nodes\n")
     (tmp_path / "bad").write_text('{"kind": "x"}')
     assert command(["check", str(tmp_path / "bad")]) == 1 and command([]) == 2 and command(["contract", "no/such"]) == 2
 
