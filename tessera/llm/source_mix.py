@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     total = s.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
     s = s.withColumn("level", (F.lit(float(total.n or 0) * share) - F.col("spent")) / (F.lit(float(total.w or 0)) - F.col("weighed")))
     # the first source that stays under its cap sets the level for it and all after it
-    fills = s.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("full", "level")).alias("m")).first()
+    fills = s.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("full", F.col("src").isNull(), F.coalesce("src", F.lit("")), "level")).alias("m")).first()
     level = F.lit(float(fills.m.level)) if fills and fills.m else F.lit(float("inf"))
     return s.select("src", "source_size", F.least("cap", level * F.col("w")).alias("target"))
 
