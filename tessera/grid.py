@@ -114,8 +114,9 @@ class Grid:
         whole = F.when(F.size("e") == self.size, F.col("e")).otherwise(F.raise_error(F.lit(f"an array does not have the {self.size} elements of its shape")).cast("array<struct<lin:int,v:double>>" if not self.is_complex else "array<struct<lin:int,re:double,im:double>>"))
         return packed.select(*self.keys, whole.alias("e")).select(*self.keys, *[F.col(f"e.{c}").alias(c) for c in self.values])
 
-    def kernel(self, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool = False, batched: bool = False) -> Grid:
-        """f on each array (complex128 or float64), whose results have the given shape; batched: on stacks of arrays."""
+    def kernel(self, f: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out_complex: bool = False, batched: bool = False, masked: bool = False) -> Grid:
+        """f on each array (complex128 or float64), whose results have the given shape; batched: on stacks of arrays; masked:
+        on stacks in which nulls are masked (else they are NaN), and what the results mask becomes null."""
         packed = self.pack()
         keys, values, inner, is_complex = self.keys, self.values, self.shape, self.is_complex
         names = ["re", "im"] if out_complex else ["v"]
@@ -123,13 +124,17 @@ class Grid:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index
-                parts = [batch.column(at(c)).flatten().to_numpy(zero_copy_only=False).reshape(-1, *inner) for c in values]
+                cells = [batch.column(at(c)).flatten() for c in values]
+                parts = [x.to_numpy(zero_copy_only=False).reshape(-1, *inner) for x in cells]
                 data = parts[0] + 1j * parts[1] if is_complex else parts[0]
-                out = np.asarray(f(data)) if batched and len(data) else np.array([f(x) for x in data])
-                out = out.reshape(len(data), *shape)
+                if masked:
+                    data = np.ma.MaskedArray(data, np.any([x.is_null().to_numpy(zero_copy_only=False) for x in cells], axis=0).reshape(data.shape))
+                out = np.asanyarray(f(data)) if (batched or masked) and len(data) else np.array([f(x) for x in data])
+                null = np.ma.getmaskarray(out).ravel() if masked else None
+                out = np.ma.getdata(out).reshape(len(data), *shape)
                 flat = [np.ascontiguousarray(out.imag if c == "im" else out.real, float).ravel() for c in names]
                 starts = pa.array(np.arange(len(data) + 1, dtype=np.int32) * (out[0].size if len(data) else 0))
-                cols = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in flat]
+                cols = [pa.ListArray.from_arrays(starts, pa.array(x, mask=null)) for x in flat]
                 yield pa.RecordBatch.from_arrays([*[batch.column(at(k)) for k in keys], *cols], names=[*keys, *names])
 
         schema = T.StructType([*[packed.schema[k] for k in keys], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in names]])

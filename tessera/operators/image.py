@@ -71,14 +71,50 @@ def filter2d_region(g: Grid, kernel, start: tuple[int, int], size: tuple[int, in
     return arrays.crop(filter2d(g, kernel, border), start, size)
 
 
+#: Elements of a volume up to which frames are filtered whole, one a row.
+PACKED = 1 << 20
+
+
 def filter3d_replicate(g: Grid, kernel) -> Grid:
-    """A kernel over three axes with a replicated border."""
+    """A kernel over three axes with a replicated border; nulls count for nothing. Frames that come packed are filtered in
+    stacks, without a shuffle; of others, and large ones, each element is spread over those whose windows it lies in."""
     k = np.asarray(kernel, float)
+    if g.rank != 3 or k.ndim != 3 or not k.size:
+        raise ShapeError(f"a kernel of shape {k.shape} over arrays of shape {g.shape}")
+    if g.packed is None or g.size > PACKED:
+        return _filter3d_spread(g, k)
+    return g.kernel(lambda x: _filter3d_stack(x, k), g.shape, g.is_complex, masked=True)
+
+
+def _filter3d_stack(x: np.ma.MaskedArray, k: np.ndarray) -> np.ma.MaskedArray:
+    null = np.ma.getmaskarray(x)
+    around = [(0, 0), *[(n // 2, n - 1 - n // 2) for n in k.shape]]
+    data = np.pad(np.where(null, 0.0, np.ma.getdata(x)), around, "edge")
+    seen = np.pad(~null, around, "edge") if null.any() else None
+    total, found = np.zeros(x.shape, data.dtype), np.full(x.shape, seen is None)
+    for at in np.ndindex(k.shape):
+        window = (slice(None), *[slice(p, p + n) for p, n in zip(at, x.shape[1:], strict=True)])
+        total += k[at] * data[window]
+        if seen is not None:
+            found |= seen[window]
+    return np.ma.MaskedArray(total, ~found)
+
+
+def _filter3d_spread(g: Grid, k: np.ndarray) -> Grid:
+    """Spark guesses the long form from the size of the arrays' file, and so would broadcast one side of a join on its
+    elements, however many they are: there is none here. An element that is missing or there twice is an error."""
     offs = F.array(*[F.struct(*[F.lit(int(p - n // 2)).alias(f"d{d}") for d, (p, n) in enumerate(zip(at, k.shape, strict=True))], F.lit(float(k[at])).alias("w")) for at in np.ndindex(k.shape)])
-    asked = g.df.select(*g.keys, *g.index, F.explode(offs).alias("o"))
-    asked = asked.select(*g.keys, *g.index, "o.w", *[border_index(F.col(c) + F.col(f"o.d{d}"), n, "replicate").cast("int").alias(f"r{d}") for d, (c, n) in enumerate(zip(g.index, g.shape, strict=True))])
-    source = g.df.select(*g.keys, *[F.col(c).alias(f"r{d}") for d, c in enumerate(g.index)], "v")
-    return replace(g, df=asked.join(source, [*g.keys, "r0", "r1", "r2"]).groupBy(*g.keys, *g.index).agg(F.sum(F.col("w") * F.col("v")).alias("v")))
+    df = g.df.select(*g.keys, *g.index, *g.values, F.explode(offs).alias("o"))
+    for d, (c, n) in enumerate(zip(g.index, g.shape, strict=True)):
+        # the places along an axis that read c by this offset: one, at the border a run, or none
+        at = F.col(c) - F.col(f"o.d{d}")
+        df = df.withColumn(f"a{d}", F.when(F.col(c) == 0, F.lit(0)).otherwise(F.greatest(at, F.lit(0)))).withColumn(f"b{d}", F.when(F.col(c) == n - 1, F.lit(n - 1)).otherwise(F.least(at, F.lit(n - 1))))
+    df = df.where((F.col("a0") <= F.col("b0")) & (F.col("a1") <= F.col("b1")) & (F.col("a2") <= F.col("b2")))
+    for d, c in enumerate(g.index):
+        df = df.withColumn(c, F.explode(F.sequence(f"a{d}", f"b{d}")))
+    df = df.groupBy(*g.keys, *g.index).agg(F.count(F.lit(1)).alias("taps"), *[F.sum(F.col("o.w") * F.col(c)).alias(c) for c in g.values])
+    fail = F.raise_error(F.lit(f"an array does not have each of the {g.size} elements of its shape once")).cast("double")
+    return replace(g, df=df.select(*g.keys, *g.index, *[F.when(F.col("taps") == k.size, F.col(c)).otherwise(fail).alias(c) for c in g.values]))
 
 
 def box_filter(g: Grid, kr: int, kc: int, border: str = "replicate") -> Grid:
